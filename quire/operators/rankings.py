@@ -26,7 +26,8 @@ def rank_terms(weights: DataFrame, vocab: DataFrame, key_cols: list[str], top: i
     ``top < 1`` keeps every term. With ``densify``, terms of weight 0 take
     their place in the order as in a dense vector; only the candidates
     that can reach the cut are generated (the first ``top + nnz`` indexes
-    of a topic with fewer than ``top`` positive weights).
+    of a topic with fewer than ``top`` positive weights). Densifying reads
+    ``weights`` twice: persist it upstream when it is expensive.
     """
     keys = [*key_cols, "topic"]
     w = weights.select(*keys, "term_idx", "weight")

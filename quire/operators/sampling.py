@@ -36,12 +36,14 @@ def sample_key(seed: int, run, doc_id) -> "F.Column":
     return F.md5(F.concat_ws(":", F.lit(str(seed)), run.cast("string"), doc_id.cast("string")))
 
 
-def sample_runs(doc_ids: DataFrame, runs: int, ratio: float = 0.8, seed: int = 1000) -> DataFrame:
+def sample_runs(doc_ids: DataFrame, runs: int, ratio: float = 0.8, seed: int = 1000,
+                complement: bool = False) -> DataFrame:
     """(run, doc_id) with exactly int(ratio * n) documents per run.
 
     Each run takes the first documents in md5(seed:run:doc_id) order. The
     position inside a run comes from a global range sort (``ordered_index``),
-    never from a window holding a whole run in one task.
+    never from a window holding a whole run in one task. ``complement``
+    returns the documents each run leaves out instead.
     """
     n = doc_ids.agg(F.count(F.lit(1))).scalar()
     n_sample = F.floor(F.lit(float(ratio)) * n)
@@ -49,7 +51,8 @@ def sample_runs(doc_ids: DataFrame, runs: int, ratio: float = 0.8, seed: int = 1
         "doc_id", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")
     ).withColumn("_h", sample_key(seed, F.col("run"), F.col("doc_id")))
     ranked = ordered_index(expanded, ["_h"], "_pos", group_cols=["run"], base=1)
-    return ranked.where(F.col("_pos") <= n_sample).select("run", "doc_id")
+    keep = F.col("_pos") > n_sample if complement else F.col("_pos") <= n_sample
+    return ranked.where(keep).select("run", "doc_id")
 
 
 def run_members(doc_ids: DataFrame, runs: int, ratio: float = 0.8, seed: int = 1000,

@@ -44,7 +44,7 @@ class CorpusConfig:
 
 @dataclass
 class Corpus:
-    docs: DataFrame        # doc_id, label, body
+    docs: DataFrame        # doc_id, label (kept documents; persisted, no body)
     vocab: DataFrame       # term_idx, term, df, idf
     doc_terms: DataFrame   # doc_id, term_idx, term, tf, weight
     config: CorpusConfig = field(default_factory=CorpusConfig)
@@ -149,18 +149,26 @@ def l2_normalize(doc_terms: DataFrame, weight: str = "weight") -> DataFrame:
 
 
 def build_corpus(docs: DataFrame, cfg: CorpusConfig = CorpusConfig(), persist: bool = True) -> Corpus:
-    """The whole preprocessing as one plan; the product is persisted."""
+    """The whole preprocessing as one plan; the products are persisted.
+
+    The kept documents are persisted as a slim (doc_id, label) list: every
+    later operator (samples, classes, cluster sizes) reads it instead of
+    re-normalising the text, and the text itself is never cached.
+    """
+    doc_list = docs.select("doc_id", "label")
+    if persist:
+        doc_list = doc_list.persist(StorageLevel.MEMORY_AND_DISK)
     doc_tf = doc_term_counts(docs, cfg)
     if persist:
         doc_tf = doc_tf.persist(StorageLevel.MEMORY_AND_DISK)
-    n_docs = docs.agg(F.count(F.lit(1)).cast("bigint").alias("n_docs"))
+    n_docs = doc_list.agg(F.count(F.lit(1)).cast("bigint").alias("n_docs"))
     vocab = vocabulary(document_frequency(doc_tf), n_docs, cfg)
     if persist:
         vocab = vocab.persist(StorageLevel.MEMORY_AND_DISK)
     doc_terms = weigh(doc_tf, vocab, cfg)
     if persist:
         doc_terms = doc_terms.persist(StorageLevel.MEMORY_AND_DISK)
-    return Corpus(docs=docs, vocab=vocab, doc_terms=doc_terms, config=cfg)
+    return Corpus(docs=doc_list, vocab=vocab, doc_terms=doc_terms, config=cfg)
 
 
 def class_counts(docs: DataFrame) -> DataFrame:

@@ -5,20 +5,21 @@ the model the reference builds from ground-truth classes and from every
 k-means iteration. Here the clusters of model (k, run) are the classes
 folded onto k topics (class index mod k), evaluated on the run's sample.
 
-Plan: the centroid sums are pre-aggregated per (run, class, term) before
-they are spread over k (classes are few, k values are few), so the
-document-term rows are joined with their run membership once and reduced
-map-side; no shuffle grows with the number of k values.
+Plan: the centroid sums are pre-aggregated per (class, term) over all
+documents, and per (run, class, term) over the documents each run leaves
+out, before they are spread over k (classes and k values are few); no
+shuffle grows with the number of k values.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.centroids import class_partition
 from ..operators.rankings import rank_terms
-from ..operators.sampling import MODEL_KEY, run_members
+from ..operators.sampling import MODEL_KEY, sample_runs
 from ..operators.stability import stability_by_k
 from ..operators.vectorize import Corpus
 from ..session import join_small
@@ -32,20 +33,38 @@ def _fold(df: DataFrame, kmin: int, kmax: int) -> DataFrame:
 
 def class_fold_centroids(corpus: Corpus, kmin: int, kmax: int, runs: int,
                          ratio: float = 0.8, seed: int = 1000, algo: str = "class") -> DataFrame:
-    """Centroids of every (k, run) model: model key + topic, term_idx, weight."""
+    """Centroids of every (k, run) model: model key + topic, term_idx, weight.
+
+    Sums per (class, term) are taken once over all documents (the reference
+    model); a run's sums are those minus the sums over the documents it
+    leaves out. Only (1 - ratio) of the rows are repeated per run instead
+    of ratio, so the join feeding the aggregation is ~4x smaller at 0.8.
+    """
     classes = class_partition(corpus.docs).where(F.col("class_idx") >= 0)
-    members = run_members(corpus.docs.select("doc_id"), runs, ratio, seed)
-    member_cls = members.join(classes, "doc_id")
-    sums = (
-        corpus.doc_terms.select("doc_id", "term_idx", "weight")
-        .join(member_cls, "doc_id")
-        .groupBy("run", "class_idx", "term_idx")
-        .agg(F.sum("weight").alias("_s"))
-    )
-    sizes = member_cls.groupBy("run", "class_idx").agg(F.count(F.lit(1)).alias("_n"))
+    ids = corpus.docs.select("doc_id")
+    left_out = sample_runs(ids, runs, ratio, seed, complement=True) if runs > 0 else None
+    terms = corpus.doc_terms.select("doc_id", "term_idx", "weight").join(classes, "doc_id")
+    full = terms.groupBy("class_idx", "term_idx").agg(F.sum("weight").alias("_all"))
+    full_n = classes.groupBy("class_idx").agg(F.count(F.lit(1)).alias("_all_n"))
+    run_ids = F.explode(F.sequence(F.lit(0), F.lit(runs))).alias("run")
+    grid = full.select("*", run_ids)
+    grid_n = full_n.select("*", run_ids)
+    if left_out is not None:
+        out = terms.join(left_out, "doc_id").groupBy("run", "class_idx", "term_idx").agg(F.sum("weight").alias("_out"))
+        out_n = left_out.join(classes, "doc_id").groupBy("run", "class_idx").agg(F.count(F.lit(1)).alias("_out_n"))
+        grid = grid.join(out, ["run", "class_idx", "term_idx"], "left")
+        grid_n = join_small(grid_n, out_n, ["run", "class_idx"], "left")
+    else:
+        grid = grid.withColumn("_out", F.lit(None).cast("double"))
+        grid_n = grid_n.withColumn("_out_n", F.lit(None).cast("bigint"))
+    s = F.col("_all") - F.coalesce(F.col("_out"), F.lit(0.0))
+    # a term whose whole weight is left out cancels to rounding noise: drop it
+    sums = grid.select("run", "class_idx", "term_idx",
+                       F.when(F.abs(s) > 1e-12 * F.abs(F.col("_all")), s).alias("_s")).where(F.col("_s").isNotNull())
+    sizes = grid_n.select("run", "class_idx", (F.col("_all_n") - F.coalesce(F.col("_out_n"), F.lit(0))).alias("_n"))
     topic_sums = _fold(sums, kmin, kmax).groupBy("run", "k", "topic", "term_idx").agg(F.sum("_s").alias("_s"))
     topic_sizes = _fold(sizes, kmin, kmax).groupBy("run", "k", "topic").agg(F.sum("_n").alias("_n"))
-    cent = join_small(topic_sums, topic_sizes, ["run", "k", "topic"])
+    cent = join_small(topic_sums, topic_sizes.where(F.col("_n") > 0), ["run", "k", "topic"])
     return cent.select(
         F.lit(algo).alias("algo"),
         F.when(F.col("run") == 0, F.lit("reference")).otherwise(F.lit("run")).alias("kind"),
@@ -57,7 +76,8 @@ def class_fold_centroids(corpus: Corpus, kmin: int, kmax: int, runs: int,
 
 def class_fold_rankings(corpus: Corpus, kmin: int, kmax: int, runs: int, top: int = 20,
                         ratio: float = 0.8, seed: int = 1000) -> DataFrame:
-    cent = class_fold_centroids(corpus, kmin, kmax, runs, ratio, seed)
+    # dense ranking reads the weights twice (values and per-topic counts)
+    cent = class_fold_centroids(corpus, kmin, kmax, runs, ratio, seed).persist(StorageLevel.MEMORY_AND_DISK)
     return rank_terms(cent, corpus.vocab, MODEL_KEY, top=top)
 
 
