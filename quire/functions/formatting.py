@@ -1,0 +1,36 @@
+"""Display formatting with Python's printf semantics.
+
+Java's ``format_string('%.2f')`` rounds half-up on the shortest decimal
+representation, Python rounds the exact binary value, so 0.215 prints as
+'0.22' in one and '0.21' in the other. Display operators format through
+this Arrow-batched UDF; it only ever sees presentation-sized results.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def term_with_weight(term: Column, weight: Column, precision: int = 2) -> Column:
+    """'term (w)' with ``precision`` decimals, as Python's '%s (%.2f)'."""
+    fmt = "%s (%." + str(int(precision)) + "f)"
+
+    @F.pandas_udf(T.StringType())
+    def _fmt(t: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([fmt % (a, b) for a, b in zip(t, w)], dtype=object)
+
+    return _fmt(term, weight)
+
+
+def fixed(value: Column, precision: int = 2) -> Column:
+    """'%.<precision>f' of a double."""
+    fmt = "%." + str(int(precision)) + "f"
+
+    @F.pandas_udf(T.StringType())
+    def _fmt(v: pd.Series) -> pd.Series:
+        return pd.Series([fmt % x for x in v], dtype=object)
+
+    return _fmt(value)

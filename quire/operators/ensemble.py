@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.formatting import term_with_weight
 from .matching import optimal_assignment
 from .rankings import similarity_matrix
 
@@ -52,7 +53,7 @@ def ensemble_ranking(weights: DataFrame, group_cols: list[str], top: int = -1,
     ranked = weights.withColumn("rank", F.row_number().over(order))
     if top > 0:
         ranked = ranked.where(F.col("rank") <= F.lit(top))
-    entry = F.format_string("%s (%.2f)", F.col("term"), F.col("weight") / F.col("runs")) if include_weights \
+    entry = term_with_weight(F.col("term"), F.col("weight") / F.col("runs")) if include_weights \
         else F.col("term")
     return ranked.select(*group_cols, "rank", entry.alias("entry"))
 

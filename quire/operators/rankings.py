@@ -81,29 +81,44 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(inter == 0, F.lit(0.0)).otherwise(inter / union)
 
 
-def average_jaccard(a: Column, b: Column) -> Column:
-    """(1/t) sum_{i<=t} J(a[:i], b[:i]), t = min(len a, len b).
-
-    With distinct terms, |a[:i] n b[:i]| = number of common terms whose
-    depth max(rank_a, rank_b) is <= i, and |a[:i] u b[:i]| = 2i - that.
-    O(t^2) per pair. Null for an empty ranking.
-    """
+def common_depths(a: Column, b: Column) -> Column:
+    """Depth max(rank_a, rank_b) of every term common to the first t entries
+    of both rankings, t = min(len a, len b)."""
     t = F.least(F.size(a), F.size(b))
-    head_b = F.slice(b, 1, F.greatest(t, F.lit(1)))
-    depths = F.transform(
-        F.slice(a, 1, F.greatest(t, F.lit(1))),
-        lambda x, j: F.when(F.array_position(head_b, x) > 0,
-                            F.greatest(j + 1, F.array_position(head_b, x).cast("int"))),
-    )
-    found = F.filter(depths, lambda d: d.isNotNull())
+    cut = F.greatest(t, F.lit(1))
+    pos = F.transform(F.slice(a, 1, cut), lambda x: F.array_position(F.slice(b, 1, cut), x))
+    return F.filter(F.transform(pos, lambda p, j: F.when(p > 0, F.greatest(j + 1, p.cast("int")))),
+                    lambda d: d.isNotNull())
+
+
+def average_jaccard_from_depths(depths: Column, t: Column) -> Column:
+    """G2 given the common depths (a materialised column) and t:
+    (1/t) sum_{i<=t} c_i / (2i - c_i), c_i = #depths <= i. Null when t = 0."""
     total = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(t, F.lit(1))),
-        F.lit(0.0),
-        lambda acc, i: acc + F.size(F.filter(found, lambda d: d <= i)) / (2 * i - F.size(F.filter(found, lambda d: d <= i))),
+        F.sequence(F.lit(1), F.greatest(t, F.lit(1))), F.lit(0.0),
+        lambda acc, i: acc + F.size(F.filter(depths, lambda d: d <= i)) / (2 * i - F.size(F.filter(depths, lambda d: d <= i))),
     )
     return F.when(t > 0, total / t)
 
 
+def with_average_jaccard(df: DataFrame, a: str, b: str, out: str = "score") -> DataFrame:
+    """G2 on two array columns: (1/t) sum_{i<=t} J(a[:i], b[:i]).
+
+    With distinct terms, |a[:i] n b[:i]| = c_i, the number of common terms
+    whose depth max(rank_a, rank_b) is <= i, and |a[:i] u b[:i]| = 2i - c_i.
+    The depths are a column of their own (computed once, O(t^2) per pair),
+    then the sum over i reads that column.
+    """
+    staged = df.withColumn("_t", F.least(F.size(a), F.size(b))).withColumn("_d", common_depths(F.col(a), F.col(b)))
+    return staged.withColumn(out, average_jaccard_from_depths(F.col("_d"), F.col("_t"))).drop("_t", "_d")
+
+
+def average_jaccard(a: Column, b: Column) -> Column:
+    """G2 as a single expression (for short rankings); prefer
+    ``with_average_jaccard`` on a DataFrame, which stages the depths."""
+    return average_jaccard_from_depths(common_depths(a, b), F.least(F.size(a), F.size(b)))
+
+
 def similarity_matrix(left: DataFrame, right: DataFrame, key_cols: list[str],
                       metric: str = "average_jaccard") -> DataFrame:
     """Similarity of every (row topic, column topic) pair of two ranking
@@ -112,10 +127,12 @@ def similarity_matrix(left: DataFrame, right: DataFrame, key_cols: list[str],
     The pairs are k1 x k2 per key (topics, not documents), a bound set by
     the model, not by the data.
     """
-    fn = average_jaccard if metric == "average_jaccard" else jaccard
     a = ranking_arrays(left, key_cols).select(*key_cols, F.col("topic").alias("row"), F.col("terms").alias("ta"))
     b = ranking_arrays(right, key_cols).select(*key_cols, F.col("topic").alias("col"), F.col("terms").alias("tb"))
-    return a.join(b, key_cols).select(*key_cols, "row", "col", fn(F.col("ta"), F.col("tb")).alias("score"))
+    pairs = a.join(b, key_cols)
+    if metric == "average_jaccard":
+        return with_average_jaccard(pairs, "ta", "tb").select(*key_cols, "row", "col", "score")
+    return pairs.select(*key_cols, "row", "col", jaccard(F.col("ta"), F.col("tb")).alias("score"))
 
 
 def rankings_wide(rankings: DataFrame, key_cols: list[str], top: int = 10) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .matching import ranking_set_agreement
-from .rankings import average_jaccard, ranking_arrays, similarity_matrix, truncate_rankings
+from .rankings import ranking_arrays, similarity_matrix, truncate_rankings, with_average_jaccard
 
 # ln(x!) for x = 0..19, from math.lgamma
 _LN_FACT = [math.lgamma(x + 1) for x in range(20)]
@@ -42,12 +42,12 @@ def partition_scores(pairs: DataFrame, key_cols: list[str], a: str = "class_idx"
     ``pairs``: one row per compared document with its class (a) and
     cluster (b). Averages: 'geometric' | 'arithmetic' | 'max' | 'min'.
     """
-    ct = contingency(pairs, key_cols, a, b)
-    ra = ct.groupBy(*key_cols, a).agg(F.sum("n").alias("ai"))
-    rb = ct.groupBy(*key_cols, b).agg(F.sum("n").alias("bj"))
-    tot = ct.groupBy(*key_cols).agg(F.sum("n").alias("N"))
+    ct = contingency(pairs, key_cols, a, b).withColumnRenamed("n", "nij")
+    ra = ct.groupBy(*key_cols, a).agg(F.sum("nij").alias("ai"))
+    rb = ct.groupBy(*key_cols, b).agg(F.sum("nij").alias("bj"))
+    tot = ct.groupBy(*key_cols).agg(F.sum("nij").alias("N"))
     cell = ct.join(ra, [*key_cols, a]).join(rb, [*key_cols, b]).join(tot, key_cols)
-    n, nij, ai, bj = (F.col(c).cast("double") for c in ("N", "n", "ai", "bj"))
+    n, nij, ai, bj = (F.col(c).cast("double") for c in ("N", "nij", "ai", "bj"))
     mi = cell.groupBy(*key_cols).agg(
         F.sum(nij / n * F.log(n * nij / (ai * bj))).alias("mi"),
         F.sum(nij * (nij - 1) / 2).alias("sum_nij2"),
@@ -117,23 +117,25 @@ def class_rankings(doc_terms: DataFrame, classes: DataFrame, vocab: DataFrame, t
     return rank_terms(cent, vocab, ["_set"], top=top).drop("_set")
 
 
+def at_depths(rankings: DataFrame, tops) -> DataFrame:
+    """Every ranking cut at each depth in ``tops``, with the depth as a
+    key column ``top`` (one narrow explode; no pass per depth)."""
+    depths = F.array(*[F.lit(int(t)) for t in tops])
+    return rankings.select("*", F.explode(depths).alias("top")).where(F.col("rank") <= F.col("top"))
+
+
 def term_agreement(class_rank: DataFrame, test_rankings: DataFrame, key_cols: list[str],
                    tops=(10, 20, 50, 100)) -> DataFrame:
     """agreement of each ranking set with the class rankings at each
-    depth: key_cols + score ('terms-010', ...), value."""
-    parts = []
+    depth: key_cols + score ('terms-010', ...), value. All depths go
+    through one similarity matrix and one matching job."""
     models = test_rankings.select(*key_cols).distinct()
-    for top in tops:
-        left = replicate_for(truncate_rankings(class_rank, top).select("topic", "rank", "term"), models, key_cols)
-        right = truncate_rankings(test_rankings, top)
-        sims = similarity_matrix(left, right, key_cols)
-        agree = ranking_set_agreement(sims, key_cols)
-        parts.append(agree.select(*key_cols, F.lit("terms-%03d" % top).alias("score"),
-                                  F.col("agreement").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    left = replicate_for(class_rank.select("topic", "rank", "term"), models, key_cols)
+    keys = [*key_cols, "top"]
+    sims = similarity_matrix(at_depths(left, tops), at_depths(test_rankings, tops), keys)
+    agree = ranking_set_agreement(sims, keys)
+    return agree.select(*key_cols, F.format_string("terms-%03d", F.col("top")).alias("score"),
+                        F.col("agreement").alias("value"))
 
 
 MAX_REPLICA_KEYS = 100_000
@@ -153,22 +155,17 @@ def replicate_for(df: DataFrame, keys: DataFrame, key_cols: list[str]) -> DataFr
 
 
 def topic_diversity(rankings: DataFrame, key_cols: list[str], tops=(10,)) -> DataFrame:
-    """mean of 1 - AJ over unordered topic pairs (i < j) of each set;
-    null for a set of one topic."""
-    parts = []
-    for top in tops:
-        arr = ranking_arrays(truncate_rankings(rankings, top), key_cols)
-        x = arr.select(*key_cols, F.col("topic").alias("i"), F.col("terms").alias("ta"))
-        y = arr.select(*key_cols, F.col("topic").alias("j"), F.col("terms").alias("tb"))
-        pairs = x.join(y, key_cols).where(F.col("i") < F.col("j"))
-        div = pairs.groupBy(*key_cols).agg(F.avg(1 - average_jaccard(F.col("ta"), F.col("tb"))).alias("value"))
-        sets = arr.select(*key_cols).distinct()
-        parts.append(sets.join(div, key_cols, "left").select(
-            *key_cols, F.lit("div-%03d" % top).alias("score"), "value"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """mean of 1 - AJ over unordered topic pairs (i < j) of each set, at
+    each depth; null for a set of one topic."""
+    keys = [*key_cols, "top"]
+    arr = ranking_arrays(at_depths(rankings, tops), keys)
+    x = arr.select(*keys, F.col("topic").alias("i"), F.col("terms").alias("ta"))
+    y = arr.select(*keys, F.col("topic").alias("j"), F.col("terms").alias("tb"))
+    pairs = with_average_jaccard(x.join(y, keys).where(F.col("i") < F.col("j")), "ta", "tb", "aj")
+    div = pairs.groupBy(*keys).agg(F.avg(1 - F.col("aj")).alias("value"))
+    sets = arr.select(*keys).distinct()
+    return sets.join(div, keys, "left").select(
+        *key_cols, F.format_string("div-%03d", F.col("top")).alias("score"), "value")
 
 
 def aggregate_scores(scores: DataFrame, group_cols: list[str] | None = None) -> DataFrame:

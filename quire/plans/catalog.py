@@ -56,3 +56,4 @@ def corpus(spark: SparkSession, sf_dir: str, label_col: str = "lang",
 # Import the query modules so that they register themselves.
 from . import queries_text  # noqa: E402,F401
 from . import queries_rank  # noqa: E402,F401
+from . import queries_valid  # noqa: E402,F401

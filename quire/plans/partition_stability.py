@@ -78,7 +78,8 @@ def class_fold_rankings(corpus: Corpus, kmin: int, kmax: int, runs: int, top: in
                         ratio: float = 0.8, seed: int = 1000) -> DataFrame:
     # dense ranking reads the weights twice (values and per-topic counts)
     cent = class_fold_centroids(corpus, kmin, kmax, runs, ratio, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    return rank_terms(cent, corpus.vocab, MODEL_KEY, top=top)
+    # the rankings are small (models x k x top) and feed several comparisons
+    return rank_terms(cent, corpus.vocab, MODEL_KEY, top=top).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def partition_stability(corpus: Corpus, kmin: int = 2, kmax: int = 5, runs: int = 10,
