@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def r6(c) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), 6)
+    return F.round(c.cast("double"), 6) + F.lit(0.0)  # + 0.0 turns -0.0 into 0.0
 
 
 def i64(c) -> Column:
@@ -57,3 +57,4 @@ def corpus(spark: SparkSession, sf_dir: str, label_col: str = "lang",
 from . import queries_text  # noqa: E402,F401
 from . import queries_rank  # noqa: E402,F401
 from . import queries_valid  # noqa: E402,F401
+from . import queries_models  # noqa: E402,F401
