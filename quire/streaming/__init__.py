@@ -1 +1,7 @@
-"""quire."""
+"""Streaming.
+
+The reference has no streaming operator (no watermark, window, state or
+late-data handling anywhere), so this package holds no operator. The text
+functions in ``quire.functions.text`` are stateless column expressions and
+apply unchanged to a ``readStream`` source.
+"""
