@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing
+from . import packing, simhash
 from .catalog import query, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,3 +20,9 @@ def q_packing(spark, sf_dir):
     """Pieces of all documents with their sequence and offset."""
     pieces = packing.encode(table(spark, sf_dir, "documents"), tokenizer_path())
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op2_simhash")
+def q_simhash(spark, sf_dir):
+    """Fingerprint and near-duplicate component of all documents: three words, three bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=3)
