@@ -54,7 +54,8 @@ def position(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, n
 
 def by_shard(shard: np.ndarray):
     """(shard, rows) for every shard that occurs."""
-    order = np.argsort(shard, kind="stable")
+    small = shard.astype(np.uint16) if len(shard) and int(shard.max()) < 1 << 16 else shard  # sorted by radix
+    order = np.argsort(small, kind="stable")
     ends = np.flatnonzero(np.append(np.diff(shard[order]) != 0, True)) + 1 if len(order) else np.zeros(0, int)
     start = 0
     for end in ends:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import packing, simhash, substrings
 from .catalog import query, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,3 +26,10 @@ def q_packing(spark, sf_dir):
 def q_simhash(spark, sf_dir):
     """Fingerprint and near-duplicate component of all documents: three words, three bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=3)
+
+
+@query("op4_substrings")
+def q_substrings(spark, sf_dir):
+    """Words of all documents kept when windows of twenty words that start earlier go."""
+    out = substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), size=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
