@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, simhash, substrings
+from . import contamination, packing, simhash, substrings
 from .catalog import query, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,3 +33,13 @@ def q_substrings(spark, sf_dir):
     """Words of all documents kept when windows of twenty words that start earlier go."""
     out = substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), size=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op7_decontamination")
+def q_decontamination(spark, sf_dir):
+    """Words of all documents inside an occurrence of ten consecutive words of a benchmark item."""
+    out = contamination.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    ids = F.concat_ws(",", F.array_sort(F.transform("items", lambda i: i.cast("string"))))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+                      "longest_match", "longest_item", "longest_at")
