@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import contamination, packing, simhash, substrings
+from . import contamination, ngrams, packing, simhash, substrings
 from .catalog import query, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -43,3 +43,13 @@ def q_decontamination(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
                       "longest_match", "longest_item", "longest_at")
+
+
+@query("op1_language_model")
+def q_language_model(spark, sf_dir):
+    """Scores of all documents by a model of nine tenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ngrams.train(docs.where(ngrams.fold(10) != 0))
+    return ngrams.score(docs, model).select(
+        "doc_id", (ngrams.fold(10) == 0).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
