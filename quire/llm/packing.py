@@ -45,14 +45,15 @@ _CLASS = np.zeros(256, np.uint8)
 _CLASS[65:91] = _CLASS[97:123] = _LETTER
 _CLASS[33:127][_CLASS[33:127] == 0] = _OTHER
 _CLASS[39] = 0  # an apostrophe may belong to either side
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 
 
 class Encoder:
     """Token ids of whole texts by a tokenizer whose tokens never span white space.
 
-    Texts are cut at white space and between letters and ASCII signs, where
-    the tokenizer always cuts too; each distinct cut is encoded once.
+    Texts are cut at white space and their distinct words between letters and
+    ASCII signs, where the tokenizer always cuts too; each distinct cut is
+    encoded once and kept, up to ``KEPT_WORDS`` of them.
     """
 
     def __init__(self, path: str):
@@ -62,64 +63,88 @@ class Encoder:
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.stops = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.int64)
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.int32)
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known.clear()
-        plain = [w for w in new if w.isascii() and w.isalpha()]
+        ids, sizes = [], []
+        plain, rest = [], []
+        for w in new:  # letters only, before and after lower case: one run of letters each
+            (plain if w.isalpha() and (w.isascii() or w.lower().isalpha()) else rest).append(w)
+        order = []
         for a in range(0, len(plain), 4096):
             block = plain[a:a + 4096]
-            ids = self.whole(" ".join(block))
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            got = self.whole(" ".join(block))
+            stops = np.flatnonzero(self.ends[got]) + 1
             if len(stops) == len(block):
-                self.known.update(zip(block, np.split(ids.astype(np.int32), stops[:-1])))
-        rest = [w for w in new if w not in self.known]
+                order += block
+                ids.append(got)
+                sizes.append(np.diff(stops, prepend=0))
+            else:
+                rest += block
         for a in range(0, len(rest), 4096):
             block = rest[a:a + 4096]
-            got = self.tok.encode_batch_fast(block, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, np.int32)) for w, e in zip(block, got))
-
-    def ids(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all documents in a row, where each document ends)."""
-        data = wd.LOWER[raw]
+            got = [e.ids for e in self.tok.encode_batch_fast(block, add_special_tokens=False)]
+            order += block
+            ids.append(np.array([i for g in got for i in g], np.int32))
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+        self.known.update(zip(order, range(len(self.known), len(self.known) + len(order))))
+        self.stops = np.concatenate([self.stops, self.stops[-1] + np.cumsum(np.concatenate(sizes))])
+        self.flat = np.concatenate([self.flat, *ids])
+
+    def _encoded(self, names: list[str]) -> np.ndarray:
+        """The number of each word in the store."""
+        new = [w for w in names if w not in self.known]
+        if new and len(self.known) + len(new) > KEPT_WORDS:
+            self._forget()
+            new = names
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, where each word ends), for words without white space."""
+        data, offsets = wd.text_bytes(words)
         kind = _CLASS[data]
         # The two bytes of U+00C0..U+00FF count as letters, but for the two signs among them.
-        lead = np.flatnonzero(data[:-1] == 0xC3) if len(data) > 1 else np.zeros(0, int)
+        lead = np.flatnonzero(data[:-1] == 0xC3)
         lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
         kind[lead] = kind[lead + 1] = _LETTER
-        cut = np.zeros(len(data) + 1, np.int64)
-        if len(data) > 1:
-            cut[1:-1] = (kind[1:] | kind[:-1]) == (_LETTER | _OTHER)
-            cut[offsets] = 0
-        moved = np.cumsum(cut)
-        out = np.full(len(data) + int(moved[-1]), 32, np.uint8)
-        out[np.arange(len(data)) + moved[:-1]] = data
-        new_offsets = offsets + moved[offsets]
-        parts, ends = wd.split(out, new_offsets, wd.AS_IS)
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = (kind[1:] | kind[:-1]) == (_LETTER | _OTHER)
+        cut[offsets] = False
+        cuts = np.flatnonzero(cut)
+        spaced = np.insert(data, cuts, 32)
+        parts, ends = wd.split(spaced, offsets + np.searchsorted(cuts, offsets), wd.AS_IS)
         coded = parts.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        fresh = [w for w in names if w not in self.known]
-        if fresh:
-            self._learn(fresh)
-        missing = [w for w in names if w not in self.known]
-        if missing:  # the store was emptied for the new words
-            self._learn(missing) if len(missing) + len(self.known) <= KEPT_WORDS else None
-        known = self.known
-        each = [known[w] if w in known else self.whole(w).astype(np.int32) for w in names]
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.concatenate(each) if each else np.zeros(0, np.int32)
-        first = np.cumsum(sizes) - sizes
-        codes = np.asarray(coded.indices).astype(np.int64)
-        n = sizes[codes]
-        upto = np.cumsum(n)
-        total = int(upto[-1]) if len(upto) else 0
-        at = np.repeat(first[codes] - (upto - n), n) + np.arange(total)
-        doc_ends = np.concatenate([[0], upto])[ends].astype(np.int64)
-        return flat[at], doc_ends
+        number = self._encoded(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+        ids, stops = gather(self.flat, self.stops, number)
+        return ids, np.concatenate([[0], stops])[ends].astype(np.int64)
+
+    def ids(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents in a row, where each document ends)."""
+        words, ends = wd.split(raw, offsets, wd.LOWER)
+        if not len(words):
+            return np.zeros(0, np.int32), np.zeros(len(ends), np.int64)
+        coded = words.dictionary_encode()
+        flat, stops = self._words(coded.dictionary)
+        ids, upto = gather(flat, np.concatenate([[0], stops]), np.asarray(coded.indices))
+        return ids, np.concatenate([[0], upto])[ends].astype(np.int64)
+
+
+def gather(flat: np.ndarray, stops: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[stops[r]:stops[r + 1]]`` of all rows one after the other, and where each ends."""
+    n = np.diff(stops)[rows]
+    upto = np.cumsum(n)
+    at = np.repeat(stops[:-1][rows] - (upto - n), n)
+    at += np.arange(len(at))
+    return flat[at], upto
 
 
 @lru_cache(maxsize=4)
@@ -138,7 +163,7 @@ def encode(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for rows, raw, off in wd.slices(batch.column("text"), 3 << 20):
+            for rows, raw, off in wd.slices(batch.column("text"), 6 << 20):
                 ids, ends = enc.ids(raw, off)
                 text = raw.tobytes()
                 odd = {i for i in range(len(ends)) if any(s in text[off[i]:off[i + 1]] for s in SPECIAL)} \

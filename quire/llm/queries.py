@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import contamination, ngrams, packing, simhash, substrings
+from . import contamination, ngrams, packing, simhash, substrings, toxicity
 from .catalog import query, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -53,3 +53,13 @@ def q_language_model(spark, sf_dir):
     return ngrams.score(docs, model).select(
         "doc_id", (ngrams.fold(10) == 0).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query("op6_toxicity")
+def q_toxicity(spark, sf_dir):
+    """Toxicity of all documents, learned from two thirds of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.fit(docs, toxicity.learning_rows(table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, net).select(
+        "doc_id", (toxicity.crc_fold(3) == 1).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= toxicity.AT).cast("int").alias("predicted"))
