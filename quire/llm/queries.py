@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import contamination, ngrams, packing, simhash, substrings, toxicity
+from . import contamination, ngrams, packing, quality, simhash, substrings, toxicity
 from .catalog import query, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -63,3 +63,13 @@ def q_toxicity(spark, sf_dir):
     return toxicity.score(docs, net).select(
         "doc_id", (toxicity.crc_fold(3) == 1).alias("held_out"), F.col("toxicity").alias("score"),
         (F.col("toxicity") >= toxicity.AT).cast("int").alias("predicted"))
+
+
+@query("op8_quality")
+def q_quality(spark, sf_dir):
+    """Quality of all documents, learned from four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(toxicity.crc_fold(5) != 0))
+    return quality.score(docs, model).select(
+        "doc_id", (toxicity.crc_fold(5) == 0).alias("held_out"), F.col("quality").alias("score"),
+        (F.col("quality") >= quality.AT).cast("int").alias("predicted"))
