@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import contamination, ngrams, packing, quality, simhash, substrings, toxicity
+from . import contamination, hosts, licenses, ngrams, packing, quality, simhash, substrings, toxicity
 from .catalog import query, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -73,3 +73,16 @@ def q_quality(spark, sf_dir):
     return quality.score(docs, model).select(
         "doc_id", (toxicity.crc_fold(5) == 0).alias("held_out"), F.col("quality").alias("score"),
         (F.col("quality") >= quality.AT).cast("int").alias("predicted"))
+
+
+@query("op9_licenses")
+def q_licenses(spark, sf_dir):
+    """License phrases and templates in all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_urls")
+def q_urls(spark, sf_dir):
+    """Verdict on all pages by rule, else by the reputation of the host."""
+    return hosts.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select(
+        "page_id", "host", "path", "rule", "verdict", "rate", "low")
