@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import contamination, hosts, licenses, ngrams, packing, quality, simhash, substrings, toxicity
+from . import contamination, fingerprints, hosts, licenses, ngrams, packing, quality, simhash, substrings, toxicity
 from .catalog import query, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -86,3 +86,11 @@ def q_urls(spark, sf_dir):
     """Verdict on all pages by rule, else by the reputation of the host."""
     return hosts.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select(
         "page_id", "host", "path", "rule", "verdict", "rate", "low")
+
+
+@query("op3_fingerprints")
+def q_fingerprints(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts."""
+    prints = fingerprints.compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return fingerprints.with_neighbours(prints, radius=3).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "has_near")
