@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -204,3 +204,23 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     placed.join(named, "component").select("fp", "component_id").write.parquet(lookup)
     return (prints.join(spark.read.parquet(lookup), "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
+    """One document of each component, the one with the smallest id, with the columns of ``docs``.
+
+    Of rows that repeat an id one stays. Rows without an id can't be told from others by it and stay.
+    """
+    spark = docs.sparkSession
+    path = scratch_path(spark, "near-duplicates")
+    near_duplicates(docs, size, radius).write.parquet(path)
+    judged = spark.read.parquet(path).where("doc_id is not null")
+    ids = judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"))
+    table = scratch_path(spark, "kept")
+    ids.where("rows > 1 or not first").write.parquet(table)
+    ids = spark.read.parquet(table)
+    single = docs.join(ids.select("doc_id"), "doc_id", "left_anti")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    again = (docs.join(ids.where("first").select("doc_id"), "doc_id", "left_semi")
+             .withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy"))
+    return single.select(*docs.columns).unionByName(again.select(*docs.columns))
