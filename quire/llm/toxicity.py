@@ -73,7 +73,7 @@ def guess(counts: np.ndarray) -> np.ndarray:
 
 
 def padded(codes: np.ndarray, counts: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes with pads behind each document, so that every window and document has words; where each starts."""
+    """Codes with pads behind each document, so that no window from one of its words reaches the next; where each starts."""
     gap = max(WIDTHS)
     n = len(counts)
     doc = np.repeat(np.arange(n), counts)
@@ -109,7 +109,8 @@ class Network:
             embedded[:-1] += self.rows[unit[:, k]]
         embedded /= unit.shape[1]
         text, starts = padded(codes, counts, len(unit))
-        best = np.concatenate([np.maximum.reduceat(z, starts, axis=0) for z in self.responses(embedded, text)], axis=1)
+        spans = np.stack([starts, starts + np.maximum(counts, 1)], axis=1).ravel()  # each document's own windows
+        best = np.concatenate([np.maximum.reduceat(z, spans, axis=0)[::2] for z in self.responses(embedded, text)], axis=1)
         return np.maximum(best + self.bias, 0.0) @ self.out + self.shift
 
     def scores(self, logits: np.ndarray, language: np.ndarray) -> np.ndarray:
@@ -142,7 +143,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epoc
                 embedded[:-1] += net.rows[unit[:, k]]
             embedded /= n_units
             codes, starts = padded(np.arange(len(unit)), counts, len(unit))
-            stops = np.append(starts[1:], len(codes))
+            stops = starts + np.maximum(counts, 1)
             places, best = [], []
             for z in net.responses(embedded, codes):
                 at = np.stack([a + z[a:e].argmax(0) for a, e in zip(starts, stops)])
