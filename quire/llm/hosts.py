@@ -4,8 +4,8 @@ Labelled page outcomes (good or bad) are counted per host. A level's rates are
 shrunk to those of the level above it, from host to registered domain to
 suffix to all pages: a beta prior around the level above, whose strength
 follows from how much the rates of the level differ (method of moments). A
-host is bad if the lower posterior bound of its rate of bad pages is over a
-half. A host that has no labelled page has its domain's rate, and so on.
+host is bad if the lower posterior bound of its rate of bad pages is over
+``LIMIT``. A host that has no labelled page has its domain's rate, and so on.
 
 Counting has map-side sums and one row per host; a page meets its host's
 verdict in a join that the planner may broadcast by the real size or split
@@ -28,7 +28,8 @@ from ..session import scratch_path
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Suffixes of two labels under which hosts are registered.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "or.jp", "co.nz", "com.br", "co.in")
-BOUND = 1.645  # standard deviations below the mean: the lower bound holds with 95 %
+BOUND = 1.645  # standard deviations: the lower bound holds with 95 %
+LIMIT = 0.75  # of a host's pages: with more that are bad for sure, the host is
 
 
 @dataclass(frozen=True)
@@ -80,21 +81,20 @@ def levels(host: Column) -> tuple[Column, Column]:
     return domain, suffix
 
 
-def _strength(rates: DataFrame, above: str) -> float:
-    """Beta prior strength from the spread of a level's rates around the level above (``n``, ``bad``, ``above``).
+def _strength(rates: DataFrame) -> float:
+    """Beta prior strength from the spread of a level's rates (``n``, ``bad``) around their prior means (``mean``).
 
     The squared differences beyond what binomial counts explain are the
     variance of the true rates; a beta of mean m has variance m (1 - m) / (s + 1).
     """
-    mean = F.col(above)
+    mean = F.col("mean")
     row = rates.where("n > 0").agg(
         F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - mean, 2)).alias("spread"),
-        F.sum(mean * (1 - mean)).alias("chance"), F.sum(F.col("n") * mean * (1 - mean)).alias("scale"),
-        F.count(F.lit(1)).alias("k")).first()
-    if not row["k"] or not row["scale"]:
+        F.sum(mean * (1 - mean)).alias("chance"), F.sum(F.col("n") * mean * (1 - mean)).alias("scale")).first()
+    if not row["scale"]:
         return 10.0
     # E spread = chance + (scale - chance) / (s + 1), by the beta-binomial's variance
-    extra = max((row["spread"] or 0.0) - row["chance"], 1e-9)
+    extra = max(row["spread"] - row["chance"], 1e-9)
     room = max(row["scale"] - row["chance"], 1e-9)
     return float(min(max(room / extra - 1, 0.5), 1e4))
 
@@ -108,22 +108,24 @@ def reputation(pages: DataFrame, bound: float = BOUND) -> DataFrame:
                                        F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
              .withColumn("domain", domain).withColumn("suffix", suffix))
     hosts = _written(hosts, "hosts")
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
-    mean = (total["bad"] / total["n"]) if total["n"] else 0.0
+    # From the top down: a level's prior mean is the rate of the level above without the level's own pages, so
+    # that no page counts twice. The top is a beta of mean a half and strength 2 over all pages.
+    top = hosts.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("n", "bad")]).first()
     above = None
-    for level in ("suffix", "domain", "host"):
-        own = hosts.groupBy(*dict.fromkeys((level, "domain" if level == "host" else "suffix"))).agg(
-            F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        if above is None:
-            own = own.withColumn("above", F.lit(mean))
-        else:
-            key = "domain" if level == "host" else "suffix"
-            own = own.join(above, key)
-        s = _strength(own, "above")
-        post = (F.col("bad") + s * F.col("above")) / (F.col("n") + s)
-        own = own.withColumn("rate", post).withColumn("_weight", F.col("n") + F.lit(s))
-        above = own.select(level, F.col("rate").alias("above"))
-    low = F.col("rate") - bound * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("_weight") + 1))
+    for level, parent in (("suffix", None), ("domain", "suffix"), ("host", "domain")):
+        own = hosts.groupBy(*filter(None, (level, parent))).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+        own = own.join(above, parent) if parent else own.withColumns(
+            {"n_above": F.lit(top["n"]), "bad_above": F.lit(top["bad"]), "mean_above": F.lit(0.5), "s_above": F.lit(2.0)})
+        mean = (F.col("bad_above") - F.col("bad") + F.col("s_above") * F.col("mean_above")) / (
+            F.col("n_above") - F.col("n") + F.col("s_above"))
+        own = own.select(level, "n", "bad", mean.alias("mean"))
+        s = _strength(own)
+        above = own.select(level, *[F.col(c).alias(f"{c}_above") for c in ("n", "bad", "mean")], F.lit(s).alias("s_above"))
+    own = own.withColumn("_weight", F.col("n") + F.lit(s)).withColumn(
+        "rate", (F.col("bad") + F.lit(s) * F.col("mean")) / F.col("_weight"))
+    # Wilson's lower bound at the posterior's weight: unlike a normal bound it stays wide where little is known.
+    rate, n, z2 = F.col("rate"), F.col("_weight"), bound * bound
+    low = (rate + z2 / (2 * n) - bound * F.sqrt(rate * (1 - rate) / n + z2 / (4 * n * n))) / (1 + z2 / n)
     return own.select("host", "rate", F.greatest(low, F.lit(0.0)).alias("low"))
 
 
@@ -148,6 +150,6 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, outcomes: DataFrame
     if outcomes is not None:
         labelled = labelled.unionByName(ruled.select("host", F.lit(None).cast("int").alias("bad")))
     judged = _written(reputation(labelled), "reputation")
-    method = F.when(F.col("low") > 0.5, "block").otherwise("allow")
+    method = F.when(F.col("low") > LIMIT, "block").otherwise("allow")
     return ruled.join(judged, "host").select(
         "page_id", "host", "path", "rule", F.coalesce("_verdict", method).alias("verdict"), "rate", "low")

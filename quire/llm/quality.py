@@ -233,7 +233,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
         return Additive(constant=size.get(1, 0) / total if total else 0.0)
     drawn = [named.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")  # at most 2 * per_class rows
-    rows = measured(sample, ("y",)).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    rows = measured(sample, ("y",)).withColumn("place", F.xxhash64("doc_id")).collect()
+    rows.sort(key=lambda r: (r["place"], r["features"]))
     y = np.array([r["y"] for r in rows], np.float64)
     if not len(rows) or y.min() == y.max():
         return Additive(constant=size[1] / total)
