@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import join_small
 from .indexing import ordered_index
 
 
@@ -24,7 +23,7 @@ def build_centroids(doc_terms: DataFrame, partition: DataFrame, key_cols: list[s
         .groupBy(*key_cols, "topic", "term_idx")
         .agg(F.sum("weight").alias("_s"))
     )
-    return join_small(sums, sizes, [*key_cols, "topic"]).select(
+    return sums.join(sizes, [*key_cols, "topic"]).select(
         *key_cols, "topic", "term_idx", (F.col("_s") / F.col("_n")).alias("weight")
     )
 
@@ -39,7 +38,7 @@ def class_partition(docs: DataFrame, label_col: str = "label") -> DataFrame:
     """(doc_id, class_idx); documents without a class get -1."""
     idx = label_index(docs, label_col)
     return (
-        join_small(docs.select("doc_id", F.col(label_col).alias("label")), idx, "label", "left")
+        docs.select("doc_id", F.col(label_col).alias("label")).join(idx, "label", "left")
         .select("doc_id", F.coalesce(F.col("class_idx"), F.lit(-1)).cast("int").alias("class_idx"))
     )
 

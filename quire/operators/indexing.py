@@ -13,7 +13,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import join_small
 
 
 def ordered_index(df: DataFrame, order_cols: list[str], name: str,
@@ -36,6 +35,7 @@ def ordered_index(df: DataFrame, order_cols: list[str], name: str,
     )
     w = Window.partitionBy(*group_cols).orderBy("_qp").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_qoff", F.coalesce(F.sum("_qn").over(w), F.lit(0))).drop("_qn")
-    out = join_small(ranged, offsets, ["_qp", *group_cols])
+    # partitions x groups rows: bounded, whatever the rows of the table
+    out = ranged.join(F.broadcast(offsets), ["_qp", *group_cols])
     pos = F.col("_qoff") + (F.col("_qm") - F.col("_qfirst")) + F.lit(base)
     return out.withColumn(name, pos.cast("bigint")).drop("_qp", "_qm", "_qfirst", "_qoff")

@@ -22,7 +22,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, join_small
+from ..session import cut_lineage
 
 
 # ---------------------------------------------------------------------------
@@ -98,7 +98,7 @@ def _assign(rows: DataFrame, members: DataFrame, centres: DataFrame, key_cols: l
     cn = centres.groupBy(*keys, "topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_cn"))
     x = rows.join(members, "doc_id")  # (model, doc, term, w)
     c = centres.select(*keys, "topic", "term_idx", F.col("weight").alias("_cw"))
-    dots = join_small(x, c, [*keys, "term_idx"]).groupBy(*keys, "doc_id", "topic").agg(
+    dots = x.join(c, [*keys, "term_idx"]).groupBy(*keys, "doc_id", "topic").agg(
         F.sum(F.col("weight") * F.col("_cw")).alias("_dot"))
     # every (member, topic): documents sharing no term with a centre have dot 0
     topics = cn.groupBy(*keys).agg(F.collect_list("topic").alias("_ts"))

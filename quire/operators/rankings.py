@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import join_small
 
 
 def topic_label(topic: Column) -> Column:
@@ -47,7 +46,7 @@ def rank_terms(weights: DataFrame, vocab: DataFrame, key_cols: list[str], top: i
         )
         w = w.unionByName(zeros)
     order = Window.partitionBy(*keys).orderBy(F.round("weight", 9).desc(), F.col("term").asc())
-    named = join_small(w, vocab.select("term_idx", "term"), "term_idx")
+    named = w.join(vocab.select("term_idx", "term"), "term_idx")
     ranked = named.withColumn("rank", F.row_number().over(order))
     if top > 0:
         ranked = ranked.where(F.col("rank") <= F.lit(top))

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .indexing import ordered_index
-
 MODEL_KEY = ["algo", "kind", "k", "run"]
 
 
@@ -40,19 +38,31 @@ def sample_runs(doc_ids: DataFrame, runs: int, ratio: float = 0.8, seed: int = 1
                 complement: bool = False) -> DataFrame:
     """(run, doc_id) with exactly int(ratio * n) documents per run.
 
-    Each run takes the first documents in md5(seed:run:doc_id) order. The
-    position inside a run comes from a global range sort (``ordered_index``),
-    never from a window holding a whole run in one task. ``complement``
-    returns the documents each run leaves out instead.
+    Each run takes the first documents in md5(seed:run:doc_id) order. Counts
+    per (run, first four hex digits), at most 65,536 rows a run, tell in which
+    of those bins a run's sample ends: bins before it belong to the sample
+    whole, by a narrow filter, and only the documents of that one bin are
+    ordered. ``complement`` returns the documents each run leaves out instead.
     """
-    n = doc_ids.agg(F.count(F.lit(1))).scalar()
-    n_sample = F.floor(F.lit(float(ratio)) * n)
-    expanded = doc_ids.select(
+    n_sample = F.floor(F.lit(float(ratio)) * doc_ids.agg(F.count(F.lit(1))).scalar()).cast("bigint")
+    hashed = doc_ids.select(
         "doc_id", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")
-    ).withColumn("_h", sample_key(seed, F.col("run"), F.col("doc_id")))
-    ranked = ordered_index(expanded, ["_h"], "_pos", group_cols=["run"], base=1)
-    keep = F.col("_pos") > n_sample if complement else F.col("_pos") <= n_sample
-    return ranked.where(keep).select("run", "doc_id")
+    ).withColumn("_h", sample_key(seed, F.col("run"), F.col("doc_id"))).withColumn("_b", F.substring("_h", 1, 4))
+    bins = hashed.groupBy("run", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("run").orderBy("_b"))
+    edges = (bins.withColumn("_upto", upto).withColumn("_need", n_sample - (F.col("_upto") - F.col("_n")))
+             .where((F.col("_upto") > n_sample) & (F.col("_need") >= 0))
+             .select("run", F.col("_b").alias("_edge"), "_need"))
+    # one row per run at most; a run without an edge takes every document
+    placed = hashed.join(F.broadcast(edges), "run", "left")
+    at_edge = placed.where(F.col("_b") == F.col("_edge")).withColumn(
+        "_pos", F.row_number().over(Window.partitionBy("run").orderBy("_h")))
+    if complement:
+        whole, part = placed.where(F.col("_b") > F.col("_edge")), at_edge.where(F.col("_pos") > F.col("_need"))
+    else:
+        whole = placed.where(F.col("_edge").isNull() | (F.col("_b") < F.col("_edge")))
+        part = at_edge.where(F.col("_pos") <= F.col("_need"))
+    return whole.select("run", "doc_id").unionByName(part.select("run", "doc_id"))
 
 
 def run_members(doc_ids: DataFrame, runs: int, ratio: float = 0.8, seed: int = 1000,

@@ -2,17 +2,18 @@
 
 Plan shape (see ``build_corpus``):
 
-    scan -> normalise body -> length filter -> tokens -> explode
-         -> partial/final count by (doc, term)                = doc_tf
+    scan -> normalise body -> length filter -> tokens
+         -> sorted tokens -> run lengths, inside the document row
+         -> explode of the distinct (term, tf)                 = doc_tf
     doc_tf -> partial/final count by term (tiny shuffle)       = df
     df -> min_df + stopwords -> ordered index (range sort)     = vocab
-    doc_tf x vocab (broadcast after a size check)              = doc_terms
+    doc_tf x vocab (the planner broadcasts by real size)       = doc_terms
     optional L2: sum of squares per doc (one shuffle by doc)
 
-Documents are hash-partitioned by doc_id once when the scan is narrower
-than the cluster; then term counts and the per-document L2 window reuse
-that partitioning (no shuffle of the (doc, term) pairs). Stopwords of a unigram model are removed from
-the vocabulary (same result, far fewer rows than removing per token).
+Term counts never leave the document's row, so the (doc, term) pairs are not
+shuffled to be counted; the plan is the same at every size. Stopwords of a
+unigram model are removed from the vocabulary (same result, far fewer rows
+than removing per token).
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import join_small
 from .indexing import ordered_index
 
 
@@ -33,8 +33,8 @@ class CorpusConfig:
     """Options of the reference's preprocessing, with its CLI defaults."""
 
     min_doc_length: int = tx.DEFAULT_MIN_DOC_LENGTH
-    stopwords: tuple[str, ...] = ()
-    min_df: int = 20
+    stopwords: tuple[str, ...] | DataFrame = ()  # words, or (unigrams only) a table with a column term
+    min_df: float = 20  # a number of documents, or their share if below 1
     min_term_length: int = 2
     ngram_range: tuple[int, int] = (1, 1)
     tfidf: bool = False
@@ -48,6 +48,12 @@ class Corpus:
     vocab: DataFrame       # term_idx, term, df, idf
     doc_terms: DataFrame   # doc_id, term_idx, term, tf, weight
     config: CorpusConfig = field(default_factory=CorpusConfig)
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Give up everything that building the corpus persisted."""
+        for df in self.held:
+            df.unpersist()
 
 
 def prepare_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -56,25 +62,12 @@ def prepare_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """B2 + C1/C2: normalised bodies of at least ``min_length`` characters."""
     label = F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")
     src = df.select(F.col(id_col).alias("doc_id"), label.alias("label"), F.col(text_col).alias("_text"))
-    src = spread(src)
     return (
         src.select("doc_id", "label", tx.normalize_body(F.col("_text")).alias("body"))
         .where(F.length("body") >= min_length)
     )
 
 
-def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Hash-partition by ``key`` only when the scan yields fewer partitions
-    than the cluster has task slots (few large row groups). A large input
-    already has far more splits than slots and is left where it is read.
-    The hash partitioning on doc_id is kept through explode and broadcast
-    joins, so the per-document L2 window needs no further shuffle."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots, key)
-    return df
-
-
 def length_filter_counts(df: DataFrame, text_col: str = "text",
                          min_length: int = tx.DEFAULT_MIN_DOC_LENGTH) -> DataFrame:
     """B2 bookkeeping: kept and skipped documents, one aggregate."""
@@ -93,19 +86,16 @@ def doc_tokens(docs: DataFrame, cfg: CorpusConfig) -> DataFrame:
 
 
 def doc_term_counts(docs: DataFrame, cfg: CorpusConfig) -> DataFrame:
-    """(doc_id, term, tf).
-
-    Explode the tokens and count per (doc_id, term). Counting is partial
-    (map-side) first, so only distinct pairs leave a task; when the
-    documents are already hash-partitioned by doc_id (``spread``) the
-    grouping needs no shuffle at all.
-    """
-    toks = doc_tokens(docs, cfg)
-    return (
-        toks.select("doc_id", F.explode("tokens").alias("term"))
-        .groupBy("doc_id", "term")
-        .agg(F.count(F.lit(1)).cast("bigint").alias("tf"))
-    )
+    """(doc_id, term, tf), counted inside each document's row: the ends of
+    the runs of equal tokens in the sorted token array give the counts."""
+    ordered = doc_tokens(docs, cfg).select("doc_id", F.array_sort("tokens").alias("_s"))
+    ends = F.filter(F.sequence(F.lit(1), F.size("_s")),
+                    lambda i: (i == F.size("_s")) | (F.get("_s", i - 1) != F.get("_s", i)))
+    runs = ordered.where(F.size("_s") > 0).withColumn("_e", ends)
+    pairs = F.transform("_e", lambda e, j: F.struct(
+        F.get("_s", e - 1).alias("term"),
+        (e - F.coalesce(F.when(j > 0, F.get("_e", j - 1)), F.lit(0))).cast("bigint").alias("tf")))
+    return runs.select("doc_id", F.explode(pairs).alias("_p")).select("doc_id", "_p.*")
 
 
 def document_frequency(doc_tf: DataFrame) -> DataFrame:
@@ -114,6 +104,8 @@ def document_frequency(doc_tf: DataFrame) -> DataFrame:
 
 
 def _stopword_frame(spark, words) -> DataFrame:
+    if isinstance(words, DataFrame):
+        return words
     rows = sorted({w.strip().lower() for w in words if w and w.strip()})
     return spark.createDataFrame([(w,) for w in rows], "term string")
 
@@ -121,9 +113,10 @@ def _stopword_frame(spark, words) -> DataFrame:
 def vocabulary(df_table: DataFrame, n_docs: DataFrame, cfg: CorpusConfig) -> DataFrame:
     """C8 + C9 + idf: terms with df >= min_df (minus stopwords), indexed in
     lexicographic order. ``n_docs`` is a one-row, one-column frame."""
-    kept = df_table.where(F.col("df") >= cfg.min_df)
-    if cfg.stopwords and cfg.ngram_range[1] == 1:
-        kept = kept.join(F.broadcast(_stopword_frame(df_table.sparkSession, cfg.stopwords)), "term", "left_anti")
+    least = F.lit(cfg.min_df) if cfg.min_df >= 1 else F.lit(float(cfg.min_df)) * n_docs.scalar()
+    kept = df_table.where(F.col("df") >= least)
+    if (isinstance(cfg.stopwords, DataFrame) or cfg.stopwords) and cfg.ngram_range[1] == 1:
+        kept = kept.join(_stopword_frame(df_table.sparkSession, cfg.stopwords), "term", "left_anti")
     n = n_docs.scalar()  # scalar subquery, evaluated once
     idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     kept = kept.withColumn("idf", idf)
@@ -134,7 +127,7 @@ def vocabulary(df_table: DataFrame, n_docs: DataFrame, cfg: CorpusConfig) -> Dat
 
 def weigh(doc_tf: DataFrame, vocab: DataFrame, cfg: CorpusConfig) -> DataFrame:
     """C10 + C11: join the vocabulary (semi-join + lookup) and weight."""
-    joined = join_small(doc_tf, vocab.select("term", "term_idx", "idf"), "term")
+    joined = doc_tf.join(vocab.select("term", "term_idx", "idf"), "term")
     w = F.col("tf") * F.col("idf") if cfg.tfidf else F.col("tf").cast("double")
     out = joined.select("doc_id", "term_idx", "term", "tf", w.alias("weight"))
     if cfg.norm:
@@ -148,8 +141,27 @@ def l2_normalize(doc_terms: DataFrame, weight: str = "weight") -> DataFrame:
     return doc_terms.withColumn(weight, F.when(norm > 0, F.col(weight) / norm).otherwise(F.col(weight)))
 
 
+class EmptyVocabularyError(ValueError):
+    """No term is left after pruning."""
+
+
+class DuplicateDocumentError(ValueError):
+    """A document id occurs more than once."""
+
+
+def check_corpus(corpus: Corpus) -> Corpus:
+    """Fail on repeated document ids and on an empty vocabulary."""
+    twice = corpus.docs.groupBy("doc_id").count().where("count > 1").first()
+    if twice is not None:
+        raise DuplicateDocumentError(f"document id {twice['doc_id']!r} occurs {twice['count']} times")
+    if corpus.vocab.isEmpty():
+        raise EmptyVocabularyError("no terms remain: lower min_df or the minimum document length")
+    return corpus
+
+
 def build_corpus(docs: DataFrame, cfg: CorpusConfig = CorpusConfig(), persist: bool = True) -> Corpus:
-    """The whole preprocessing as one plan; the products are persisted.
+    """The whole preprocessing as one plan; the products are persisted
+    (``Corpus.release`` gives them up). ``check_corpus`` validates the result.
 
     The kept documents are persisted as a slim (doc_id, label) list: every
     later operator (samples, classes, cluster sizes) reads it instead of
@@ -168,7 +180,8 @@ def build_corpus(docs: DataFrame, cfg: CorpusConfig = CorpusConfig(), persist: b
     doc_terms = weigh(doc_tf, vocab, cfg)
     if persist:
         doc_terms = doc_terms.persist(StorageLevel.MEMORY_AND_DISK)
-    return Corpus(docs=doc_list, vocab=vocab, doc_terms=doc_terms, config=cfg)
+    return Corpus(docs=doc_list, vocab=vocab, doc_terms=doc_terms, config=cfg,
+                  held=(doc_terms, vocab, doc_tf, doc_list) if persist else ())
 
 
 def class_counts(docs: DataFrame) -> DataFrame:

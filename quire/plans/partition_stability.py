@@ -22,7 +22,6 @@ from ..operators.rankings import rank_terms
 from ..operators.sampling import MODEL_KEY, sample_runs
 from ..operators.stability import stability_by_k
 from ..operators.vectorize import Corpus
-from ..session import join_small
 
 
 def _fold(df: DataFrame, kmin: int, kmax: int) -> DataFrame:
@@ -53,7 +52,7 @@ def class_fold_centroids(corpus: Corpus, kmin: int, kmax: int, runs: int,
         out = terms.join(left_out, "doc_id").groupBy("run", "class_idx", "term_idx").agg(F.sum("weight").alias("_out"))
         out_n = left_out.join(classes, "doc_id").groupBy("run", "class_idx").agg(F.count(F.lit(1)).alias("_out_n"))
         grid = grid.join(out, ["run", "class_idx", "term_idx"], "left")
-        grid_n = join_small(grid_n, out_n, ["run", "class_idx"], "left")
+        grid_n = grid_n.join(out_n, ["run", "class_idx"], "left")
     else:
         grid = grid.withColumn("_out", F.lit(None).cast("double"))
         grid_n = grid_n.withColumn("_out_n", F.lit(None).cast("bigint"))
@@ -64,7 +63,7 @@ def class_fold_centroids(corpus: Corpus, kmin: int, kmax: int, runs: int,
     sizes = grid_n.select("run", "class_idx", (F.col("_all_n") - F.coalesce(F.col("_out_n"), F.lit(0))).alias("_n"))
     topic_sums = _fold(sums, kmin, kmax).groupBy("run", "k", "topic", "term_idx").agg(F.sum("_s").alias("_s"))
     topic_sizes = _fold(sizes, kmin, kmax).groupBy("run", "k", "topic").agg(F.sum("_n").alias("_n"))
-    cent = join_small(topic_sums, topic_sizes.where(F.col("_n") > 0), ["run", "k", "topic"])
+    cent = topic_sums.join(topic_sizes.where(F.col("_n") > 0), ["run", "k", "topic"])
     return cent.select(
         F.lit(algo).alias("algo"),
         F.when(F.col("run") == 0, F.lit("reference")).otherwise(F.lit("run")).alias("kind"),

@@ -1,5 +1,4 @@
-"""Session helpers: a local session for tests, the checkpoint folder, and
-size-checked broadcast joins.
+"""Session helpers: a local session for tests, and the checkpoint folder.
 
 Nothing here configures a cluster: on a cluster the session (and its
 ``spark.checkpoint.dir``) comes from the submitter and is only read.
@@ -10,13 +9,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest side (rows) we will broadcast after counting it. A row of the
-# small tables we join (vocabulary, k x k Gram matrices, centres) is a few
-# dozen bytes, so this keeps a broadcast under ~100 MB.
-BROADCAST_MAX_ROWS = 2_000_000
-
 
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "quire") -> SparkSession:
     """A local session for tests and the bench. No UI, AQE on."""
@@ -74,16 +66,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join with ``small`` broadcast only after its row count is checked.
-
-    Above the bound the join is left to the planner (sort-merge, with AQE
-    skew splitting), so the same call is right at any size.
-    """
-    n = small.count()
-    if n <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)

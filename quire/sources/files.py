@@ -15,21 +15,14 @@ def scan_documents(spark: SparkSession, paths: list[str], glob: str | None = Non
     reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.text(paths).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+    # Bytes that are no UTF-8 arrive as U+FFFD: they are dropped. The path arrives percent-encoded.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    df = reader.text(paths).select(F.replace(F.col("value"), F.lit("\ufffd"), F.lit("")).alias("text"), path.alias("path"))
     label, doc_id = tx.doc_identity(F.col("path"))
     return df.select(doc_id.alias("doc_id"), label.alias("label"), "text", "path")
 
 
-def read_table_documents(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text",
-                         label_col: str | None = None) -> DataFrame:
-    """Table variant of A1: documents from a Parquet table."""
-    df = spark.read.parquet(path)
-    label = F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")
-    return df.select(F.col(id_col).alias("doc_id"), label.alias("label"), F.col(text_col).alias("text"))
-
-
-def load_stopwords(spark: SparkSession, path: str) -> list[str]:
-    """A3: stripped, lowercased, non-empty lines of a stopword file, as a
-    sorted list (a stopword list is small: it travels as a literal set)."""
-    lines = spark.read.text(path).select(F.lower(F.trim(F.col("value"))).alias("w")).where(F.length("w") > 0)
-    return sorted({r["w"] for r in lines.distinct().limit(1_000_000).collect()})
+def load_stopwords(spark: SparkSession, path: str) -> DataFrame:
+    """A3: the distinct stripped, lowercased, non-empty lines of a stopword file (``term``)."""
+    lines = spark.read.text(path).select(F.lower(F.trim(F.col("value"))).alias("term"))
+    return lines.where(F.length("term") > 0).distinct()
