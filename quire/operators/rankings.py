@@ -92,12 +92,21 @@ def common_depths(a: Column, b: Column) -> Column:
 
 def average_jaccard_from_depths(depths: Column, t: Column) -> Column:
     """G2 given the common depths (a materialised column) and t:
-    (1/t) sum_{i<=t} c_i / (2i - c_i), c_i = #depths <= i. Null when t = 0."""
-    total = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(t, F.lit(1))), F.lit(0.0),
-        lambda acc, i: acc + F.size(F.filter(depths, lambda d: d <= i)) / (2 * i - F.size(F.filter(depths, lambda d: d <= i))),
-    )
-    return F.when(t > 0, total / t)
+    (1/t) sum_{i<=t} c_i / (2i - c_i), c_i = #depths <= i. Null when t = 0.
+
+    c_i only changes at a depth, so the sum walks the sorted depths once with a running count."""
+    step = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(t, F.lit(1))),
+        F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("c")),
+        lambda acc, i: _add_step(acc, i, depths))
+    return F.when(t > 0, step["total"] / t)
+
+
+def _add_step(acc: Column, i: Column, depths: Column) -> Column:
+    """One depth further: ``depths`` is sorted and holds each depth at most twice."""
+    more = F.when(F.get(depths, acc["c"]) == i, F.when(F.get(depths, acc["c"] + 1) == i, 2).otherwise(1)).otherwise(0)
+    c = acc["c"] + more
+    return F.struct((acc["total"] + c / (2 * i - c)).alias("total"), c.alias("c"))
 
 
 def with_average_jaccard(df: DataFrame, a: str, b: str, out: str = "score") -> DataFrame:
@@ -105,17 +114,18 @@ def with_average_jaccard(df: DataFrame, a: str, b: str, out: str = "score") -> D
 
     With distinct terms, |a[:i] n b[:i]| = c_i, the number of common terms
     whose depth max(rank_a, rank_b) is <= i, and |a[:i] u b[:i]| = 2i - c_i.
-    The depths are a column of their own (computed once, O(t^2) per pair),
-    then the sum over i reads that column.
+    The depths are a column of their own, computed once and sorted; the sum
+    over i walks it with a running count.
     """
-    staged = df.withColumn("_t", F.least(F.size(a), F.size(b))).withColumn("_d", common_depths(F.col(a), F.col(b)))
+    staged = df.withColumn("_t", F.least(F.size(a), F.size(b))).withColumn(
+        "_d", F.array_sort(common_depths(F.col(a), F.col(b))))
     return staged.withColumn(out, average_jaccard_from_depths(F.col("_d"), F.col("_t"))).drop("_t", "_d")
 
 
 def average_jaccard(a: Column, b: Column) -> Column:
     """G2 as a single expression (for short rankings); prefer
     ``with_average_jaccard`` on a DataFrame, which stages the depths."""
-    return average_jaccard_from_depths(common_depths(a, b), F.least(F.size(a), F.size(b)))
+    return average_jaccard_from_depths(F.array_sort(common_depths(a, b)), F.least(F.size(a), F.size(b)))
 
 
 def similarity_matrix(left: DataFrame, right: DataFrame, key_cols: list[str],

@@ -15,19 +15,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .matching import ranking_set_agreement
-from .rankings import ranking_arrays, similarity_matrix, truncate_rankings, with_average_jaccard
+from .rankings import jaccard, ranking_arrays, with_average_jaccard
 
-# ln(x!) for x = 0..19, from math.lgamma
-_LN_FACT = [math.lgamma(x + 1) for x in range(20)]
+# Stirling's error ln(x!) - (x + 1/2) ln x + x - ln(2 pi) / 2 for x = 1..15, from math.lgamma.
+_STIRLING = [0.0] + [math.lgamma(x + 1) - (x + 0.5) * math.log(x) + x - 0.5 * math.log(2 * math.pi) for x in range(1, 16)]
 
 
-def ln_factorial(x: Column) -> Column:
-    """ln(x!) for a non-negative integer column."""
+def stirling_error(x: Column) -> Column:
+    """ln(x!) less Stirling's formula, for an integer column above 0."""
     xd = x.cast("double")
-    small = F.element_at(F.array(*[F.lit(v) for v in _LN_FACT]), (x + 1).cast("int"))
-    stirling = (xd * F.log(xd) - xd + 0.5 * F.log(2 * math.pi * xd)
-                + 1 / (12 * xd) - 1 / (360 * F.pow(xd, 3)) + 1 / (1260 * F.pow(xd, 5)))
-    return F.when(x < 20, small).otherwise(stirling)
+    small = F.element_at(F.array(*[F.lit(v) for v in _STIRLING]), (F.least(x, F.lit(15)) + 1).cast("int"))
+    x2 = xd * xd
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680) / x2) / x2) / x2) / xd
+    return F.when(x < 16, small).otherwise(series)
+
+
+def deviance(x: Column, mean: Column) -> Column:
+    """x ln(x / mean) + mean - x for x above 0, without cancellation where x is near the mean."""
+    v = (x - mean) / (x + mean)
+    v2 = v * v
+    tail = F.lit(1 / 19)
+    for j in range(17, 1, -2):
+        tail = 1 / j + v2 * tail
+    near = (x - mean) * v + 2 * x * v * v2 * tail
+    return F.when(F.abs(v) < 0.1, near).otherwise(x * F.log(x / mean) + mean - x)
+
+
+def ln_binomial(x: Column, n: Column, p: Column, q: Column) -> Column:
+    """ln of the binomial probability of x in n at p (q = 1 - p), in its saddle-point form."""
+    xd, nd = x.cast("double"), n.cast("double")
+    rest = n - x
+    inner = (stirling_error(n) - stirling_error(x) - stirling_error(rest) - deviance(xd, nd * p)
+             - deviance(rest.cast("double"), nd * q) + 0.5 * F.log(nd / (2 * math.pi * xd * rest.cast("double"))))
+    return (F.when(n == 0, F.lit(0.0)).when(x == 0, nd * F.log1p(-p)).when(x == n, nd * F.log1p(-q)).otherwise(inner))
 
 
 def contingency(pairs: DataFrame, key_cols: list[str], a: str = "class_idx", b: str = "topic") -> DataFrame:
@@ -82,26 +102,44 @@ def partition_scores(pairs: DataFrame, key_cols: list[str], a: str = "class_idx"
     return s.select(*key_cols, "mi", "h_a", "h_b", "emi", nmi.alias("nmi"), ami.alias("ami"), ari.alias("ari"))
 
 
+EMI_BLOCK = 1024
+
+
 def expected_mutual_information(ra: DataFrame, rb: DataFrame, tot: DataFrame, key_cols: list[str],
                                 a: str, b: str) -> DataFrame:
     """E[MI] under the hypergeometric model of random labellings.
 
     For each (a_i, b_j) the sum runs over n_ij in [max(1, a+b-N), min(a, b)],
-    clipped to mean +- 50 sd + 10: terms outside have probabilities below
-    exp(-745) and are exactly 0 in double precision.
+    in blocks of ``EMI_BLOCK`` counts, so that no row holds a long array. A
+    block is left out only where Hoeffding's bound exp(-b KL(q/b, a/N)) on the
+    probability of all counts from its near end q outward, times the greatest
+    term ln N, is below 1e-40: less than one unit in the last place of E[MI],
+    which is at least about 1/(2N). Probabilities are ratios of binomial ones
+    in saddle-point form, so nothing of the size N ln N cancels.
     """
     pairs = ra.join(rb, key_cols).join(tot, key_cols)
     A, B, N = (F.col(c).cast("double") for c in ("ai", "bj", "N"))
-    mean = A * B / N
-    sd = F.sqrt(F.greatest(A * B * (N - A) * (N - B) / (N * N * F.greatest(N - 1, F.lit(1.0))), F.lit(0.0)))
-    lo = F.greatest(F.lit(1), F.col("ai") + F.col("bj") - F.col("N"), F.floor(mean - 50 * sd - 10).cast("bigint"))
-    hi = F.least(F.col("ai"), F.col("bj"), F.ceil(mean + 50 * sd + 10).cast("bigint"))
-    steps = pairs.where(hi >= lo).select(*key_cols, "ai", "bj", "N", F.explode(F.sequence(lo, hi)).alias("q"))
+    p, r = A / N, (N - A) / N
+    lo = F.greatest(F.lit(1), F.col("ai") + F.col("bj") - F.col("N")).cast("bigint")
+    hi = F.least(F.col("ai"), F.col("bj")).cast("bigint")
+    blocks = pairs.withColumns({"_lo": lo, "_hi": hi}).where("_hi >= _lo").select(
+        *key_cols, "ai", "bj", "N", "_lo", "_hi",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_hi") - F.col("_lo")) / EMI_BLOCK))).alias("_block"))
+    first = F.col("_lo") + F.col("_block") * EMI_BLOCK
+    last = F.least(F.col("_hi"), first + EMI_BLOCK - 1)
+    near = F.when(first > A * B / N, first).when(last < A * B / N, last).cast("double")
+    share, other = near / B, 1 - near / B
+    kl = share * F.log(share / p) + F.when(other > 0, other * F.log(other / r)).otherwise(0.0)
+    alive = near.isNull() | (F.log(F.log(N) + 1) - B * kl > math.log(1e-40)) | (r <= 0)
+    steps = blocks.where(F.coalesce(alive, F.lit(True))).select(
+        *key_cols, "ai", "bj", "N", F.explode(F.sequence(first, last)).alias("q"))
     q = F.col("q")
-    ln_p = (ln_factorial(F.col("ai")) + ln_factorial(F.col("bj")) + ln_factorial(F.col("N") - F.col("ai"))
-            + ln_factorial(F.col("N") - F.col("bj")) - ln_factorial(F.col("N")) - ln_factorial(q)
-            - ln_factorial(F.col("ai") - q) - ln_factorial(F.col("bj") - q)
-            - ln_factorial(F.col("N") - F.col("ai") - F.col("bj") + q))
+    split = F.col("bj") / N  # any split of the binomials gives the same ratio
+    rest = 1 - split
+    parts = F.array(*[F.struct(x.alias("x"), n.alias("n"), F.lit(sign).alias("sign")) for x, n, sign in (
+        (q, F.col("ai"), 1.0), (F.col("bj") - q, F.col("N") - F.col("ai"), 1.0), (F.col("bj"), F.col("N"), -1.0))])
+    ln_p = F.when(F.col("bj") == F.col("N"), F.lit(0.0)).otherwise(
+        F.aggregate(parts, F.lit(0.0), lambda acc, s: acc + s["sign"] * ln_binomial(s["x"], s["n"], split, rest)))
     term = q.cast("double") / N * F.log(N * q / (A * B)) * F.exp(ln_p)
     emi = steps.groupBy(*key_cols).agg(F.sum(term).alias("emi"))
     return tot.select(*key_cols).join(emi, key_cols, "left").fillna(0.0, ["emi"])
@@ -129,29 +167,24 @@ def term_agreement(class_rank: DataFrame, test_rankings: DataFrame, key_cols: li
     """agreement of each ranking set with the class rankings at each
     depth: key_cols + score ('terms-010', ...), value. All depths go
     through one similarity matrix and one matching job."""
-    models = test_rankings.select(*key_cols).distinct()
-    left = replicate_for(class_rank.select("topic", "rank", "term"), models, key_cols)
     keys = [*key_cols, "top"]
-    sims = similarity_matrix(at_depths(left, tops), at_depths(test_rankings, tops), keys)
+    sims = class_similarity(at_depths(class_rank.select("topic", "rank", "term"), tops), at_depths(test_rankings, tops), ["top"], keys)
     agree = ranking_set_agreement(sims, keys)
     return agree.select(*key_cols, F.format_string("terms-%03d", F.col("top")).alias("score"),
                         F.col("agreement").alias("value"))
 
 
-MAX_REPLICA_KEYS = 100_000
-
-
-def replicate_for(df: DataFrame, keys: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Repeat a small ranking set for every model key.
-
-    The distinct model keys (a few hundred at most; the count is checked)
-    become a literal list exploded onto each row: a narrow operation whose
-    output is rows(df) x models, with no join."""
-    rows = keys.select(*key_cols).distinct().limit(MAX_REPLICA_KEYS + 1).collect()
-    if len(rows) > MAX_REPLICA_KEYS:
-        raise ValueError("too many model keys to replicate a ranking set")
-    lit = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in key_cols]) for r in rows])
-    return df.select("*", F.explode(lit).alias("_key")).select("*", *[F.col("_key")[c].alias(c) for c in key_cols]).drop("_key")
+def class_similarity(classes: DataFrame, models: DataFrame, on: list[str], keys: list[str],
+                     metric: str = "average_jaccard", classes_first: bool = True) -> DataFrame:
+    """Similarity of the class rankings (``on`` + topic, rank, term) with the topics of every model (``keys``, which
+    hold ``on``): the class rankings are packed to one array each and joined with the models' arrays on ``on``."""
+    a = ranking_arrays(classes, on).select(*on, F.col("topic").alias("_class"), F.col("terms").alias("ta"))
+    b = ranking_arrays(models, keys).select(*keys, F.col("topic").alias("_topic"), F.col("terms").alias("tb"))
+    pairs = b.join(a, on)
+    row, col = ("_class", "_topic") if classes_first else ("_topic", "_class")
+    pairs = with_average_jaccard(pairs, "ta", "tb") if metric == "average_jaccard" else pairs.withColumn(
+        "score", jaccard(F.col("ta"), F.col("tb")))
+    return pairs.select(*keys, F.col(row).alias("row"), F.col(col).alias("col"), "score")
 
 
 def topic_diversity(rankings: DataFrame, key_cols: list[str], tops=(10,)) -> DataFrame:
@@ -186,9 +219,3 @@ def score_table(scores: DataFrame, include_mean: bool = True) -> DataFrame:
     means = scores.groupBy("score").agg(F.avg("value").alias("value")).select(
         F.lit("MEAN").alias("experiment"), "score", "value")
     return filled.unionByName(means)
-
-
-def pivot_scores(table: DataFrame) -> DataFrame:
-    """Wide display of ``score_table``: one column per score (sorted)."""
-    names = sorted(r[0] for r in table.select("score").distinct().collect())
-    return table.groupBy("experiment").pivot("score", names).agg(F.first("value"))

@@ -64,10 +64,10 @@ dt AS (SELECT doc_id, term_idx, term, tf,
                FROM tf JOIN vocab v USING (term))"""
     return f"""{docs_cte(label_col)},
 {tokens_cte()},
-tf AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM toks GROUP BY doc_id, term),
-dfq AS (SELECT term, CAST(count(*) AS BIGINT) AS df FROM tf GROUP BY term),
+tf AS MATERIALIZED (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM toks GROUP BY doc_id, term),
+dfq AS MATERIALIZED (SELECT term, CAST(count(*) AS BIGINT) AS df FROM tf GROUP BY term),
 ndocs AS (SELECT CAST(count(*) AS BIGINT) AS n FROM docs),
-vocab AS (SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_idx, term, df,
+vocab AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_idx, term, df,
                  ln((1 + n) / (1 + df)) + 1 AS idf
           FROM dfq, ndocs WHERE df >= {min_df} {stop}),
 {dt}"""

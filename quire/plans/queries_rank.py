@@ -251,8 +251,9 @@ def _ref_vs_lang(spark, sf_dir, metric):
     c, r = fold_rankings(spark, sf_dir)
     ref = r.where(F.col("kind") == "reference").select("k", "topic", "rank", "term")
     cls = va.class_rankings(c.doc_terms, lang_classes(spark, sf_dir, c), c.vocab, top=FLAG_TOP)
-    cls = va.replicate_for(cls.select("topic", "rank", "term"), ref.select("k"), ["k"])
-    sims = rk.similarity_matrix(ref, cls, ["k"], metric=metric)
+    one = F.lit("classes").alias("set")  # both sides carry it: the class rankings meet every model's
+    sims = va.class_similarity(cls.select(one, "topic", "rank", "term"), ref.select(one, "*"), ["set"], ["set", "k"],
+                               metric, classes_first=False)
     return sims.select(i64("k").alias("k"), i64("row").alias("row"), i64("col").alias("col"), r6("score").alias("score"))
 
 
