@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import kmeans as km
@@ -20,7 +21,7 @@ def _prototypes(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     key = F.md5(F.concat_ws(":", F.lit(str(O.SEED)), F.lit("proto"), F.col("vec_id").cast("string")))
     return e.orderBy(key).limit(N_PROTO).select(
-        F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(key)).alias("_r"),
+        F.row_number().over(Window.orderBy(key)).alias("_r"),  # N_PROTO rows
         "embedding").select((F.col("_r") - 1).cast("int").alias("topic"), "embedding")
 
 
@@ -104,10 +105,10 @@ def q_skm_stability(spark, sf_dir):
 def _nmf_start_sql(k: int) -> str:
     key = "'nmf', 'reference', " + str(k) + ", 0"
     return f"""W0 AS (SELECT d.doc_id, CAST(t.range AS INTEGER) AS topic,
-              (('0x' || substr(md5(concat_ws(':', '{O.SEED}', 'w', {key}, d.doc_id, t.range)), 1, 8))::BIGINT % 1000 + 1) / 1000.0 AS w
+              (('0x' || substr(md5(concat_ws(':', '{O.SEED}', 'w', {key}, d.doc_id, t.range)), 1, 8))::BIGINT + 1) / 4294967296.0 AS w
        FROM docs d, range(0, {k}) t),
 H0 AS (SELECT CAST(t.range AS INTEGER) AS topic, v.term_idx,
-              (('0x' || substr(md5(concat_ws(':', '{O.SEED}', 'h', {key}, t.range, v.term_idx)), 1, 8))::BIGINT % 1000 + 1) / 1000.0 AS h
+              (('0x' || substr(md5(concat_ws(':', '{O.SEED}', 'h', {key}, t.range, v.term_idx)), 1, 8))::BIGINT + 1) / 4294967296.0 AS h
        FROM vocab v, range(0, {k}) t),
 wtx AS (SELECT W0.topic, dt.term_idx, sum(dt.weight * W0.w) AS n FROM dt JOIN W0 USING (doc_id) GROUP BY ALL),
 wtw AS (SELECT a.topic AS t1, b.topic AS t2, sum(a.w * b.w) AS g FROM W0 a JOIN W0 b USING (doc_id) GROUP BY ALL),
@@ -177,15 +178,15 @@ def q_nmf_kl_step(spark, sf_dir):
 def _nmf_sweep(spark, sf_dir, iters=10):
     c = corpus(spark, sf_dir, label_col="lang", cfg=MATRIX_CFG)
     mem = sm.model_members(c.docs.select("doc_id"), "nmf", SWEEP_KMIN, SWEEP_KMAX, SWEEP_RUNS, O.RATIO, O.SEED)
-    W, H = nm.nmf(c.doc_terms, mem, c.vocab, KEYS, max_iter=iters, seed=O.SEED)
-    return c, mem, W, H
+    W, H, errors = nm.fit(c.doc_terms, mem, c.vocab, KEYS, max_iter=iters, seed=O.SEED)
+    return c, mem, W, H, errors
 
 
 @query("nmf_fit")
 def q_nmf_fit(spark, sf_dir):
     """D1 + D4 + D20: NMF sweep (k=2..3, reference + 2 runs, 10 iterations):
     top-10 term rankings of every model."""
-    c, _, _, H = _nmf_sweep(spark, sf_dir)
+    c, _, _, H, _ = _nmf_sweep(spark, sf_dir)
     r = rk.rank_terms(nm.factor_weights(H, KEYS), c.vocab, KEYS, top=10)
     return r.select("algo", "kind", i64("k").alias("k"), i64("run").alias("run"), i64("topic").alias("topic"),
                     i64("rank").alias("rank"), "term", r6("weight").alias("weight"))
@@ -194,7 +195,6 @@ def q_nmf_fit(spark, sf_dir):
 @query("nmf_error")
 def q_nmf_error(spark, sf_dir):
     """D1 objective after the sweep: ||X - WH||^2 per model (no dense product)."""
-    c, mem, W, H = _nmf_sweep(spark, sf_dir)
-    X = nm.model_rows(c.doc_terms, mem, KEYS)
-    e = nm.squared_error(X, W, H, KEYS)
-    return e.select("algo", "kind", i64("k").alias("k"), i64("run").alias("run"), r6("error").alias("error"))
+    _, _, _, _, errors = _nmf_sweep(spark, sf_dir)
+    return errors.select("algo", "kind", i64("k").alias("k"), i64("run").alias("run"), i64("n_iter").alias("n_iter"),
+                         r6("error").alias("error"))
