@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.formatting import term_with_weight
 from .matching import optimal_assignment
 from .rankings import similarity_matrix
 
@@ -48,13 +47,14 @@ def ensemble_weights(rankings: DataFrame, group_cols: list[str], relevance: str
 def ensemble_ranking(weights: DataFrame, group_cols: list[str], top: int = -1,
                      include_weights: bool = False) -> DataFrame:
     """Terms by total weight (desc, then term); top <= 0 keeps all.
-    With weights the entry reads 'term (w/runs)' with two decimals."""
+    With weights the entry reads 'term (w/runs)' with two decimals, rounded half
+    up from nine decimals, so that the order of a sum can't change it."""
     order = Window.partitionBy(*group_cols).orderBy(F.round("weight", 9).desc(), F.col("term"))
     ranked = weights.withColumn("rank", F.row_number().over(order))
     if top > 0:
         ranked = ranked.where(F.col("rank") <= F.lit(top))
-    entry = term_with_weight(F.col("term"), F.col("weight") / F.col("runs")) if include_weights \
-        else F.col("term")
+    mean = F.round(F.round(F.col("weight") / F.col("runs"), 9).cast("decimal(38,9)"), 2).cast("decimal(38,2)")
+    entry = F.concat("term", F.lit(" ("), mean.cast("string"), F.lit(")")) if include_weights else F.col("term")
     return ranked.select(*group_cols, "rank", entry.alias("entry"))
 
 

@@ -13,7 +13,8 @@ iteration is
 
 The stop rule is the reference's: stop when (1 - delta) * prev <= avg <= prev
 or at the last iteration; an empty cluster keeps its previous centre.
-Lineage is cut with a reliable checkpoint every few iterations.
+Lineage is cut with a reliable checkpoint of the centres every iteration; a
+model's assignment is written once, when it stops.
 """
 
 from __future__ import annotations
@@ -59,23 +60,23 @@ def distance(a: Column, b: Column, metric: str = "cosine", p: float = 2.0) -> Co
     raise ValueError(f"unknown metric {metric}")
 
 
-MAX_LITERAL_CENTRES = 10_000
+CENTRE_BLOCK = 256
 
 
 def distances_to_centres(points: DataFrame, centres: DataFrame, vec: str = "embedding",
                          metrics=("cosine",)) -> DataFrame:
     """D12 for dense vectors: distance of every point to every centre.
 
-    The centres (k rows, a checked bound) travel as one literal array, so
-    each point row computes its k distances in place: no join, no shuffle.
+    The centres are packed to rows of at most ``CENTRE_BLOCK``; every point
+    names each block and meets it in an equi-join that the planner broadcasts
+    by its real size, then computes the block's distances in place.
     Output: point columns + topic + one column per metric.
     """
-    rows = centres.orderBy("topic").limit(MAX_LITERAL_CENTRES + 1).collect()
-    if len(rows) > MAX_LITERAL_CENTRES:
-        raise ValueError("too many centres for a literal broadcast")
-    lit = F.array(*[F.struct(F.lit(int(r["topic"])).alias("topic"),
-                             F.array(*[F.lit(float(v)) for v in r[vec]]).alias("c")) for r in rows])
-    ex = points.select("*", F.explode(lit).alias("_c"))
+    packed = centres.groupBy(F.floor(F.col("topic") / CENTRE_BLOCK).alias("_block")).agg(
+        F.array_sort(F.collect_list(F.struct("topic", F.col(vec).cast("array<double>").alias("c")))).alias("_cs"))
+    last = centres.agg(F.floor(F.max("topic") / CENTRE_BLOCK)).scalar()
+    named = points.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_block"))
+    ex = named.join(packed, "_block").select(*points.columns, F.explode("_cs").alias("_c"))
     cols = [distance(F.col(vec), F.col("_c.c"), m).alias(m) for m in metrics]
     return ex.select(*[c for c in points.columns], F.col("_c.topic").alias("topic"), *cols)
 
@@ -91,18 +92,21 @@ def nearest(dist: DataFrame, key_cols: list[str], metric: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Sparse spherical k-means over document-term rows
 # ---------------------------------------------------------------------------
-def _assign(rows: DataFrame, members: DataFrame, centres: DataFrame, key_cols: list[str]) -> DataFrame:
+def _assign(rows: DataFrame, members: DataFrame, centres: DataFrame, topics: DataFrame, key_cols: list[str]) -> DataFrame:
     """Cosine distance of each member document to each centre of its model,
-    then the nearest centre. rows: doc_id, term_idx, weight (+ norm)."""
+    then the nearest centre. rows: doc_id, term_idx, weight. ``topics`` (keys,
+    topic) names every topic: one whose centre is all zeros has no centre rows
+    and is at distance 1 from every document."""
     keys = list(key_cols)
-    cn = centres.groupBy(*keys, "topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_cn"))
+    norm = centres.groupBy(*keys, "topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_cn"))
+    cn = topics.join(norm, [*keys, "topic"], "left").fillna(0.0, ["_cn"])
     x = rows.join(members, "doc_id")  # (model, doc, term, w)
     c = centres.select(*keys, "topic", "term_idx", F.col("weight").alias("_cw"))
     dots = x.join(c, [*keys, "term_idx"]).groupBy(*keys, "doc_id", "topic").agg(
         F.sum(F.col("weight") * F.col("_cw")).alias("_dot"))
     # every (member, topic): documents sharing no term with a centre have dot 0
-    topics = cn.groupBy(*keys).agg(F.collect_list("topic").alias("_ts"))
-    grid = members.join(F.broadcast(topics), keys).select(*keys, "doc_id", F.explode("_ts").alias("topic"))
+    every = cn.groupBy(*keys).agg(F.collect_list("topic").alias("_ts"))  # models x topics: bounded by the grid
+    grid = members.join(F.broadcast(every), keys).select(*keys, "doc_id", F.explode("_ts").alias("topic"))
     norms = rows.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_xn"))
     d = (grid.join(dots, [*keys, "doc_id", "topic"], "left")
          .join(norms, "doc_id", "left")
@@ -123,9 +127,12 @@ def _centres(rows: DataFrame, assign: DataFrame, old: DataFrame, key_cols: list[
 
 
 def kmeans(rows: DataFrame, members: DataFrame, init_centres: DataFrame, key_cols: list[str],
-           max_iter: int = 100, delta: float = 0.001, checkpoint_every: int = 3):
+           max_iter: int = 100, delta: float = 0.001, topics: DataFrame | None = None):
     """D11 (cosine) for every model at once.
 
+    ``topics`` (keys, topic) lists the topics of each model where a starting
+    centre may be empty; by default they are those that have centre rows.
+
     rows: doc_id, term_idx, weight. members: key_cols + doc_id.
     init_centres: key_cols + topic, term_idx, weight.
     Returns (centres, assignment: key_cols + doc_id, topic, distance,
@@ -134,6 +141,7 @@ def kmeans(rows: DataFrame, members: DataFrame, init_centres: DataFrame, key_col
     keys = list(key_cols)
     rows = rows.select("doc_id", "term_idx", "weight")
     centres = init_centres.select(*keys, "topic", "term_idx", "weight")
+    topics = cut_lineage((centres if topics is None else topics).select(*keys, "topic").distinct())
     prev: dict[tuple, float] = {}
     done: dict[tuple, tuple[int, float]] = {}
     finished_assign = []
@@ -141,7 +149,7 @@ def kmeans(rows: DataFrame, members: DataFrame, init_centres: DataFrame, key_col
     active_members = members
     assign = None
     for it in range(1, max_iter + 1):
-        assign = _assign(rows, active_members, centres, keys).persist(StorageLevel.MEMORY_AND_DISK)
+        assign = _assign(rows, active_members, centres, topics, keys).persist(StorageLevel.MEMORY_AND_DISK)
         avgs = {tuple(r[c] for c in keys): r["av"] for r in
                 assign.groupBy(*keys).agg(F.avg("distance").alias("av")).collect()}
         stop = []
@@ -153,7 +161,7 @@ def kmeans(rows: DataFrame, members: DataFrame, init_centres: DataFrame, key_col
             prev[key] = av
         if stop:
             cond = _key_in(keys, stop)
-            finished_assign.append(assign.where(cond))
+            finished_assign.append(cut_lineage(assign.where(cond)))
             finished_centres.append(centres.where(cond))
         live = [k for k in avgs if k not in done]
         if not live:
@@ -162,9 +170,8 @@ def kmeans(rows: DataFrame, members: DataFrame, init_centres: DataFrame, key_col
         # the centres feed three places of the next plan: cut their lineage
         # every iteration so the plan stays the size of one iteration
         centres = cut_lineage(_centres(rows, assign.where(cond), centres.where(cond), keys))
-        active_members = active_members.where(cond)
-        if it % checkpoint_every == 0:
-            finished_assign = [cut_lineage(a) for a in finished_assign]
+        assign.unpersist()
+        active_members = cut_lineage(active_members.where(cond)) if stop else active_members
     out_assign = finished_assign[0]
     for a in finished_assign[1:]:
         out_assign = out_assign.unionByName(a)

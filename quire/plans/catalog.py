@@ -59,3 +59,4 @@ from . import queries_rank  # noqa: E402,F401
 from . import queries_valid  # noqa: E402,F401
 from . import queries_models  # noqa: E402,F401
 from . import queries_io  # noqa: E402,F401
+from . import queries_lda  # noqa: E402,F401

@@ -72,7 +72,7 @@ def _skm(spark, sf_dir, max_iter=10):
     mem = sm.model_members(c.docs.select("doc_id"), "skm", SWEEP_KMIN, SWEEP_KMAX, SWEEP_RUNS, O.RATIO, O.SEED)
     protos = sm.prototype_sample(mem, KEYS, SWEEP_KMAX, seed=O.SEED)
     init = km.prototype_centres(c.doc_terms, protos, KEYS)
-    cent, assign, iters = km.kmeans(c.doc_terms, mem, init, KEYS, max_iter=max_iter)
+    cent, assign, iters = km.kmeans(c.doc_terms, mem, init, KEYS, max_iter=max_iter, topics=protos)
     return c, cent, assign, iters
 
 

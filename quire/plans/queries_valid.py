@@ -59,7 +59,7 @@ WITH {ENS_SQL},
 o AS (SELECT k, topic, term, weight, runs,
              row_number() OVER (PARTITION BY k, topic ORDER BY round(weight, 9) DESC, term) AS rank FROM ens)
 SELECT CAST(k AS BIGINT) AS k, CAST(topic AS BIGINT) AS topic, CAST(rank AS BIGINT) AS rank,
-       printf('%s (%.2f)', term, weight / runs) AS entry FROM o WHERE rank <= 10""")
+       term || ' (' || CAST(CAST(round(CAST(round(weight / runs, 9) AS DECIMAL(38,9)), 2) AS DECIMAL(38,2)) AS VARCHAR) || ')' AS entry FROM o WHERE rank <= 10""")
 def q_ensemble_ranking(spark, sf_dir):
     """Top 10 ensemble terms with their mean relevance."""
     _, w = _ens(spark, sf_dir)
