@@ -41,8 +41,9 @@ def token_pattern(min_term_length: int = 2) -> str:
 
 
 # ---------------------------------------------------------------------------
-# Accent folding. The table is built by rule: every BMP character whose NFKD
-# form, once combining marks are dropped, is one different character.
+# Accent folding. The tables are built by rule from NFKD forms without their
+# combining marks: characters that become one other character, combining marks
+# (deleted), and characters that become several ASCII letters (ligatures).
 # ---------------------------------------------------------------------------
 @lru_cache(maxsize=1)
 def fold_table() -> tuple[str, str]:
@@ -55,7 +56,18 @@ def fold_table() -> tuple[str, str]:
         if len(base) == 1 and base != ch:
             src.append(ch)
             dst.append(base)
-    return "".join(src), "".join(dst)
+    marks = [chr(cp) for cp in range(0x80, 0x10000) if unicodedata.combining(chr(cp))]
+    return "".join(src + marks), "".join(dst)  # translate deletes what has no counterpart
+
+
+@lru_cache(maxsize=1)
+def ligature_table() -> dict[str, str]:
+    out = {}
+    for cp in range(0x80, 0x10000):
+        base = unicodedata.normalize("NFKD", chr(cp))
+        if len(base) > 1 and base.isascii() and base.isalpha():
+            out[chr(cp)] = base.lower()
+    return out
 
 
 def strip_accents_exact(s: str | None) -> str | None:
@@ -72,15 +84,20 @@ def _nfkd_fold(s: pd.Series) -> pd.Series:
 def fold_accents(col: Column, exact: bool = False) -> Column:
     """Lowercase, then drop accents.
 
-    Default: one ``translate`` with the rule-built table (JVM, codegen).
-    ``exact=True``: full NFKD semantics, including one-to-many
-    decompositions (ligatures, Hangul), through an Arrow-batched UDF.
+    Default: one ``translate`` with the rule-built table (JVM, codegen), which
+    also deletes combining marks, and replacements for ligatures in the texts
+    that hold one. ``exact=True``: full NFKD semantics for the rest of the
+    one-to-many forms too (Hangul syllables), through an Arrow-batched UDF.
     """
     low = F.lower(col)
     if exact:
         return _nfkd_fold(low)
     src, dst = fold_table()
-    return F.translate(low, src, dst)
+    folded = F.translate(low, src, dst)
+    spelled = folded
+    for char, letters in ligature_table().items():
+        spelled = F.replace(spelled, F.lit(char), F.lit(letters))
+    return F.when(low.rlike("[" + "".join(ligature_table()) + "]"), spelled).otherwise(folded)
 
 
 def strip_uris(col: Column) -> Column:

@@ -17,7 +17,7 @@ def scan_documents(spark: SparkSession, paths: list[str], glob: str | None = Non
         reader = reader.option("pathGlobFilter", glob)
     # Bytes that are no UTF-8 arrive as U+FFFD: they are dropped. The path arrives percent-encoded.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    df = reader.text(paths).select(F.replace(F.col("value"), F.lit("\ufffd"), F.lit("")).alias("text"), path.alias("path"))
+    df = reader.text(paths).select(F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")).alias("text"), path.alias("path"))
     label, doc_id = tx.doc_identity(F.col("path"))
     return df.select(doc_id.alias("doc_id"), label.alias("label"), "text", "path")
 
