@@ -76,3 +76,38 @@ def q_lda_counts(spark, sf_dir):
     c = corpus(spark, sf_dir, cfg=MATRIX_CFG)
     return store.lda_counts(c.doc_terms).select(i64("doc_id").alias("doc_id"), i64("term_idx").alias("term_idx"),
                                                 i64("count").alias("count"))
+
+
+@query("partition_roundtrip", sql=f"""
+WITH {O.docs_cte()}, {O.members_cte(2)}, {O.class_idx_cte()}
+SELECT CAST(m.run AS BIGINT) AS run, CAST(m.doc_id AS BIGINT) AS doc_id, CAST(c.class_idx % 2 AS BIGINT) AS topic
+FROM members m JOIN cls c USING (doc_id)""")
+def q_partition_roundtrip(spark, sf_dir):
+    """The document partition of each run (classes folded to two topics) written by (algo, k) and read back."""
+    from ..operators import sampling as sm
+    from ..operators.centroids import class_partition
+    c = corpus(spark, sf_dir, cfg=COUNT_CFG)
+    mem = sm.model_members(c.docs.select("doc_id"), "class", 2, 2, 2, O.RATIO, O.SEED)
+    part = mem.join(class_partition(c.docs).where("class_idx >= 0"), "doc_id").withColumn("topic", F.pmod("class_idx", F.lit(2)))
+    path = scratch_path(spark, "partition")
+    store.save_partitions(part.select("algo", "kind", "k", "run", "doc_id", "topic"), path)
+    back = store.load_table(spark, path)
+    return back.select(i64("run").alias("run"), i64("doc_id").alias("doc_id"), i64("topic").alias("topic"))
+
+
+STOP_DF = 100
+
+
+@query("stopwords", sql=f"""
+WITH {O.matrix_ctes(stopwords=(), tfidf=False, norm=False)}
+SELECT term FROM vocab WHERE df >= {STOP_DF}""")
+def q_stopwords(spark, sf_dir):
+    """A3: the corpus's commonest terms written as an untidy stopword file and read back."""
+    from ..operators import vectorize as vz
+    from ..sources import files
+    cfg = vz.CorpusConfig(min_df=STOP_DF)
+    vocab = corpus(spark, sf_dir, cfg=cfg).vocab
+    path = scratch_path(spark, "stopwords")
+    lines = vocab.select(F.explode(F.array(F.concat(F.lit("  "), F.upper("term"), F.lit(" ")), F.col("term"), F.lit(""))))
+    lines.toDF("value").write.text(path)
+    return files.load_stopwords(spark, path).select("term")

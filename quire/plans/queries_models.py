@@ -10,6 +10,8 @@ from ..operators import nmf as nm
 from ..operators import rankings as rk
 from ..operators import sampling as sm
 from ..operators import stability as st
+from ..session import scratch_path
+from ..sources import store
 from . import oracle_sql as O
 from .catalog import MATRIX_CFG, corpus, i64, query, r6, table
 
@@ -198,3 +200,20 @@ def q_nmf_error(spark, sf_dir):
     _, _, _, _, errors = _nmf_sweep(spark, sf_dir)
     return errors.select("algo", "kind", i64("k").alias("k"), i64("run").alias("run"), i64("n_iter").alias("n_iter"),
                          r6("error").alias("error"))
+
+
+@query("factors_roundtrip", sql=f"""
+WITH {O.matrix_ctes()}, {_nmf_start_sql(STEP_K)}
+SELECT 'W' AS factor, CAST(topic AS BIGINT) AS topic, CAST(doc_id AS BIGINT) AS id, round(w, 6) AS value FROM W1
+UNION ALL SELECT 'H', CAST(topic AS BIGINT), CAST(term_idx AS BIGINT), round(h, 6) FROM H1""")
+def q_factors_roundtrip(spark, sf_dir):
+    """Both factors after one NMF step written by (algo, k) and read back."""
+    _, H1, W1 = _nmf_one_step(spark, sf_dir)
+    paths = {}
+    for name, factor in (("W", W1.withColumnsRenamed({"doc_id": "id", "w": "value"})),
+                         ("H", H1.withColumnsRenamed({"term_idx": "id", "h": "value"}))):
+        paths[name] = scratch_path(spark, f"factor-{name}")
+        store.save_partitions(factor.select(*KEYS, "topic", i64("id").alias("id"), "value"), paths[name])
+    back = [store.load_table(spark, p).select(F.lit(n).alias("factor"), i64("topic").alias("topic"), "id", r6("value").alias("value"))
+            for n, p in paths.items()]
+    return back[0].unionByName(back[1])
