@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 
 from . import words as wd
 
-PER_CLASS = 5000
+PER_CLASS = 3000
 BUCKETS = 1 << 17
 PREFIXES = (3, 4, 5)
 WIDTHS = (1, 2, 3)
 SIZE = 16
+BATCH_WORDS = 1 << 15
+SLICE = 3 << 19
 FILTERS = 8
 AT = 0.7
 # Common words of each language, and the languages in the order in which ties are broken.
@@ -120,22 +122,50 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int = 10, batch: int = 64,
-          rate: float = 0.05, seed: int = 7) -> Network:
-    """``texts``: of each document its words' hashed rows (words x units)."""
+def log_odds(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """For each hashed row how much likelier a toxic text holds it, drawn to 0 where few texts hold it."""
+    held = {y: np.zeros(BUCKETS) for y in (0, 1)}
+    for text, y in zip(texts, labels):
+        held[int(y)][np.unique(text)] += 1
+    n = {y: max(1, int((labels == y).sum())) for y in (0, 1)}
+    odds = np.log((held[1] + 0.5) / (n[1] + 1)) - np.log((held[0] + 0.5) / (n[0] + 1))
+    support = held[1] * n[0] / n[1] + held[0]
+    return np.where(held[0] + held[1] > 0, odds * support / (support + n[0] / n[1] * 10), 0.0)
+
+
+def batches(order: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Runs of at most ``most`` texts with at most BATCH_WORDS words, but for a longer text."""
+    a = 0
+    while a < len(order):
+        words = np.cumsum(sizes[order[a:a + most]])
+        b = a + max(1, int(np.searchsorted(words, BATCH_WORDS, side="right")))
+        yield order[a:b]
+        a = b
+
+
+def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epochs: int = 8, batch: int = 64,
+          rate: float = 0.02, seed: int = 7) -> Network:
+    """``texts``: of each document its words' hashed rows (words x units).
+
+    The first number of an embedding starts as the row's log odds and the first filter as a look at it, the rest
+    at random.
+    """
     rng = np.random.default_rng(seed)
-    net = Network(rows=(rng.standard_normal((BUCKETS, SIZE)) * 0.1).astype(np.float32),
+    net = Network(rows=(rng.standard_normal((BUCKETS, SIZE)) * 0.05).astype(np.float32),
                   kernels=[(rng.standard_normal((w, SIZE, FILTERS)) / np.sqrt(w * SIZE)).astype(np.float32) for w in WIDTHS],
-                  out=(rng.standard_normal(len(WIDTHS) * FILTERS) * 0.3).astype(np.float32))
+                  out=(rng.standard_normal(len(WIDTHS) * FILTERS) * 0.1).astype(np.float32))
+    net.rows[:, 0] = log_odds(texts, labels)
+    net.kernels[0][:, :, 0] = 0
+    net.kernels[0][0, 0, 0] = net.out[0] = 1
+    net.shift = -1.0
     squares = np.full(BUCKETS, 1e-6, np.float32)
     dense = [net.bias, net.out, *net.kernels]
     dense_squares = [np.full(p.shape, 1e-6, np.float32) for p in dense]
     shift_square = 1e-6
     n_units = 1 + len(PREFIXES)
+    sizes = np.array([len(t) for t in texts])
     for _ in range(epochs):
-        order = rng.permutation(len(texts))
-        for b in range(0, len(order), batch):
-            pick = order[b:b + batch]
+        for pick in batches(rng.permutation(len(texts)), sizes, batch):
             counts = np.array([len(texts[i]) for i in pick])
             unit = np.concatenate([texts[i] for i in pick])
             embedded = np.zeros((len(unit) + 1, SIZE), np.float32)
@@ -220,9 +250,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
                     names=["doc_id", "y", "language", "units"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = (docs.select("doc_id", "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")  # at most 2 * per_class rows
-            .mapInArrow(hashed, f"doc_id {kind}, y int, language int, units binary")
-            .orderBy(F.xxhash64("doc_id"), "doc_id").collect())
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")  # at most 2 * per_class rows
+    rows = wd.in_batches(sample, SLICE).mapInArrow(hashed, f"doc_id {kind}, y int, language int, units binary").withColumn(
+        "place", F.xxhash64("doc_id")).collect()
+    rows.sort(key=lambda r: (r["place"], r["units"]))
     texts = [np.frombuffer(r["units"], np.int32).reshape(-1, 1 + len(PREFIXES)) for r in rows]
     y = np.array([r["y"] for r in rows], np.float32)
     if not len(rows) or y.min() == y.max():
@@ -237,8 +268,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     fit_on = np.flatnonzero(~held)
     net = train([texts[i] for i in fit_on], y[fit_on], balance[fit_on])
     check = np.flatnonzero(held) if held.any() else fit_on
-    counts = np.array([len(texts[i]) for i in check])
-    logits = net.logits(np.concatenate([texts[i] for i in check]), np.arange(counts.sum()), counts)
+    logits = np.concatenate([net.logits(np.concatenate([texts[i] for i in pick]), np.arange(sum(len(texts[i]) for i in pick)),
+                                        np.array([len(texts[i]) for i in pick]))
+                             for pick in batches(check, np.array([len(t) for t in texts]), 64)])
     language = np.array([rows[i]["language"] for i in check])
     overall = threshold(logits, y[check], share[check])
     for k in range(len(LANGUAGES)):
@@ -257,7 +289,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shipped.value
         for batch in batches:
-            for s in wd.word_slices(batch.column("text"), wd.ALNUM, 4 << 20):
+            for s in wd.word_slices(batch.column("text"), wd.ALNUM, SLICE):
                 n = len(s.ends)
                 if net.constant is not None:
                     value = np.full(n, net.constant)
@@ -269,7 +301,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
                 part = batch.slice(s.rows.start, s.rows.stop - s.rows.start)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value)], names=[*part.schema.names, "toxicity"])
 
-    return docs.mapInArrow(run, f"{fields}, toxicity double")
+    return wd.in_batches(docs, SLICE).mapInArrow(run, f"{fields}, toxicity double")
 
 
 def learning_rows(labels: DataFrame) -> DataFrame:
