@@ -274,7 +274,7 @@ def annotate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
                      pa.array(best_item, mask=np.asarray(none)), pa.array(best_at, mask=np.asarray(none))],
                     names=[*part.schema.names, *ADDED])
 
-    return docs.mapInArrow(run, f"{fields}, n_words long, n_hit long, items array<long>, longest_match long, "
+    return wd.in_batches(docs, SHARD).mapInArrow(run, f"{fields}, n_words long, n_hit long, items array<long>, longest_match long, "
                                 "longest_item long, longest_at long")
 
 

@@ -45,7 +45,8 @@ _CLASS = np.zeros(256, np.uint8)
 _CLASS[65:91] = _CLASS[97:123] = _LETTER
 _CLASS[33:127][_CLASS[33:127] == 0] = _OTHER
 _CLASS[39] = 0  # an apostrophe may belong to either side
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
+SLICE = 3 << 20
 
 
 class Encoder:
@@ -163,7 +164,7 @@ def encode(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for rows, raw, off in wd.slices(batch.column("text"), 6 << 20):
+            for rows, raw, off in wd.slices(batch.column("text"), SLICE):
                 ids, ends = enc.ids(raw, off)
                 text = raw.tobytes()
                 odd = {i for i in range(len(ends)) if any(s in text[off[i]:off[i + 1]] for s in SPECIAL)} \
@@ -192,7 +193,7 @@ def encode(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
                 yield pa.RecordBatch.from_pydict(cols)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
+    return wd.in_batches(docs.select("doc_id", "text"), SLICE).mapInArrow(
         run, f"doc_id {kind}, {PIECES}" + (", ids array<int>" if with_ids else ""))
 
 

@@ -220,7 +220,7 @@ def measured(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], lists], names=[*keep, "features"])
 
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", features array<double>")
+    return wd.in_batches(docs.select(*keep, "text")).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", features array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Additive:
@@ -263,4 +263,4 @@ def score(docs: DataFrame, model: Additive) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(value)], names=["doc_id", "quality"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, quality double")
+    return wd.in_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, quality double")

@@ -36,6 +36,7 @@ from .graph import components
 
 SEED = 42
 TILE = 2048
+SLICE = 2 << 20
 QUARTERS = 4
 
 
@@ -96,14 +97,14 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, raw, off in wd.slices(batch.column("text"), 4 << 20):
+            for rows, raw, off in wd.slices(batch.column("text"), SLICE):
                 words, ends = wd.split(raw, off, wd.LOWER)
                 fp = majority(*shingle_hashes(words, ends, size))
                 ids = batch.column("doc_id").slice(rows.start, rows.stop - rows.start)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return wd.in_batches(docs.select("doc_id", "text"), SLICE).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _quarter(fp: Column, k: int) -> Column:

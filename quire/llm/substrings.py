@@ -38,9 +38,9 @@ from . import arrays as ar
 from . import words as wd
 
 DEPTH = 2
-SEGMENT = 24  # cells of a segment, as a power of two
-SHARD_BYTES = 1 << 24  # of text for each table of repeated windows
-SLICE = 10 << 20
+SEGMENT = 23  # cells of a segment, as a power of two
+SHARD_BYTES = 1 << 23  # of text for each table of repeated windows
+SLICE = 4 << 20
 LAST = np.iinfo(np.int64).max
 BASES = (np.uint64(0x9E3779B97F4A7C55), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -151,7 +151,7 @@ def build_sketch(docs: DataFrame, size: int, width: int, folder: str) -> Sketch:
         ar.save(sketch.segment(row, k), np.packbits(flags, bitorder="little"))
         return pa.table({"row": pa.array([row], pa.int32()), "set": pa.array([int(flags.sum())], pa.int64())})
 
-    (docs.select("text").mapInArrow(count, "row int, segment int, steps array<short>")
+    (wd.in_batches(docs.select("text"), SLICE).mapInArrow(count, "row int, segment int, steps array<short>")
      .groupBy("row", "segment").applyInArrow(merge, "row int, set long").agg(F.sum("set")).collect())
     return sketch
 
@@ -234,7 +234,7 @@ def group_exactly(docs: DataFrame, size: int, sketch: Sketch, shards: int, folde
         return pa.table({"shard": pa.array([k], pa.int32()), "n": pa.array([int(twice.sum())], pa.int64())})
 
     schema = "shard int, a array<long>, b array<long>, doc array<long>, start array<long>, n array<short>"
-    (docs.select("doc_id", "text").mapInArrow(gather, schema)
+    (wd.in_batches(docs.select("doc_id", "text"), SLICE).mapInArrow(gather, schema)
      .groupBy("shard").applyInArrow(store, "shard int, n long").agg(F.sum("n")).collect())
     return firsts
 
@@ -283,4 +283,4 @@ def deduplicate(docs: DataFrame, size: int = 20, rejoin: bool = True) -> DataFra
                 yield pa.RecordBatch.from_arrays(
                     [*cols, pa.array(s.counts), pa.array(s.counts - kept)], names=[*part.schema.names, "n_words", "n_removed"])
 
-    return docs.mapInArrow(remove, f"{fields}, n_words long, n_removed long")
+    return wd.in_batches(docs, SLICE).mapInArrow(remove, f"{fields}, n_words long, n_removed long")

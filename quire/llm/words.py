@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 UPPER = np.arange(65, 91)
 
 
@@ -56,6 +58,19 @@ class Slice:
         return np.fromiter((digest(w, seed) for w in raw), np.uint64, len(raw))
 
 
+def in_batches(docs: DataFrame, limit: int = SLICE_BYTES) -> DataFrame:
+    """``docs``, with the session's limit on the bytes of an Arrow batch lowered to ``limit``.
+
+    Batches of the default 64 MB stand several times in an executor: in the
+    JVM, in the pipe and in each Python worker, beside what is made of them.
+    """
+    conf = docs.sparkSession.conf
+    now = conf.get(BATCH_CONF).removesuffix("b")
+    if not now.isdigit() or int(now) > limit:
+        conf.set(BATCH_CONF, str(limit))
+    return docs
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -76,6 +91,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[slice,
         b = min(b, n)
         yield slice(a, b), raw[off[a]:off[b]], off[a:b + 1] - off[a]
         a = b
+    pa.default_memory_pool().release_unused()  # workers live on: what one batch needed goes back
 
 
 def split(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray | None) -> tuple[pa.Array, np.ndarray]:
