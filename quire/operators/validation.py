@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .matching import ranking_set_agreement
 from .rankings import jaccard, ranking_arrays, with_average_jaccard
 
@@ -210,12 +211,30 @@ def aggregate_scores(scores: DataFrame, group_cols: list[str] | None = None) ->
 def score_table(scores: DataFrame, include_mean: bool = True) -> DataFrame:
     """experiments x scores, missing = 0.0, plus a MEAN row (mean of each
     score over the experiments that have it). Long form: experiment, score,
-    value (pivot, fill, unpivot; score names are few)."""
-    names = sorted(r[0] for r in scores.select("score").distinct().collect())
-    wide = scores.groupBy("experiment").pivot("score", names).agg(F.first("value")).na.fill(0.0, names)
-    filled = wide.unpivot("experiment", names, "score", "value")
+    value. The scores are written once, since three aggregates read them."""
+    path = scratch_path(scores.sparkSession, "scores")
+    scores.select("experiment", "score", "value").write.parquet(path)
+    scores = scores.sparkSession.read.parquet(path)
+    names = scores.agg(F.collect_set("score")).scalar()  # score names: one per metric and depth
+    grid = scores.select("experiment").distinct().select("experiment", F.explode(names).alias("score"))
+    filled = grid.join(scores, ["experiment", "score"], "left").select(
+        "experiment", "score", F.coalesce("value", F.lit(0.0)).alias("value"))
     if not include_mean:
         return filled
     means = scores.groupBy("score").agg(F.avg("value").alias("value")).select(
         F.lit("MEAN").alias("experiment"), "score", "value")
     return filled.unionByName(means)
+
+
+def upsert_scores(old: DataFrame, new: DataFrame) -> DataFrame:
+    """F8: ``new`` scores (experiment, score, value) written over ``old`` ones: the last write of a name wins,
+    everything else stays."""
+    both = old.select("experiment", "score", "value", F.lit(0).alias("_turn")).unionByName(
+        new.select("experiment", "score", "value", F.lit(1).alias("_turn")))
+    return both.groupBy("experiment", "score").agg(F.max_by("value", "_turn").alias("value"))
+
+
+def validate_partitions(pairs: DataFrame, key_cols: list[str], a: str = "class_idx", b: str = "topic") -> DataFrame:
+    """``partition_scores`` of the models whose documents are in two classes or more; the others have no scores."""
+    classes = pairs.groupBy(*key_cols).agg(F.countDistinct(a).alias("_classes")).where("_classes >= 2").drop("_classes")
+    return partition_scores(pairs.join(classes, key_cols, "left_semi"), key_cols, a, b)

@@ -229,7 +229,7 @@ def _fold_partition_scores(spark, sf_dir):
     pp = (mem.join(cls, "doc_id").join(lang, "doc_id").select("*", ks)
           .select(F.format_string("k%02d_run%03d", F.col("k"), F.col("run")).alias("pair"), "doc_id", "a",
                   F.pmod(F.col("class_idx"), F.col("k")).cast("string").alias("b")))
-    return va.partition_scores(pp, ["pair"], "a", "b")
+    return va.validate_partitions(pp, ["pair"], "a", "b")
 
 
 @query("partition_scores", sql=f"""
@@ -274,19 +274,6 @@ def q_score_table(spark, sf_dir):
     return t.select("experiment", "score", r6("value").alias("value"))
 
 
-@query("validation_summary", sql=f"""
-WITH {LONG_SQL},
-d AS (SELECT substr(experiment, 1, 3) AS experiment, score, avg(value) AS value FROM ls GROUP BY ALL)
-SELECT experiment, score, round(value, 6) AS value FROM d
-UNION ALL SELECT 'MEAN', score, round(avg(value), 6) FROM d GROUP BY score""")
-def q_validation_summary(spark, sf_dir):
-    """per-k means over runs (one 'directory' per k), then the summary table."""
-    s = _long_scores(spark, sf_dir).withColumn("experiment", F.substring("experiment", 1, 3))
-    per_dir = va.aggregate_scores(s, ["experiment"]).select("experiment", "score", F.col("mean").alias("value"))
-    t = va.score_table(per_dir)
-    return t.select("experiment", "score", r6("value").alias("value"))
-
-
 @query("topic_diversity", sql=f"""
 WITH {class_fold_sql(top=10)},
 a AS (SELECT run, k, topic, rank, term FROM top_r),
@@ -326,3 +313,33 @@ def q_term_agreement(spark, sf_dir):
     cls = va.class_rankings(c.doc_terms, lang_classes(spark, sf_dir, c), c.vocab, top=100)
     t = va.term_agreement(cls, r, ["algo", "kind", "k", "run"], tops=(10, 20, 50, 100))
     return t.select(i64("k").alias("k"), i64("run").alias("run"), "score", r6("value").alias("value"))
+
+
+SUMMARY_SQL = f"""{class_fold_sql(top=100)}, {lang_rank_sql()}, {_term_agree_sql()},
+{_fold_partition_sql().split("lc AS (", 1)[1].join(["lc AS (", ""])}, {PSCORE_SQL},
+ls AS (SELECT pair AS experiment, 'external-nmi' AS score, nmi AS value FROM fin
+       UNION ALL SELECT pair, 'external-ami', ami FROM fin UNION ALL SELECT pair, 'external-ari', ari FROM fin
+       UNION ALL SELECT printf('k%02d_run%03d', k, run), score, value FROM (
+         SELECT * FROM t10 UNION ALL SELECT * FROM t20 UNION ALL SELECT * FROM t50 UNION ALL SELECT * FROM t100))"""
+
+
+def _all_scores(spark, sf_dir):
+    """External and term scores of every sweep model: experiment, score, value."""
+    c, r = fold_rankings(spark, sf_dir, top=100)
+    cls = va.class_rankings(c.doc_terms, lang_classes(spark, sf_dir, c), c.vocab, top=100)
+    t = va.term_agreement(cls, r, ["algo", "kind", "k", "run"], tops=(10, 20, 50, 100))
+    terms = t.select(F.format_string("k%02d_run%03d", F.col("k"), F.col("run")).alias("experiment"), "score", "value")
+    return va.upsert_scores(_long_scores(spark, sf_dir), terms)
+
+
+@query("validation_summary", sql=f"""
+WITH {SUMMARY_SQL},
+d AS (SELECT substr(experiment, 1, 3) AS experiment, score, avg(value) AS value FROM ls GROUP BY ALL)
+SELECT experiment, score, round(value, 6) AS value FROM d
+UNION ALL SELECT 'MEAN', score, round(avg(value), 6) FROM d GROUP BY score""")
+def q_validation_summary(spark, sf_dir):
+    """F8 + F11: external and term scores, per-k means over runs (one 'directory' per k), then the summary table."""
+    s = _all_scores(spark, sf_dir).withColumn("experiment", F.substring("experiment", 1, 3))
+    per_dir = va.aggregate_scores(s, ["experiment"]).select("experiment", "score", F.col("mean").alias("value"))
+    t = va.score_table(per_dir)
+    return t.select("experiment", "score", r6("value").alias("value"))

@@ -84,3 +84,24 @@ def test_lda_recovers_blocks_and_reports_errors(spark):
     truth = c.docs.select("doc_id", F.col("label").cast("int").alias("class_idx"))
     assert partition_scores(parts.join(truth, "doc_id"), KEYS).first()["ari"] > 0.99
     assert store.lda_counts(c.doc_terms).where("count < 1").count() == 0
+
+
+def test_scores_written_twice_keep_the_last(spark):
+    from quire.operators import validation as va
+
+    kind = "experiment string, score string, value double"
+    old = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0)], kind)
+    new = spark.createDataFrame([("a", "x", 3.0), ("b", "x", 5.0)], kind)
+    got = va.upsert_scores(old, new)
+    assert sorted(map(tuple, got.collect())) == [("a", "x", 3.0), ("a", "y", 2.0), ("b", "x", 5.0)]
+    table = va.score_table(got)
+    assert sorted(map(tuple, table.collect())) == [
+        ("MEAN", "x", 4.0), ("MEAN", "y", 2.0), ("a", "x", 3.0), ("a", "y", 2.0), ("b", "x", 5.0), ("b", "y", 0.0)]
+
+
+def test_one_class_has_no_scores(spark):
+    from quire.operators import validation as va
+
+    rows = [("m", 0, t % 2) for t in range(4)] + [("n", t % 2, t % 2) for t in range(4)]
+    df = spark.createDataFrame(rows, "model string, class_idx int, topic int")
+    assert [r["model"] for r in va.validate_partitions(df, ["model"]).collect()] == ["n"]
