@@ -98,3 +98,44 @@ def test_stability_of_identical_runs_is_one(spark):
     df = spark.createDataFrame(rows, "algo string, kind string, k int, run int, topic int, rank int, term string")
     s = stability_by_k(df, 5).first()
     assert abs(s["stability"] - 1.0) < 1e-12 and s["n_runs"] == 2
+
+
+def tied(spark, c):
+    """The planted rows with a weak tie from each block to the next, so that no two eigenvalues are equal."""
+    ties = spark.createDataFrame([(0, 6, 0.2), (100, 12, 0.3), (200, 0, 0.1)], "doc_id long, term_idx int, weight double")
+    return c.doc_terms.select("doc_id", F.col("term_idx").cast("int"), "weight").unionByName(ties).groupBy(
+        "doc_id", "term_idx").agg(F.sum("weight").alias("weight"))
+
+
+def test_spectral_embedding_spans_the_eigenvectors(spark):
+    import numpy as np
+
+    from quire.operators import spectral as sp
+
+    c = planted(spark, blocks=3, per_block=8)
+    rows = tied(spark, c)
+    got = {r["doc_id"]: r["embedding"] for r in sp.spectral_embedding(rows, c.docs, 18, 2, steps=30).collect()}
+    ids = sorted(got)
+    x = np.zeros((len(ids), 18))
+    for r in rows.collect():
+        x[ids.index(r["doc_id"]), r["term_idx"]] = r["weight"]
+    s = x @ x.T
+    np.fill_diagonal(s, 0)
+    root = 1 / np.sqrt(s.sum(1))
+    values, vectors = np.linalg.eigh(s * root[:, None] * root)
+    want = root[:, None] * vectors[:, np.argsort(-values)][:, 1:3]
+    have = np.array([got[i] for i in ids])
+    a, b = np.linalg.qr(want)[0], np.linalg.qr(have)[0]
+    cosines = np.linalg.svd(a.T @ b)[1]
+    assert np.allclose(cosines, 1.0, atol=1e-4), (cosines, np.sort(values)[::-1][:6])
+
+
+def test_spectral_kmeans_keeps_blocks_together(spark):
+    from quire.operators import spectral as sp
+
+    c = planted(spark, blocks=3, per_block=8)
+    centroids, part = sp.spectral_kmeans(tied(spark, c), c.docs, 18, 2, seed=3)
+    assert part.count() == 24
+    truth = c.docs.select("doc_id", F.col("label").cast("int").alias("class_idx"))
+    assert partition_scores(part.join(truth, "doc_id"), ["k"]).first()["ari"] > 0.3  # two clusters of three blocks: at most 0.55
+    assert centroids.select("topic").distinct().count() == part.select("topic").distinct().count()
