@@ -11,7 +11,7 @@ iteration is
                                                   number per model)
     -> new centres = member means per (model, topic, term)
 
-The stop rule is the reference's: stop when (1 - delta) * prev <= avg <= prev
+The stop rule and its defaults are fixed values: stop when (1 - delta) * prev <= avg <= prev
 or at the last iteration; an empty cluster keeps its previous centre.
 Lineage is cut with a reliable checkpoint of the centres every iteration; a
 model's assignment is written once, when it stops.
@@ -89,6 +89,12 @@ def nearest(dist: DataFrame, key_cols: list[str], metric: str) -> DataFrame:
         *key_cols, F.col("_b.topic").alias("topic"), F.col("_b.d").alias("distance"))
 
 
+def dense_centres(points: DataFrame, assign: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
+    """D11 (centre update, dense): topic, dim, value: the mean of the member vectors of each topic."""
+    return (points.join(assign.select(key, "topic"), key).select("topic", F.posexplode(vec).alias("dim", "_v"))
+            .groupBy("topic", "dim").agg(F.avg(F.col("_v").cast("double")).alias("value")))
+
+
 # ---------------------------------------------------------------------------
 # Sparse spherical k-means over document-term rows
 # ---------------------------------------------------------------------------

@@ -65,6 +65,19 @@ def q_kmeans_step(spark, sf_dir):
     return n.select(i64("vec_id").alias("vec_id"), i64("topic").alias("topic"), r6("distance").alias("distance"))
 
 
+@query("kmeans_centres", sql=f"""
+WITH {PROTO_SQL},
+b AS (SELECT vec_id, arg_min(topic, (round(cosine, 12), topic)) AS topic FROM dist GROUP BY vec_id),
+e AS (SELECT b.topic, unnest(range(0, len(x))) AS dim, unnest(x) AS v FROM pts JOIN b USING (vec_id))
+SELECT CAST(topic AS BIGINT) AS topic, CAST(dim AS BIGINT) AS dim, round(avg(v), 6) + 0.0 AS value FROM e GROUP BY ALL""")
+def q_kmeans_centres(spark, sf_dir):
+    """D11 (one centre update): means of the embeddings assigned to each of 10 prototypes."""
+    pts = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    d = km.distances_to_centres(pts, _prototypes(spark, sf_dir), "embedding", ("cosine",))
+    c = km.dense_centres(pts, km.nearest(d, ["vec_id"], "cosine"), "vec_id")
+    return c.select(i64("topic").alias("topic"), i64("dim").alias("dim"), r6("value").alias("value"))
+
+
 SWEEP_KMIN, SWEEP_KMAX, SWEEP_RUNS = 2, 3, 2
 KEYS = ["algo", "kind", "k", "run"]
 

@@ -8,6 +8,7 @@ import pytest
 
 from quire.operators.matching import max_similarity_assignment, min_cost_assignment
 
+# Two self-check matrices and their totals.
 PROFIT_6 = np.array([
     [62, 75, 80, 93, 95, 97],
     [75, 80, 82, 85, 71, 97],
