@@ -28,21 +28,51 @@ def q_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=3)
 
 
-@query("op4_substrings")
+SUBSTRINGS_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM w, unnest(range(1, len(ws) - 18)) t(i)),
+f AS (SELECT k, min((doc_id, i)) AS first FROM win GROUP BY k),
+gone AS (SELECT DISTINCT win.doc_id, win.i + j.range AS p FROM win JOIN f USING (k), range(0, 20) j WHERE (win.doc_id, win.i) <> f.first),
+kept AS (SELECT u.doc_id, string_agg(u.word, ' ' ORDER BY u.p) AS text, count(*) AS n
+         FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w) u
+         ANTI JOIN gone USING (doc_id, p) GROUP BY u.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op4_substrings", sql=SUBSTRINGS_SQL)
 def q_substrings(spark, sf_dir):
     """Words of all documents kept when windows of twenty words that start earlier go."""
     out = substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), size=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-@query("op7_decontamination")
+_ALNUM_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+DECONTAMINATION_SQL = f"""
+WITH iw AS (SELECT item_id, {_ALNUM_SQL} AS ws FROM benchmark),
+ik AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS k
+       FROM iw, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) t(i) WHERE len(ws) > 0),
+dw AS (SELECT doc_id, {_ALNUM_SQL} AS ws FROM documents),
+dk AS (SELECT doc_id, i, s.n, array_to_string(ws[i:i + s.n - 1], ' ') AS k
+       FROM dw, (SELECT DISTINCT n FROM ik) s, unnest(range(1, len(ws) - s.n + 2)) t(i)),
+m AS (SELECT dk.doc_id, dk.i, dk.n, ik.item_id FROM dk JOIN ik USING (n, k)),
+hit AS (SELECT doc_id, count(DISTINCT m.i + j.range) AS n_hit FROM m, range(0, 10) j WHERE j.range < m.n GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+       FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM m) d GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+
+@query("op7_decontamination", sql=DECONTAMINATION_SQL)
 def q_decontamination(spark, sf_dir):
     """Words of all documents inside an occurrence of ten consecutive words of a benchmark item."""
     out = contamination.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     ids = F.concat_ws(",", F.array_sort(F.transform("items", lambda i: i.cast("string"))))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-                      F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
-                      "longest_match", "longest_item", "longest_at")
+                      F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 @query("op1_language_model")
@@ -81,11 +111,48 @@ def q_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("op10_urls")
+def _level_sql(name: str, by: str, above: str | None) -> str:
+    """Prior means and strength of a level from the one above, as ``hosts.reputation`` has them."""
+    key = f"{by}, {above}" if above else by
+    parent = f"JOIN {above}_level a USING ({above}), {above}_s s" if above else \
+        "JOIN (SELECT sum(n) AS n, sum(bad) AS bad, 0.5::DOUBLE AS mean FROM h) a ON true, (SELECT 2.0::DOUBLE AS s) s"
+    return f"""{name}_level AS (
+  SELECT o.*, (a.bad - o.bad + s.s * a.mean) / (a.n - o.n + s.s) AS mean
+  FROM (SELECT {key}, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM h GROUP BY {key}) o {parent}),
+{name}_s AS (
+  SELECT CASE WHEN coalesce(scale, 0) = 0 THEN 10.0::DOUBLE ELSE least(greatest(
+           greatest(scale - chance, 1e-9) / greatest(spread - chance, 1e-9) - 1, 0.5), 1e4) END AS s
+  FROM (SELECT sum(n * pow(bad / n - mean, 2)) AS spread, sum(mean * (1 - mean)) AS chance, sum(n * mean * (1 - mean)) AS scale
+        FROM {name}_level WHERE n > 0))"""
+
+
+_LONG = ", ".join(f"'{s}'" for s in hosts.LONG_SUFFIXES)
+_Z2 = hosts.BOUND ** 2
+URLS_SQL = rf"""
+WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{hosts.UPPER}', '{hosts.LOWER}') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+rules(v, rh, rp) AS (VALUES {", ".join(f"('{x.verdict}', '{x.host}', '{x.path}')" for x in hosts.RULES)}),
+best AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v
+         FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
+j AS (SELECT p.*, rule, v FROM p LEFT JOIN best USING (page_id)),
+h0 AS (SELECT host, count(v) AS n, count(*) FILTER (v = 'block') AS bad, string_split(host, '.') AS l FROM j GROUP BY host),
+h AS (SELECT host, n, bad, CASE WHEN array_to_string(l[-2:], '.') IN ({_LONG}) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
+             CASE WHEN array_to_string(l[-2:], '.') IN ({_LONG}) THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix FROM h0),
+{_level_sql("suffix", "suffix", None)},
+{_level_sql("domain", "domain", "suffix")},
+{_level_sql("host", "host", "domain")},
+post AS (SELECT host, (bad + s * mean) / (n + s) AS rate, n + s AS w FROM host_level, host_s),
+low AS (SELECT host, (rate + {_Z2} / (2 * w) - {hosts.BOUND} * sqrt(rate * (1 - rate) / w + {_Z2} / (4 * w * w))) / (1 + {_Z2} / w) AS low FROM post)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN low > {hosts.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM j JOIN low USING (host)"""
+
+
+@query("op10_urls", sql=URLS_SQL)
 def q_urls(spark, sf_dir):
     """Verdict on all pages by rule, else by the reputation of the host."""
     return hosts.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select(
-        "page_id", "host", "path", "rule", "verdict", "rate", "low")
+        "page_id", "host", "path", "rule", "verdict")
 
 
 @query("op3_fingerprints")
