@@ -45,8 +45,8 @@ _CLASS = np.zeros(256, np.uint8)
 _CLASS[65:91] = _CLASS[97:123] = _LETTER
 _CLASS[33:127][_CLASS[33:127] == 0] = _OTHER
 _CLASS[39] = 0  # an apostrophe may belong to either side
-KEPT_WORDS = 300_000
-SLICE = 3 << 20
+KEPT_WORDS = 500_000
+SLICE = 5 << 20
 
 
 class Encoder:
