@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .graph import components
 
 BITS = 128
 SEPARATORS = r"[\x20\x09-\x0D]+"
@@ -177,12 +178,12 @@ def _masks(radius: int) -> list[tuple[int, int]]:
 
 
 def block_keys(radius: int) -> Column:
-    """One key for each table: its number and the bits of its two blocks."""
+    """One key for each table: its two blocks as bits of a number, and the bits in these blocks."""
     masks = _masks(radius)
     keys = []
-    for t, (a, b) in enumerate(combinations(range(len(masks)), 2)):
+    for a, b in combinations(range(len(masks)), 2):
         low, high = masks[a][0] | masks[b][0], masks[a][1] | masks[b][1]
-        keys.append(F.struct(F.lit(t).alias("table"), F.col("f0").bitwiseAND(F.lit(low).cast("long")).alias("k0"),
+        keys.append(F.struct(F.lit(1 << a | 1 << b).cast("long").alias("table"), F.col("f0").bitwiseAND(F.lit(low).cast("long")).alias("k0"),
                              F.col("f1").bitwiseAND(F.lit(high).cast("long")).alias("k1")))
     return F.explode(F.array(*keys))
 
@@ -200,24 +201,43 @@ def neighbours(prints: DataFrame, queries: DataFrame, radius: int = 3) -> DataFr
         F.col("b.f0").alias("q0"), F.col("b.f1").alias("q1"), F.col("a.f0").alias("f0"), F.col("a.f1").alias("f1")).distinct()
 
 
+def _first_table(a: str, b: str, radius: int) -> Column:
+    """The first of the tables on whose key two fingerprints agree: that of their two lowest equal blocks."""
+    unlike = [F.col(f"{a}.f{k}").bitwiseXOR(F.col(f"{b}.f{k}")) for k in (0, 1)]
+    equal = reduce(lambda x, y: x + y, [
+        F.when(unlike[0].bitwiseAND(F.lit(low).cast("long")).bitwiseOR(unlike[1].bitwiseAND(F.lit(high).cast("long"))) == 0,
+               F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, (low, high) in enumerate(_masks(radius))])
+    rest = equal.bitwiseAND(equal - 1)
+    return equal.bitwiseAND(-equal).bitwiseOR(rest.bitwiseAND(-rest))
+
+
 def with_neighbours(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """``prints`` with ``has_near``: whether another row's fingerprint is within ``radius`` bits.
+    """``prints`` with ``n_links``, the number of other rows whose fingerprint is within ``radius`` bits, ``class``, the
+    least fingerprint of those that such links connect with the row's own, and ``has_near``, whether it has a link.
 
-    Equal fingerprints collapse first. A semi-join on the block tables asks for any neighbour of a fingerprint, so
-    a group of near copies costs a row for each member and table and not one for each pair.
+    Equal fingerprints collapse first. The block tables give each pair of different ones once, in the first table on
+    whose key they agree; the pairs are added up for each fingerprint before they meet the rows.
     """
     spark = prints.sparkSession
     distinct = prints.groupBy("f0", "f1").agg(F.count(F.lit(1)).alias("rows"))
     path = scratch_path(spark, "blocks")
     distinct.write.parquet(path)
     distinct = spark.read.parquet(path)
-    keyed = distinct.select("f0", "f1", block_keys(radius).alias("t")).select("f0", "f1", "t.*")
+    keyed = distinct.select("f0", "f1", "rows", block_keys(radius).alias("t")).select("f0", "f1", "rows", "t.*")
     same = reduce(lambda a, b: a & b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("table", "k0", "k1")])
-    other = (F.col("a.f0") != F.col("b.f0")) | (F.col("a.f1") != F.col("b.f1"))
-    near = keyed.alias("a").join(keyed.alias("b"), same & other & (_distance("a", "b") <= radius), "left_semi")
-    near = near.select("f0", "f1").distinct().withColumn("_near", F.lit(True))
-    known = distinct.join(near, ["f0", "f1"], "left").select(
-        "f0", "f1", (F.coalesce("_near", F.lit(False)) | (F.col("rows") > 1)).alias("has_near"))
+    before = (F.col("a.f0") < F.col("b.f0")) | ((F.col("a.f0") == F.col("b.f0")) & (F.col("a.f1") < F.col("b.f1")))
+    once = F.col("a.table") == _first_table("a", "b", radius)
+    pair = [F.struct(*[F.col(f"{x}.{c}").alias(c) for c in ("f0", "f1", "rows")]).alias(x) for x in ("a", "b")]
+    path = scratch_path(spark, "pairs")
+    keyed.alias("a").join(keyed.alias("b"), same & before & (_distance("a", "b") <= radius) & once).select(*pair).write.parquet(path)
+    pairs = spark.read.parquet(path)
+    ends = pairs.select("a.f0", "a.f1", F.col("b.rows").alias("n")).union(pairs.select("b.f0", "b.f1", "a.rows"))
+    links = ends.groupBy("f0", "f1").agg(F.sum("n").alias("_links"))
+    node = [F.struct(f"{x}.f0", f"{x}.f1").alias(x) for x in ("a", "b")]
+    classes = components(pairs.select(*node)).select("node.f0", "node.f1", "component")
+    known = distinct.join(links, ["f0", "f1"], "left").join(classes, ["f0", "f1"], "left").select(
+        "f0", "f1", (F.col("rows") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"),
+        F.coalesce(_text("component.f0", "component.f1"), _text("f0", "f1")).alias("class"))
     table = scratch_path(spark, "near")
-    known.write.parquet(table)
+    known.withColumn("has_near", F.col("n_links") > 0).write.parquet(table)
     return prints.join(spark.read.parquet(table), ["f0", "f1"])

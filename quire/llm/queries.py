@@ -157,7 +157,8 @@ def q_urls(spark, sf_dir):
 
 @query("op3_fingerprints")
 def q_fingerprints(spark, sf_dir):
-    """Fingerprints of all documents and of their edited texts."""
+    """Fingerprints of all documents and of their edited texts, with the class and the number of links within three bits."""
     prints = fingerprints.compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return fingerprints.with_neighbours(prints, radius=3).select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "has_near")
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "has_near",
+        "n_links", "class")

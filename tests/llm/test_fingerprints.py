@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import re
 import struct
 
@@ -67,6 +68,26 @@ def test_neighbours_match_brute_force(make, unique, radius):
     assert {r["doc_id"]: r["has_near"] for r in rows} == want
 
 
+@pytest.mark.parametrize("radius", [3, 20])
+def test_links_and_classes_match_brute_force(spark, radius):
+    near = [7, 7, 7 ^ 1 << 63, 7 ^ 0b11 << 30, 7 ^ 0b11 << 30 ^ 0b111 << 90, 1 << 127, 1 << 127 | 1 << 64, 0xABCDEF << 70, 7 ^ 0x1F << 20]
+    rng = random.Random(3)
+    prints = near + [rng.getrandbits(128) for _ in range(60)]
+    prints += [p ^ 1 << rng.randrange(128) ^ 1 << rng.randrange(128) for p in prints[-40:]]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    rows = [(i, signed(p >> 64), signed(p & (1 << 64) - 1)) for i, p in enumerate(prints)]
+    got = {r["doc_id"]: r for r in fp.with_neighbours(spark.createDataFrame(rows, "doc_id long, f0 long, f1 long"), radius).collect()}
+    links = {i: {j for j, q in enumerate(prints) if j != i and (p ^ q).bit_count() <= radius} for i, p in enumerate(prints)}
+    assert {i: r["n_links"] for i, r in got.items()} == {i: len(v) for i, v in links.items()}
+    for i in links:
+        found, new = {i}, {i}
+        while new:
+            new = {j for k in new for j in links[k]} - found
+            found |= new
+        least = min(rows[j][1:] for j in found)
+        assert got[i]["class"] == "".join(f"{v & (1 << 64) - 1:016x}" for v in least)
+
+
 def test_search_finds_every_pair_once(make, unique):
     prints = fp.compare_with_edits(make(unique)).select("doc_id", "f0", "f1")
     asked = prints.where("doc_id % 3 = 0").selectExpr("f0 as q0", "f1 as q1")
