@@ -3,7 +3,8 @@
 The training text is cut into shards of whole documents. A shard's suffix
 array orders all its suffixes by words (by doubling, to the depth of the
 longest test item); every suffix of every test item is found in it by binary
-search, which gives the longest verbatim match and where it stands. Words
+search. So the suffixes of both are in one order, in which each suffix of the
+text has its longest verbatim match beside it. Words
 inside an occurrence of a test window (``window`` consecutive words of an
 item, or a shorter item whole) are hit.
 
@@ -140,27 +141,6 @@ class SuffixArray:
             live = live[a == b]
             k += 1
 
-    def longest(self, pattern: np.ndarray, start: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(words, place) of the longest match of each test suffix: one of its neighbours in the array has it.
-        ``at``: where the suffix would stand, as ``search`` gives it."""
-        n = len(self.order)
-        best, place = np.zeros(len(start), np.int64), np.full(len(start), -1)
-        if not n:
-            return best, place
-        for near in (np.maximum(at - 1, 0), np.minimum(at, n - 1)):
-            got, here = np.zeros(len(start), np.int64), self.order[near]
-            live, k = np.arange(len(start)), 0
-            while True:
-                live = live[(k < length[live]) & (here[live] + k < n)]
-                live = live[self.text[here[live] + k] == pattern[start[live] + k]] if len(live) else live
-                if not len(live):
-                    break
-                k += 1
-                got[live] = k
-            better = got > best
-            best[better], place[better] = got[better], here[better]
-        return best, place
-
 
 class Shard:
     """The suffix array of a slice of documents and what test items meet in it."""
@@ -201,16 +181,54 @@ class Shard:
         return item, at, words, lo, hi
 
 
-def _longest(shard: Shard, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(item index, test word, words, place) of the longest match of every test suffix in the shard."""
+def _longest(shard: Shard, items: Items, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, place, item id) of the longest match of each document in the shard: the first of them, and the least id of
+    the items that hold it. Without a match there are 0 words.
+
+    In the common order of all suffixes, the longest match of a text's suffix is with the next test suffix before or behind.
+    """
     ends = np.asarray(items.ends)
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    item = np.repeat(np.arange(len(ends)), ends - starts)
-    at = np.arange(len(item))
-    length = ends[item] - at
-    pattern = shard.codes(np.asarray(items.words))
-    best, place = shard.array.longest(pattern, at, length, shard.array.search(pattern, at, length, False))
-    return item, at - starts[item], best, place
+    counts = np.diff(ends, prepend=0)
+    item = np.repeat(np.arange(len(ends)), counts)
+    # one end mark behind each item
+    place_of = np.arange(len(item)) + item
+    pattern = np.full(len(item) + len(ends), -1, np.int64)
+    pattern[place_of] = shard.codes(np.asarray(items.words))
+    item_of = np.repeat(np.arange(len(ends)), counts + 1)
+    length_of = (ends + np.arange(len(ends)))[item_of] - np.arange(len(pattern))
+    tests = SuffixArray(pattern, depth)
+    tests.order = tests.order[length_of[tests.order] > 0]
+    n = len(shard.text)
+    got = np.zeros(n, np.int64)
+    if len(tests.order):
+        # How many test suffixes stand before each suffix of the text.
+        at = shard.array.search(pattern, tests.order, length_of[tests.order], False)
+        before = np.cumsum(np.bincount(at, minlength=n + 1))[:n]
+        for near in (np.maximum(before - 1, 0), np.minimum(before, len(tests.order) - 1)):
+            start = tests.order[near]
+            live, k = np.arange(n), 0
+            while len(live):
+                here, there = shard.array.order[live] + k, start[live] + k
+                # Past its end a test suffix has the mark of its end and a text that of its own, which are no match.
+                live = live[(here < n) & (there < len(pattern))]
+                here, there = shard.array.order[live] + k, start[live] + k
+                live = live[(shard.text[here] == pattern[there]) & (pattern[there] >= 0)]
+                k += 1
+                reached = shard.array.order[live]
+                got[reached] = np.maximum(got[reached], k)
+    best = np.maximum.reduceat(got, shard.doc_start) if n else np.zeros(0, np.int64)
+    of = np.repeat(best, np.diff(shard.doc_start, append=n))
+    places = np.flatnonzero((got == of) & (got > 0))
+    docs, first = np.unique(shard.documents(places), return_index=True)
+    place, ids = np.full(len(best), -1), np.full(len(best), -1)
+    place[docs] = places[first]
+    if len(docs):
+        runs = np.stack([tests.search(shard.text, place[docs], best[docs], after) for after in (False, True)], axis=1)
+        runs, inverse = np.unique(runs, axis=0, return_inverse=True)
+        own = np.asarray(items.ids)[item_of[tests.order]]
+        least = np.minimum.reduceat(np.append(own, own[-1]), runs.ravel())[::2]
+        ids[docs] = least[inverse.ravel()]
+    return best, place, ids
 
 
 def _depth(folder: str, blocks: list[int]) -> int:
@@ -226,7 +244,8 @@ ADDED = ("n_words", "n_hit", "items", "longest_match", "longest_item", "longest_
 
 def annotate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``items`` (ids of the items with an occurring window) and the
-    longest verbatim match of any test suffix: ``longest_match`` words of ``longest_item`` from word ``longest_at``."""
+    longest verbatim match of each document: ``longest_match`` words of ``longest_item`` from word ``longest_at``, the first
+    of equally long ones and the least id of the items that hold it."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "benchmark")
     blocks = write_items(items, folder)
@@ -252,17 +271,10 @@ def annotate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
                         np.add.at(cover, places + words[m], -1)
                         for d in np.unique(shard.documents(places)):
                             doc_items[d].add(int(ids[item[m]]))
-                    item, _, got, place = _longest(shard, block)
-                    hit = np.flatnonzero(got)
-                    hit = hit[np.argsort(got[hit], kind="stable")]
-                    d = shard.documents(place[hit])
-                    last = np.full(n, -1)
-                    last[d] = hit  # the longest comes last
-                    better = np.flatnonzero(last >= 0)
-                    better = better[got[last[better]] > best[better]]
-                    best[better] = got[last[better]]
-                    best_item[better] = ids[item[last[better]]]
-                    best_at[better] = place[last[better]] - shard.doc_start[better]
+                    got, place, own = _longest(shard, block, depth)
+                    place -= shard.doc_start
+                    better = (got > 0) & ((got > best) | (got == best) & ((place < best_at) | (place == best_at) & (own < best_item)))
+                    best[better], best_item[better], best_at[better] = got[better], own[better], place[better]
                 inside = np.cumsum(cover[:-1]) > 0
                 inside &= shard.text >= 0
                 hits = wd.per_document(inside.astype(np.int64), s.ends + np.arange(1, n + 1))

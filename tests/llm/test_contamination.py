@@ -60,6 +60,30 @@ def test_longest_match_and_where(spark, make):
     assert got == {1: (22, 7, 18), 2: (13, 7, 6), 3: (0, None, None)}
 
 
+@pytest.mark.parametrize("shard, block", [(4 << 20, 1 << 18), (600, 8)])
+def test_longest_match_of_every_copy(spark, make, corpus, tests, monkeypatch, shard, block):
+    monkeypatch.setattr(contamination, "SHARD", shard)
+    monkeypatch.setattr(contamination, "BLOCK_WORDS", block)
+    passage = [f"w{k}" for k in range(40)]
+    copies = [(100 + k, " ".join([f"a{k}", *passage[k % 3:], "w3 w4 w5"])) for k in range(6)] + [(110, " ".join(passage[:12])), (111, "w39")]
+    rows = [(i, t) for i, t in corpus if i != 63 and i != 64] + copies
+    named = [x for x in tests if x[0] is not None] + [(21, " ".join(["y", *passage, "z"])), (20, " ".join([*passage[:12], "q"]))]
+    texts = [(i, f" {' '.join(words(t))} ") for i, t in named]
+
+    def longest(text):
+        w = words(text)
+        for size in range(len(w), 0, -1):
+            for at in range(len(w) - size + 1):
+                ids = [i for i, t in texts if f" {' '.join(w[at:at + size])} " in t]
+                if ids:
+                    return size, min(ids), at
+        return 0, None, None
+
+    docs = make(rows).coalesce(1)
+    got = [(r["doc_id"], r["longest_match"], r["longest_item"], r["longest_at"]) for r in contamination.annotate(docs, items(spark, named)).collect()]
+    assert sorted(got, key=str) == sorted(((i, *longest(t)) for i, t in rows), key=str)
+
+
 def test_clean_documents_stay_whole(spark, make, corpus, tests):
     got = contamination.decontaminate(make(corpus), items(spark, tests), 10)
     assert got.columns == make(corpus).columns
