@@ -7,8 +7,10 @@ of features whose tables explain most of what is left are boosted the same way
 with trees over two features' bins. A score is a sum of table cells.
 
 It is trained in numpy on the features of a bounded sample of labelled rows
-(``PER_CLASS`` of each label). The tables are a few kilobytes; scoring is one
-narrow pass over the texts, vectorised over a slice of documents.
+(``PER_CLASS`` of each label). The threshold is chosen from counts by bin of
+logits of all labelled rows that training didn't see. The tables are a few
+kilobytes; scoring is one narrow pass over the texts, vectorised over a slice of
+documents.
 
 Null and empty texts are rows of zeros and get a score like any other. Labels
 that are null are no labels; a row labelled twice counts as good only if all
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as wd
-from .toxicity import COMMON, threshold
+from .toxicity import COMMON, count
 
 PER_CLASS = 20000
 BINS = 32
@@ -224,7 +226,7 @@ def measured(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Additive:
-    """A model of at most ``per_class`` rows of each label, drawn by a hash of the id."""
+    """A model of at most ``per_class`` rows of each label, drawn by a hash of the id; its threshold is of all rows."""
     named = (labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
              .groupBy("doc_id").agg(F.min("y").alias("y")))
     size = {int(r["y"]): int(r["count"]) for r in named.groupBy("y").count().collect() if r["y"] in (0, 1)}
@@ -246,11 +248,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
     model = train(x[~held], y[~held], share[~held])
-    check = held if held.any() else ~held
-    model.shift = threshold(model.logits(x[check]), y[check], share[check])
+    cells = count(raw(docs, model), named, [r["doc_id"] for r, out in zip(rows, held) if not out])
+    model.shift = cells.threshold({v: size[v] / max(1, cells.rows(v)) for v in (0, 1)})
     return model
 
 
+def raw(docs: DataFrame, model: Additive) -> DataFrame:
+    """``doc_id``, ``language`` (0: all have one threshold) and ``logit`` of every row."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, off in wd.slices(batch.column("text"), 4 << 20):
+                ids = batch.column("doc_id").slice(rows.start, rows.stop - rows.start)
+                logits = shipped.value.logits(features(data, off))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.zeros(len(ids), np.int32)), pa.array(logits)],
+                                                 names=["doc_id", "language", "logit"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return wd.in_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, language int, logit double")
+
+
 def score(docs: DataFrame, model: Additive) -> DataFrame:
     """``doc_id`` and ``quality`` between 0 and 1 of every row."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)

@@ -7,9 +7,13 @@ text feeds a logistic unit. It is trained in numpy on a bounded sample of the
 labelled rows (``PER_CLASS`` of each label) that tasks have hashed; the labels
 that the sample leaves out set the weights of the two classes.
 
-Thresholds are calibrated by language on a part of the sample that training
-leaves out. The language is guessed from the text by its commonest words, and
-the score is shifted so that each language's threshold is ``AT``.
+Thresholds are calibrated by language on all labelled rows that training didn't
+see: a fifth of the sample and every row outside it. Tasks count them by
+language, label and bin of logits, and the thresholds are chosen from the
+counts. A language with fewer than ``ENOUGH`` of these rows of either label
+takes the threshold of all languages. The language is guessed from the text by
+its commonest words, and the score is shifted so that each language's threshold
+is ``AT``.
 
 Scoring is one narrow pass: per slice of text, a row of responses for each
 distinct word, then sums along the text and a maximum for each document.
@@ -31,6 +35,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import words as wd
 
@@ -43,6 +48,8 @@ BATCH_WORDS = 1 << 15
 SLICE = 3 << 19
 FILTERS = 8
 AT = 0.7
+ENOUGH = 20
+BIN, REACH = 1 / 64, 32  # width of a bin of logits; logits beyond +-REACH are in the outermost bins
 # Common words of each language, and the languages in the order in which ties are broken.
 COMMON = {
     "en": "the of and to in that is was for it with as be by on this are from".split(),
@@ -74,6 +81,13 @@ def guess(counts: np.ndarray) -> np.ndarray:
     return np.where(counts.max(1, initial=0) > 0, counts.argmax(1), len(COMMON))
 
 
+def languages(s: wd.Slice) -> np.ndarray:
+    """Index in LANGUAGES of each document of a slice."""
+    spoken = votes(s.names)[s.codes]
+    return guess(np.stack([np.add.reduceat(np.append(spoken[:, k], 0), s.starts) * (s.counts > 0)
+                           for k in range(spoken.shape[1])], axis=1))
+
+
 def padded(codes: np.ndarray, counts: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes with pads behind each document, so that no window from one of its words reaches the next; where each starts."""
     gap = max(WIDTHS)
@@ -212,22 +226,67 @@ def train(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epoc
     return net
 
 
+def cut(low: np.ndarray, high: np.ndarray, hit: np.ndarray, miss: np.ndarray) -> float:
+    """The middle of the widest step of logits with the best F1. Of each bin, from the highest down: its least and
+    greatest logit, the weights of its toxic rows and of the others."""
+    hits, misses = np.cumsum(hit), np.cumsum(miss)
+    f1 = 2 * hits / np.maximum(hits + misses + hit.sum(), 1e-9)
+    below = np.append(high[1:], low[-1] - 2.0)
+    f1 = np.where(low > below, f1, -1.0)
+    good = np.flatnonzero(f1 >= f1.max() - 1e-9)
+    k = good[np.argmax((low - below)[good])]
+    return float((low[k] + below[k]) / 2)
+
+
 def threshold(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
     """The middle of the widest step of logits with the best F1."""
     order = np.argsort(-logits, kind="stable")
     x, y, w = logits[order], labels[order] > 0, weights[order]
-    hit, miss = np.cumsum(w * y), np.cumsum(w * ~y)
-    f1 = 2 * hit / np.maximum(hit + miss + (w * y).sum(), 1e-9)
-    low = np.append(x[1:], x[-1] - 2.0)
-    real = x > low
-    f1 = np.where(real, f1, -1.0)
-    good = np.flatnonzero(f1 >= f1.max() - 1e-9)
-    k = good[np.argmax((x - low)[good])]
-    return float((x[k] + low[k]) / 2)
+    return cut(x, x, w * y, w * ~y)
+
+
+@dataclass
+class Counts:
+    """Labelled rows by language, bin of logits and label: how many, their least and greatest logit."""
+    language: np.ndarray
+    bin: np.ndarray
+    y: np.ndarray
+    n: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def of(self, rows: np.ndarray) -> Counts:
+        return Counts(*(getattr(self, f)[rows] for f in ("language", "bin", "y", "n", "low", "high")))
+
+    def rows(self, y: int) -> int:
+        return int(self.n[self.y == y].sum())
+
+    def threshold(self, share: dict[int, float]) -> float:
+        """The cut between two bins with the best F1, a row of label y weighing ``share[y]``."""
+        bins, at = np.unique(-self.bin, return_inverse=True)  # the highest first
+        low, high = np.full(len(bins), np.inf), np.full(len(bins), -np.inf)
+        np.minimum.at(low, at, self.low)
+        np.maximum.at(high, at, self.high)
+        hit, miss = (np.bincount(at, self.n * (self.y == y) * share[y], len(bins)) for y in (1, 0))
+        return cut(low, high, hit, miss)
+
+
+def count(logits: DataFrame, named: DataFrame, seen: list) -> Counts:
+    """The labelled rows (``named``: doc_id, y) among all of ``logits`` (doc_id, language, logit) without those whose id
+    is among ``seen``; with them if one of the labels is only there."""
+    known = logits.sparkSession.createDataFrame([(i,) for i in seen], StructType([logits.schema["doc_id"]])).distinct()
+    place = F.floor(F.greatest(F.least("logit", F.lit(float(REACH))), F.lit(-float(REACH))) / BIN).cast("int")
+    cells = (logits.join(named.where("y in (0, 1)"), "doc_id")
+             .join(F.broadcast(known.withColumn("seen", F.lit(True))), "doc_id", "left")  # at most the rows of the sample
+             .groupBy("language", place.alias("bin"), "y", F.coalesce("seen", F.lit(False)).alias("seen"))
+             .agg(F.count(F.lit(1)).alias("n"), F.min("logit").alias("low"), F.max("logit").alias("high")).collect())
+    new = [r for r in cells if not r["seen"]]
+    cells = new if len({r["y"] for r in new}) == 2 else cells
+    return Counts(*(np.array([r[f] for r in cells]) for f in ("language", "bin", "y", "n", "low", "high")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Network:
-    """A network of at most ``per_class`` rows of each label, drawn by a hash of the id."""
+    """A network of at most ``per_class`` rows of each label, drawn by a hash of the id; its thresholds are of all rows."""
     named = (labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
              .groupBy("doc_id").agg(F.max("y").alias("y")))
     size = {int(r["y"]): int(r["count"]) for r in named.groupBy("y").count().collect() if r["y"] in (0, 1)}
@@ -240,26 +299,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         for batch in batches:
             for s in wd.word_slices(batch.column("text"), wd.ALNUM, 1 << 20):
                 rows = units(s.names).astype(np.int32)[s.codes]
-                spoken = votes(s.names)[s.codes]
                 part = batch.slice(s.rows.start, s.rows.stop - s.rows.start)
-                sums = np.stack([np.add.reduceat(np.append(spoken[:, k], 0), s.starts) * (s.counts > 0)
-                                 for k in range(spoken.shape[1])], axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("y"), pa.array(guess(sums), pa.int32()),
+                    [part.column("doc_id"), part.column("y"),
                      pa.array([rows[a:e].tobytes() for a, e in zip(s.starts, s.ends)], pa.binary())],
-                    names=["doc_id", "y", "language", "units"])
+                    names=["doc_id", "y", "units"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")  # at most 2 * per_class rows
-    rows = wd.in_batches(sample, SLICE).mapInArrow(hashed, f"doc_id {kind}, y int, language int, units binary").withColumn(
+    rows = wd.in_batches(sample, SLICE).mapInArrow(hashed, f"doc_id {kind}, y int, units binary").withColumn(
         "place", F.xxhash64("doc_id")).collect()
     rows.sort(key=lambda r: (r["place"], r["units"]))
     texts = [np.frombuffer(r["units"], np.int32).reshape(-1, 1 + len(PREFIXES)) for r in rows]
     y = np.array([r["y"] for r in rows], np.float32)
     if not len(rows) or y.min() == y.max():
         return Network(constant=size[1] / total)
-    # Of the whole set of labels; the network itself is trained on classes of equal weight.
-    share = np.array([size[int(v)] / max(1, (y == v).sum()) for v in y])
     held = np.zeros(len(rows), bool)
     held[::5] = True
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
@@ -267,19 +321,33 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     balance = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y == 0).mean())
     fit_on = np.flatnonzero(~held)
     net = train([texts[i] for i in fit_on], y[fit_on], balance[fit_on])
-    check = np.flatnonzero(held) if held.any() else fit_on
-    logits = np.concatenate([net.logits(np.concatenate([texts[i] for i in pick]), np.arange(sum(len(texts[i]) for i in pick)),
-                                        np.array([len(texts[i]) for i in pick]))
-                             for pick in batches(check, np.array([len(t) for t in texts]), 64)])
-    language = np.array([rows[i]["language"] for i in check])
-    overall = threshold(logits, y[check], share[check])
+    cells = count(raw(docs, net), named, [rows[i]["doc_id"] for i in fit_on])
+    # Of the whole set of labels; the network itself is trained on classes of equal weight.
+    share = {v: size[v] / max(1, cells.rows(v)) for v in (0, 1)}
+    overall = cells.threshold(share)
     for k in range(len(LANGUAGES)):
-        own = language == k
-        enough = own.any() and 20 <= (y[check][own] > 0).sum() and 20 <= (y[check][own] == 0).sum()
-        net.thresholds[k] = threshold(logits[own], y[check][own], share[check][own]) if enough else overall
+        own = cells.of(cells.language == k)
+        net.thresholds[k] = own.threshold(share) if min(own.rows(0), own.rows(1)) >= ENOUGH else overall
     return net
 
 
+def raw(docs: DataFrame, net: Network) -> DataFrame:
+    """``doc_id``, ``language`` (its index) and ``logit`` of every row."""
+    shipped = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shipped.value
+        for batch in batches:
+            for s in wd.word_slices(batch.column("text"), wd.ALNUM, SLICE):
+                ids = batch.column("doc_id").slice(s.rows.start, s.rows.stop - s.rows.start)
+                logits = net.logits(units(s.names), s.codes, s.counts).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(languages(s), pa.int32()), pa.array(logits)],
+                                                 names=["doc_id", "language", "logit"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return wd.in_batches(docs.select("doc_id", "text"), SLICE).mapInArrow(run, f"doc_id {kind}, language int, logit double")
+
+
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """``docs`` with ``toxicity`` between 0 and 1 (a column of that name is replaced)."""
     shipped = docs.sparkSession.sparkContext.broadcast(net)
@@ -294,10 +362,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
                 if net.constant is not None:
                     value = np.full(n, net.constant)
                 else:
-                    spoken = votes(s.names)[s.codes]
-                    sums = np.stack([np.add.reduceat(np.append(spoken[:, k], 0), s.starts) * (s.counts > 0)
-                                     for k in range(spoken.shape[1])], axis=1)
-                    value = net.scores(net.logits(units(s.names), s.codes, s.counts), guess(sums))
+                    value = net.scores(net.logits(units(s.names), s.codes, s.counts), languages(s))
                 part = batch.slice(s.rows.start, s.rows.stop - s.rows.start)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value)], names=[*part.schema.names, "toxicity"])
 

@@ -94,6 +94,61 @@ def test_logits_do_not_depend_on_the_slice():
     assert np.allclose(whole, parts, atol=1e-4)
 
 
+def _f1(logits, y, at):
+    said = logits > at
+    return 2 * (said & y).sum() / max(1, said.sum() + y.sum())
+
+
+@pytest.fixture(scope="module")
+def many(make, spark):
+    """Labels far beyond the sample, with a language that has few of them, and labels that are often wrong."""
+    rng = random.Random(9)
+    words = {"en": "the of and to in stone river house".split(), "de": "der die und von mit stein fluss haus".split()}
+    rows, labels = [], []
+    for k in range(4000):
+        lang = "de" if rng.random() < 0.08 else "en"
+        toxic = rng.random() < 0.4
+        text = [rng.choice(words[lang]) for _ in range(rng.randint(5, 30))]
+        text += ["grub"] * (toxic if rng.random() < 0.85 else not toxic)
+        rows.append((k, " ".join(text)))
+        labels.append((k, int(toxic), int(toxic)))
+    return make(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {i: t for i, t, _ in labels}
+
+
+def test_toxicity_thresholds_cover_all_labelled_rows(many):
+    docs, labels, truth = many
+    net = toxicity.fit(docs, labels, per_class=150)
+    rows = toxicity.raw(docs, net).collect()
+    language, logits = np.array([r["language"] for r in rows]), np.array([r["logit"] for r in rows])
+    y = np.array([truth[r["doc_id"]] > 0 for r in rows])
+    german = toxicity.LANGUAGES.index("de")
+    own = language == german
+    assert net.thresholds[german] != net.thresholds[toxicity.LANGUAGES.index("other")]  # that of all languages
+    for rows_of, at in ((own, net.thresholds[german]), (language == 0, net.thresholds[0])):
+        best = max(_f1(logits[rows_of], y[rows_of], x) for x in logits[rows_of])
+        assert _f1(logits[rows_of], y[rows_of], at) > best - 0.02
+
+
+def test_quality_threshold_covers_all_labelled_rows(many, monkeypatch):
+    docs, labels, truth = many
+    counted = []
+    monkeypatch.setattr(quality, "count", lambda *a: counted.append(toxicity.count(*a)) or counted[0])
+    model = quality.fit(docs, labels, per_class=150)
+    assert counted[0].rows(0) + counted[0].rows(1) == len(truth) - 240  # all but four fifths of the sample
+    rows = quality.raw(docs, model).collect()
+    logits, y = np.array([r["logit"] for r in rows]), np.array([truth[r["doc_id"]] > 0 for r in rows])
+    assert _f1(logits, y, model.shift) > max(_f1(logits, y, x) for x in logits) - 0.02
+
+
+def test_threshold_from_counts_is_that_of_the_rows():
+    rng = np.random.default_rng(4)
+    logits = np.round(rng.normal(0, 6, 500) / toxicity.BIN) * toxicity.BIN + toxicity.BIN / 2  # of a bin all the same
+    y = (logits + rng.normal(0, 4, 500) > 1).astype(int)
+    share = {0: 3.0, 1: 0.5}
+    cells = toxicity.Counts(np.zeros(500, int), np.floor(logits / toxicity.BIN).astype(int), y, np.ones(500, int), logits, logits)
+    assert cells.threshold(share) == pytest.approx(toxicity.threshold(logits, y, np.array([share[v] for v in y])))
+
+
 def test_threshold_splits_at_the_widest_gap():
     assert toxicity.threshold(np.array([5.0, 4.0, -1.0, -2.0]), np.array([1, 1, 0, 0]), np.ones(4)) == pytest.approx(1.5)
 
