@@ -86,6 +86,16 @@ def test_lda_recovers_blocks_and_reports_errors(spark):
     assert store.lda_counts(c.doc_terms).where("count < 1").count() == 0
 
 
+def test_lda_iterations_are_passes_over_all_documents(spark, monkeypatch):
+    made, library = [], ld.LDA
+    monkeypatch.setattr(ld, "LDA", lambda **kw: made.append(library(**kw)) or made[0])
+    counts = spark.createDataFrame([(i, i, 50) for i in range(40)], "doc_id long, term_idx int, count long")
+    members = spark.createDataFrame([("lda", "sample", 2, 0, i) for i in range(40)], "algo string, kind string, k int, run int, doc_id long")
+    _, _, errors = ld.fit(counts, members, counts.select("term_idx"), ["algo", "kind", "k", "run"], max_iter=2)
+    assert errors.first()["error"] is None
+    assert made[0].getMaxIter() * made[0].getSubsamplingRate() == pytest.approx(2)
+
+
 def test_scores_written_twice_keep_the_last(spark):
     from quire.operators import validation as va
 
