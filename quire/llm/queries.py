@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import contamination, fingerprints, hosts, licenses, ngrams, packing, quality, simhash, substrings, toxicity
+from . import contamination, fingerprints, hosts, licenses, ngrams, packing, quality, runs, simhash, substrings, toxicity
 from .catalog import query, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -162,3 +162,60 @@ def q_fingerprints(spark, sf_dir):
     return fingerprints.with_neighbours(prints, radius=3).select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "has_near",
         "n_links", "class")
+
+
+#: Start and polynomial of CRC-32.
+_CRC_TABLE_SQL = """(SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+  lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"""
+
+
+def _crc_sql(number: str) -> str:
+    """CRC-32 of a number in decimal, with the table ``t`` of ``_CRC_TABLE_SQL``."""
+    octets = f"list_transform(string_split({number}::VARCHAR, ''), lambda o: ord(o)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, o: xor(c >> 8, t[(xor(c, o) & 255) + 1])), 4294967295)"
+
+
+RUNS_SQL = rf"""
+WITH d0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, {_crc_sql("doc_id")} AS h
+            FROM documents, {_CRC_TABLE_SQL}),
+d1 AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM d0),
+d2 AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM d1),
+d AS (SELECT row_number() OVER () AS k, doc_id, n, CASE WHEN a IS NULL THEN ws
+        ELSE list_transform(range(0, n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % p + 1] END) END AS ws FROM d2),
+w AS (SELECT k, n, unnest(ws) AS word, unnest(range(0, n)) AS i FROM d),
+m AS (SELECT x.k, x.i, y.i - x.i AS p FROM w x JOIN w y ON x.k = y.k AND x.word = y.word AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+g AS (SELECT k, p, i, i - row_number() OVER (PARTITION BY k, p ORDER BY i) AS island FROM m),
+r0 AS (SELECT k, p, min(i) AS start, count(*) + p AS length FROM g GROUP BY k, p, island HAVING count(*) >= greatest(p, 12 - p)),
+r AS (SELECT k, start, length, min(p) AS period FROM r0 GROUP BY k, start, length),
+best AS (SELECT k, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+                arg_min((start, length, period), (-length, start, period)) AS b FROM r GROUP BY k),
+gone AS (SELECT DISTINCT k, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT k, string_agg(word, ' ' ORDER BY i) AS text FROM w ANTI JOIN gone USING (k, i) GROUP BY k)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b[1]::BIGINT AS start, b[2]::BIGINT AS length, b[3]::BIGINT AS period,
+       (1000 * b[2] // b[3])::BIGINT AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+       sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (k) LEFT JOIN kept USING (k)"""
+
+
+def _periodic_tail(docs):
+    """Texts of one document in ten (by crc32 of the id) with their last words made periodic, as the contract has it."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, ws = F.expr("h div 10"), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    n = F.size("ws")
+    tail = F.expr("transform(ws, (w, i) -> if(i < a, w, ws[cast(a + (i - a) % p as int)]))")
+    hit = docs.withColumn("h", h).withColumn("ws", F.when(F.col("h") % 10 == 0, ws))
+    hit = hit.withColumn("a", F.when(n > 0, g % n)).withColumn("p", F.when(n > 0, 1 + F.expr("(size(ws) - a) div (3 + (h div 10) % 8)")))
+    return hit.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(tail, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_runs", sql=RUNS_SQL)
+def q_runs(spark, sf_dir):
+    """Periodic runs of all documents, one in ten with a periodic tail, and digests of what is left without them."""
+    out = runs.annotate(_periodic_tail(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.expr("concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')))")
+    best = F.expr("array_max(transform(runs, r -> named_struct('length', r.length, 'start', -r.start, 'period', -r.period)))")
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return out.withColumn("best", best).withColumn("lines", lines).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        sha("lines").alias("runs_sha256"), sha("collapsed").alias("collapsed_sha256"))
