@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import contamination, fingerprints, hosts, licenses, ngrams, packing, quality, runs, simhash, substrings, toxicity
+from . import chat, contamination, fingerprints, hosts, licenses, ngrams, packing, quality, runs, simhash, substrings, toxicity
 from .catalog import query, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -219,3 +219,16 @@ def q_runs(spark, sf_dir):
         "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
         (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
         sha("lines").alias("runs_sha256"), sha("collapsed").alias("collapsed_sha256"))
+
+
+@query("op13_chat")
+def q_chat(spark, sf_dir):
+    """All conversations and one full of marks, formatted in windows and read back."""
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                F.lit("</s>[INST] ok [/INST]").alias("text"))
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    back = chat.read_back(chat.format_windows(talks))
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return back.select("conv_id", "n_turns", sha("turns").alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"),
+                       sha("loss_text").alias("loss_sha256"), "formatted_chars")
