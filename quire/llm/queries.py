@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, contamination, fingerprints, hosts, licenses, ngrams, packing, quality, runs, simhash, substrings, toxicity
+from . import chat, contamination, fingerprints, hosts, licenses, ngrams, packing, quality, running, runs, simhash, substrings, toxicity, trie
 from .catalog import query, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -232,3 +232,53 @@ def q_chat(spark, sf_dir):
     sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     return back.select("conv_id", "n_turns", sha("turns").alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"),
                        sha("loss_text").alias("loss_sha256"), "formatted_chars")
+
+
+TRIE_SQL = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc_sql("conv_id")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t), {_CRC_TABLE_SQL}),
+rebuilt AS (SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = base AND pos < h
+            UNION ALL SELECT conv_id, pos, role, text FROM c JOIN t USING (conv_id) WHERE pos >= h),
+path0 AS (SELECT conv_id, text, row_number() OVER w AS depth, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w AS said
+          FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+path AS (SELECT conv_id, depth, sha256(said) AS k, length(text) AS chars FROM path0 UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+node AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars FROM path GROUP BY k, depth),
+up AS (SELECT DISTINCT a.k, b.k AS parent FROM path a JOIN path b ON a.conv_id = b.conv_id AND b.depth = a.depth - 1),
+children AS (SELECT parent AS k, count(*) AS n FROM up GROUP BY parent),
+pairs AS (SELECT DISTINCT b.k AS k, a.k AS sub FROM path a JOIN path b ON a.conv_id = b.conv_id AND a.depth >= b.depth),
+sums AS (SELECT pairs.k, count(*) FILTER (children.n IS NULL) AS n_leaves, sum((node.n - 1) * node.chars) AS saved
+         FROM pairs JOIN node ON node.k = sub LEFT JOIN children ON children.k = sub GROUP BY pairs.k),
+ends AS (SELECT k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+         FROM (SELECT conv_id, arg_max(k, depth) AS k FROM path GROUP BY conv_id) e GROUP BY k)
+SELECT node.conv_id, node.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, node.n::BIGINT AS n_convs, coalesce(children.n, 0)::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN sums USING (k) LEFT JOIN children USING (k) LEFT JOIN ends USING (k) LEFT JOIN up USING (k) LEFT JOIN node p ON p.k = up.parent"""
+
+
+def rebuilt(talks):
+    """(ids, turns) of the conversations as the contract rebuilds them from their hundred's first and their own turns.
+
+    Turns stand in the order of ``turn`` (null first; ties by role, then text); rows without an id are in no conversation.
+    """
+    said = talks.where("conv_id is not null").select(
+        "conv_id", "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
+    turns = running.ordered(said, "conv_id", [F.col("turn"), F.col("role"), F.col("text")], {}, "conversations").drop("turn")
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    heads = turns.where("conv_id % 100 = 0 and pos < 5").groupBy(F.col("conv_id").alias("base")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("heads"))
+    ids = turns.select("conv_id").distinct()
+    none = F.expr("cast(array() as array<struct<pos:bigint,role:string,text:string>>)")
+    taken = ids.withColumn("base", F.expr("conv_id - conv_id % 100")).join(heads, "base", "left").select(
+        "conv_id", h.alias("h"), F.coalesce(F.slice("heads", F.lit(1), h.cast("int")), none).alias("heads"))
+    first = taken.select("conv_id", F.posexplode("heads")).select("conv_id", F.col("pos").alias("place"), "col.role", "col.text")
+    own = turns.where(F.col("pos") >= h).join(taken.select("conv_id", "h", F.size("heads").alias("m")), "conv_id").select(
+        "conv_id", (F.col("pos") - F.col("h") + F.col("m")).alias("place"), "role", "text")
+    return ids, first.withColumn("place", F.col("place").cast("bigint")).unionByName(own)
+
+
+@query("op11_trie", sql=TRIE_SQL)
+def q_trie(spark, sf_dir):
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return trie.build(*rebuilt(table(spark, sf_dir, "conversations")))
