@@ -29,9 +29,9 @@ DEFAULT_MIN_DOC_LENGTH = 50
 
 # Line boundaries of Python's universal-newline line reader.
 LINE_BREAK_PATTERN = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
-# Whitespace stripped from both ends of a line (Unicode white space plus the
-# information separators Python also treats as space).
-EDGE_SPACE_PATTERN = "(?U)^[\\s\u001c-\u001f]+|[\\s\u001c-\u001f]+$"
+# White space stripped from both ends of a line: Unicode white space and the
+# information separators, which Python also takes as space.
+EDGE_SPACE = "".join(chr(cp) for cp in range(0x10000) if chr(cp).isspace())
 
 
 def token_pattern(min_term_length: int = 2) -> str:
@@ -85,9 +85,10 @@ def fold_accents(col: Column, exact: bool = False) -> Column:
     """Lowercase, then drop accents.
 
     Default: one ``translate`` with the rule-built table (JVM, codegen), which
-    also deletes combining marks, and replacements for ligatures in the texts
-    that hold one. ``exact=True``: full NFKD semantics for the rest of the
-    one-to-many forms too (Hangul syllables), through an Arrow-batched UDF.
+    also deletes combining marks; an ASCII text needs none, and only a text with
+    characters beyond the narrow range of accented Latin letters is looked
+    through for ligatures. ``exact=True``: full NFKD semantics for the rest of
+    the one-to-many forms too (Hangul syllables), through an Arrow-batched UDF.
     """
     low = F.lower(col)
     if exact:
@@ -97,12 +98,14 @@ def fold_accents(col: Column, exact: bool = False) -> Column:
     spelled = folded
     for char, letters in ligature_table().items():
         spelled = F.replace(spelled, F.lit(char), F.lit(letters))
-    return F.when(low.rlike("[" + "".join(ligature_table()) + "]"), spelled).otherwise(folded)
+    return (F.when(F.octet_length(low) == F.char_length(low), low)
+            .when(~low.rlike(f"[{min(ligature_table())}-\uffff]"), folded)
+            .when(low.rlike("[" + "".join(ligature_table()) + "]"), spelled).otherwise(folded))
 
 
 def strip_uris(col: Column) -> Column:
     """C1 on one line: strip, then delete every URI-like run."""
-    return F.regexp_replace(F.regexp_replace(col, EDGE_SPACE_PATTERN, ""), URI_PATTERN, "")
+    return F.regexp_replace(F.btrim(col, F.lit(EDGE_SPACE)), URI_PATTERN, "")
 
 
 def body_lines(col: Column) -> Column:

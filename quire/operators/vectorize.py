@@ -3,7 +3,7 @@
 Plan shape (see ``build_corpus``):
 
     scan -> normalise body -> length filter -> tokens
-         -> sorted tokens -> run lengths, inside the document row
+         -> sorted tokens -> run lengths, inside the document row (persisted)
          -> explode of the distinct (term, tf)                 = doc_tf
     doc_tf -> partial/final count by term (tiny shuffle)       = df
     df -> min_df + stopwords -> ordered index (range sort)     = vocab
@@ -21,10 +21,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.files import deal
 from .indexing import ordered_index
 
 
@@ -44,7 +45,7 @@ class CorpusConfig:
 
 @dataclass
 class Corpus:
-    docs: DataFrame        # doc_id, label (kept documents; persisted, no body)
+    docs: DataFrame        # doc_id, label (kept documents)
     vocab: DataFrame       # term_idx, term, df, idf
     doc_terms: DataFrame   # doc_id, term_idx, term, tf, weight
     config: CorpusConfig = field(default_factory=CorpusConfig)
@@ -61,11 +62,10 @@ def prepare_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       min_length: int = tx.DEFAULT_MIN_DOC_LENGTH) -> DataFrame:
     """B2 + C1/C2: normalised bodies of at least ``min_length`` characters."""
     label = F.col(label_col).cast("string") if label_col else F.lit(None).cast("string")
-    src = df.select(F.col(id_col).alias("doc_id"), label.alias("label"), F.col(text_col).alias("_text"))
-    return (
-        src.select("doc_id", "label", tx.normalize_body(F.col("_text")).alias("body"))
-        .where(F.length("body") >= min_length)
-    )
+    src = deal(df.select(F.col(id_col).alias("doc_id"), label.alias("label"), F.col(text_col).alias("_text")))
+    # A filter on the computed body would be pushed below it, and every text normalised twice.
+    body = F.filter(F.array(tx.normalize_body(F.col("_text"))), lambda b: F.length(b) >= min_length)
+    return src.select("doc_id", "label", F.explode(body).alias("body"))
 
 
 def length_filter_counts(df: DataFrame, text_col: str = "text",
@@ -76,26 +76,33 @@ def length_filter_counts(df: DataFrame, text_col: str = "text",
                   F.count_if(~ok).cast("bigint").alias("skipped"))
 
 
-def doc_tokens(docs: DataFrame, cfg: CorpusConfig) -> DataFrame:
-    """Token arrays after folding, tokenising and (for n-grams) stopwords."""
+def token_column(cfg: CorpusConfig) -> Column:
+    """Tokens of ``body`` after folding, tokenising and (for n-grams) stopwords."""
     toks = tx.tokenize(F.col("body"), cfg.min_term_length, cfg.exact_fold)
     n_min, n_max = cfg.ngram_range
-    if n_max > 1:
-        toks = tx.ngrams(tx.remove_stopwords(toks, list(cfg.stopwords)), n_min, n_max)
-    return docs.select("doc_id", toks.alias("tokens"))
+    return tx.ngrams(tx.remove_stopwords(toks, list(cfg.stopwords)), n_min, n_max) if n_max > 1 else toks
 
 
-def doc_term_counts(docs: DataFrame, cfg: CorpusConfig) -> DataFrame:
-    """(doc_id, term, tf), counted inside each document's row: the ends of
-    the runs of equal tokens in the sorted token array give the counts."""
-    ordered = doc_tokens(docs, cfg).select("doc_id", F.array_sort("tokens").alias("_s"))
-    ends = F.filter(F.sequence(F.lit(1), F.size("_s")),
-                    lambda i: (i == F.size("_s")) | (F.get("_s", i - 1) != F.get("_s", i)))
-    runs = ordered.where(F.size("_s") > 0).withColumn("_e", ends)
+def doc_tokens(docs: DataFrame, cfg: CorpusConfig) -> DataFrame:
+    return docs.select("doc_id", token_column(cfg).alias("tokens"))
+
+
+def _counted(docs: DataFrame, cfg: CorpusConfig, *kept: str) -> DataFrame:
+    """One row a document: its distinct terms and their counts, as ``pairs``."""
+    sizes = F.size("_s")
+    ordered = docs.withColumn("_s", F.array_sort(token_column(cfg))).select(*kept, "_s")
+    # No filter on the tokens either: documents without any get no pairs.
+    ends = F.when(sizes > 0, F.filter(F.sequence(F.lit(1), sizes), lambda i: (i == sizes) | (F.get("_s", i - 1) != F.get("_s", i))))
     pairs = F.transform("_e", lambda e, j: F.struct(
         F.get("_s", e - 1).alias("term"),
         (e - F.coalesce(F.when(j > 0, F.get("_e", j - 1)), F.lit(0))).cast("bigint").alias("tf")))
-    return runs.select("doc_id", F.explode(pairs).alias("_p")).select("doc_id", "_p.*")
+    return ordered.withColumn("_e", ends).select(*kept, pairs.alias("pairs"))
+
+
+def doc_term_counts(docs: DataFrame, cfg: CorpusConfig) -> DataFrame:
+    """(doc_id, term, tf), counted inside each document's row: the ends of
+    the runs of equal tokens in the sorted token array give the counts."""
+    return _counted(docs, cfg, "doc_id").select("doc_id", F.explode("pairs").alias("_p")).select("doc_id", "_p.*")
 
 
 def document_frequency(doc_tf: DataFrame) -> DataFrame:
@@ -163,16 +170,15 @@ def build_corpus(docs: DataFrame, cfg: CorpusConfig = CorpusConfig(), persist: b
     """The whole preprocessing as one plan; the products are persisted
     (``Corpus.release`` gives them up). ``check_corpus`` validates the result.
 
-    The kept documents are persisted as a slim (doc_id, label) list: every
-    later operator (samples, classes, cluster sizes) reads it instead of
-    re-normalising the text, and the text itself is never cached.
+    The text is read, normalised and tokenised once: what is persisted of it is a
+    row a document with its label and counted terms. The list of documents and
+    the (document, term) pairs are projections of that row.
     """
-    doc_list = docs.select("doc_id", "label")
-    if persist:
-        doc_list = doc_list.persist(StorageLevel.MEMORY_AND_DISK)
-    doc_tf = doc_term_counts(docs, cfg)
+    rows = _counted(docs, cfg, "doc_id", "label")
     if persist:
-        doc_tf = doc_tf.persist(StorageLevel.MEMORY_AND_DISK)
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    doc_list = rows.select("doc_id", "label")
+    doc_tf = rows.select("doc_id", F.explode("pairs").alias("_p")).select("doc_id", "_p.*")
     n_docs = doc_list.agg(F.count(F.lit(1)).cast("bigint").alias("n_docs"))
     vocab = vocabulary(document_frequency(doc_tf), n_docs, cfg)
     if persist:
@@ -181,7 +187,7 @@ def build_corpus(docs: DataFrame, cfg: CorpusConfig = CorpusConfig(), persist: b
     if persist:
         doc_terms = doc_terms.persist(StorageLevel.MEMORY_AND_DISK)
     return Corpus(docs=doc_list, vocab=vocab, doc_terms=doc_terms, config=cfg,
-                  held=(doc_terms, vocab, doc_tf, doc_list) if persist else ())
+                  held=(doc_terms, vocab, rows) if persist else ())
 
 
 def class_counts(docs: DataFrame) -> DataFrame:

@@ -26,3 +26,14 @@ def load_stopwords(spark: SparkSession, path: str) -> DataFrame:
     """A3: the distinct stripped, lowercased, non-empty lines of a stopword file (``term``)."""
     lines = spark.read.text(path).select(F.lower(F.trim(F.col("value"))).alias("term"))
     return lines.where(F.length("term") > 0).distinct()
+
+
+def deal(df: DataFrame) -> DataFrame:
+    """``df`` with its rows dealt to all cores if it is read from fewer files than there are cores.
+
+    A Parquet file may be a single row group, which one task reads whole, and
+    per-text work is far dearer than moving the text once. A table of more files
+    is read in parallel as it is, so a large corpus isn't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
