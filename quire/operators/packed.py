@@ -2,20 +2,17 @@
 
 A packed row holds a document's term indexes, weights and the models it is a
 member of. The corpus is packed and written once; every pass over it is
-narrow, whatever the number of models: a task keeps one dense block of sums
-per model (topics x terms) and emits it at its end, in pieces that are added
-up by (model, piece).
-
-The term side of the models (``topics x terms`` numbers each) is what a pass
-broadcasts and returns, so models are taken in groups whose term sides are at
-most ``GROUP_BYTES`` together. ``fits`` tells whether a single model does; the
-callers have a joined form for one that doesn't.
+narrow, whatever the number of models.
+
+The term side of the models (``topics x terms`` numbers each) lies in blocks
+(``blocks``); models are taken in groups whose sums are at most ``GROUP_BYTES``
+together, or one by one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +22,9 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 GROUP_BYTES = 64 << 20
-PIECE = 1 << 14  # numbers of a block of sums in one row
 SLICE_NNZ = 1 << 19  # non-zeros handled at a time inside a batch
 
 
-def fits(topics: int, terms: int) -> bool:
-    return topics * terms * 8 <= GROUP_BYTES
-
-
 def groups(sizes: list[int], terms: int) -> Iterator[list[int]]:
     """Indexes of models in groups of bounded size; ``sizes``: topics of each."""
     out, held = [], 0
@@ -53,18 +45,36 @@ class Rows:
     ends: np.ndarray
     terms: np.ndarray
     weights: np.ndarray
-    models: list[np.ndarray]  # of each document
+    models: tuple[np.ndarray, np.ndarray]  # (document, model) of each membership
 
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
 
+    @property
+    def starts(self) -> np.ndarray:
+        return np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+
     def of_model(self, model: int) -> "Rows":
-        has = np.fromiter((model in m for m in self.models), bool, len(self.models))
+        has = np.zeros(len(self.ends), bool)
+        has[self.models[0][self.models[1] == model]] = True
+        if has.all():
+            return self
         n = np.diff(self.ends, prepend=0)
         keep = np.repeat(has, n)
         return Rows(self.ids.filter(pa.array(has)), np.cumsum(n[has]), self.terms[keep], self.weights[keep],
-                    [m for m, h in zip(self.models, has) if h])
+                    (np.zeros(0, int), np.zeros(0, int)))
+
+    def compact(self, terms: int) -> tuple["Rows", np.ndarray]:
+        """The rows with terms numbered by those that occur, and these, ascending."""
+        if terms > 1 << 22:
+            found, at = np.unique(self.terms, return_inverse=True)
+        else:
+            seen = np.zeros(terms, bool)
+            seen[self.terms] = True
+            found = np.flatnonzero(seen)
+            at = (np.cumsum(seen) - 1)[self.terms]
+        return replace(self, terms=at), found
 
     def times(self, dense: np.ndarray) -> np.ndarray:
         """X D' for a dense (topics x terms) block D: documents x topics."""
@@ -111,54 +121,6 @@ def slices(batch: pa.RecordBatch) -> Iterator[Rows]:
     while a < n:
         b = min(n, max(a + 1, int(np.searchsorted(off, off[a] + SLICE_NNZ, side="right")) - 1))
         yield Rows(batch.column("doc_id").slice(a, b - a), off[a + 1:b + 1] - off[a], flat_t[off[a]:off[b]],
-                   flat_w[w_off[a]:w_off[b]], [m_flat[m_off[i]:m_off[i + 1]] for i in range(a, b)])
+                   flat_w[w_off[a]:w_off[b]],
+                   (np.repeat(np.arange(b - a), np.diff(m_off[a:b + 1])), m_flat[m_off[a]:m_off[b]]))
         a = b
-
-
-def sums(packed: DataFrame, models: list[int], shipped, add: Callable) -> dict[int, np.ndarray]:
-    """Add up what ``add(rows, model, shipped value)`` returns (flat arrays) over all documents, per model.
-
-    Partial sums leave a task once, in pieces, and are added by (model, piece).
-    """
-    def run(batches):
-        held: dict[int, np.ndarray] = {}
-        value = shipped.value
-        for batch in batches:
-            for rows in slices(batch):
-                for m in models:
-                    own = rows.of_model(m)
-                    if len(own.ends):
-                        got = add(own, m, value)
-                        held[m] = held[m] + got if m in held else got
-        for m, flat in held.items():
-            cuts = [flat[i:i + PIECE] for i in range(0, len(flat), PIECE)]
-            yield pa.RecordBatch.from_arrays([pa.array([m] * len(cuts), pa.int32()), pa.array(range(len(cuts)), pa.int32()),
-                                              pa.array(cuts, pa.list_(pa.float64()))], names=["model", "piece", "v"])
-
-    def total(group: pa.Table) -> pa.Table:
-        v = np.sum([np.asarray(x.values) for x in group.column("v")], axis=0)
-        return pa.table({"model": group.column("model").slice(0, 1), "piece": group.column("piece").slice(0, 1),
-                         "v": pa.array([v], pa.list_(pa.float64()))})
-
-    schema = "model int, piece int, v array<double>"
-    rows = packed.mapInArrow(run, schema).groupBy("model", "piece").applyInArrow(total, schema).collect()
-    parts: dict[int, list] = {}
-    for r in sorted(rows, key=lambda r: (r["model"], r["piece"])):
-        parts.setdefault(r["model"], []).append(np.array(r["v"]))
-    return {m: np.concatenate(p) for m, p in parts.items()}
-
-
-def per_document(packed: DataFrame, models: list[int], shipped, of: Callable, id_type: str) -> DataFrame:
-    """(model, doc_id, v) with the row of numbers that ``of(rows, model, shipped value)`` gives each member."""
-    def run(batches):
-        value = shipped.value
-        for batch in batches:
-            for rows in slices(batch):
-                for m in models:
-                    own = rows.of_model(m)
-                    if len(own.ends):
-                        v = of(own, m, value)
-                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel()))
-                        yield pa.RecordBatch.from_arrays([pa.array([m] * len(v), pa.int32()), own.ids, lists],
-                                                         names=["model", "doc_id", "v"])
-    return packed.mapInArrow(run, f"model int, doc_id {id_type}, v array<double>")

@@ -1,8 +1,10 @@
 """Invariants of the iterative models on a planted corpus."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quire.operators import blocks as bl
 from quire.operators import kmeans as km
 from quire.operators import nmf as nm
 from quire.operators import sampling as sm
@@ -47,29 +49,75 @@ def test_nmf_error_decreases_and_matches_the_tables(spark):
     assert errs[1] <= errs[0] + 1e-9
 
 
-def test_nmf_by_joins_where_the_terms_are_too_many(spark, monkeypatch):
-    c = planted(spark)
-    mem = sm.model_members(c.docs.select("doc_id"), "nmf", 2, 2, 0)
-    monkeypatch.setattr("quire.operators.packed.GROUP_BYTES", 8)
-    W, H = nm.nmf(c.doc_terms, mem, c.vocab, KEYS, max_iter=2)
-    assert W.count() == 2 * c.docs.count() and H.count() == 2 * c.vocab.count()
+@pytest.mark.parametrize("objective, start", [("fro", "random"), ("fro", "nndsvd"), ("kl", "random")])
+def test_nmf_is_the_same_in_blocks_of_any_size(spark, monkeypatch, objective, start):
+    x = _uneven()
+    rows, mem = _rows(spark, x, (2, 3))
+    found = []
+    for group, block in ((64 << 20, 1 << 20), (1 << 10, 200)):
+        monkeypatch.setattr("quire.operators.packed.GROUP_BYTES", group)
+        monkeypatch.setattr("quire.operators.blocks.BLOCK_BYTES", block)
+        W, H, errors = nm.fit(rows, mem, spark.range(x.shape[1]), KEYS, max_iter=3, objective=objective, start=start)
+        found.append([{tuple(r)[:-1]: r[-1] for r in t.collect()} for t in (W, H, errors)])
+    assert len(found[0][0]) == 5 * len(x) and len(found[0][1]) == 5 * x.shape[1]
+    for a, b in zip(*found):
+        assert a.keys() == b.keys() and all(abs(a[x] - b[x]) < 1e-9 for x in a)
 
 
-def test_nndsvd_finds_the_singular_vectors(spark):
-    import numpy as np
+def _uneven():
+    rng = np.random.default_rng(0)
+    noise = np.where(rng.random((60, 40)) < 0.3, rng.random((60, 40)), 0)
+    return noise + 3 * np.outer(rng.random(60), rng.random(40) < 0.5) + 2 * np.outer(rng.random(60) < 0.4, rng.random(40))
 
-    c = planted(spark)
-    mem = sm.model_members(c.docs.select("doc_id"), "nmf", 3, 3, 0)
-    packed, _ = nm.pack(c.doc_terms, mem, KEYS)
-    h = nm.nndsvd_terms(packed, 0, 3, c.vocab.count())
+
+def _rows(spark, x, ks):
+    rows = spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(x) if v], "doc_id long, term_idx int, weight double")
+    mem = spark.createDataFrame([("a", "b", k, 0, i) for k in ks for i in range(len(x))], "algo string, kind string, k int, run int, doc_id long")
+    return rows, mem
+
+
+def _matrix(c):
     x = np.zeros((c.docs.count(), c.vocab.count()))
     at = {r["doc_id"]: i for i, r in enumerate(c.docs.collect())}
     for r in c.doc_terms.collect():
         x[at[r["doc_id"]], r["term_idx"]] = r["weight"]
-    first = np.abs(np.linalg.svd(x)[2][0])
-    assert h.shape == (3, c.vocab.count()) and (h >= 0).all()
-    span = np.linalg.svd(x)[2][:3]
-    assert np.allclose(np.linalg.norm(span @ (h[0] / np.linalg.norm(h[0]))), 1.0, atol=1e-6) and len(first) == h.shape[1]
+    return x
+
+
+def _side(spark, side, m=0):
+    rows = bl.table(spark, side).where(F.col("model") == m).collect()
+    out = np.zeros((side.widths[m], side.terms))
+    for r in rows:
+        out[r["topic"], r["term_idx"]] = r["value"]
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_singular_vectors_are_those_of_numpy(spark, monkeypatch, block):
+    monkeypatch.setattr("quire.operators.blocks.BLOCK_BYTES", block)
+    x = _uneven()
+    rows, mem = _rows(spark, x, (3,))
+    packed, _ = nm.pack(rows, mem, KEYS)
+    side, sigma = nm.singular_vectors(packed, {0: 3}, 40, passes=15)
+    u, s, v = np.linalg.svd(x)
+    assert np.allclose(sigma[0], s[:3], rtol=1e-8)
+    got = _side(spark, side)
+    assert np.allclose(np.abs(got @ v[:3].T), np.eye(3), atol=1e-5)
+    h = _side(spark, nm.nndsvd_terms(packed, {0: 3}, 40, passes=15))
+    for j in range(3):
+        a, b = (np.linalg.norm(np.maximum(t * u[:, j], 0)) * np.linalg.norm(np.maximum(t * v[j], 0)) for t in (1, -1))
+        t = 1 if a >= b else -1
+        part = np.maximum(t * v[j], 0)
+        want = np.sqrt(s[0]) * np.abs(v[0]) if j == 0 else np.sqrt(s[j] * max(a, b)) * part / np.linalg.norm(part)
+        assert np.allclose(h[j], want, atol=1e-5)
+
+
+def test_singular_vectors_of_a_matrix_of_low_rank(spark):
+    c = planted(spark, blocks=2, per_block=6)
+    mem = sm.model_members(c.docs.select("doc_id"), "nmf", 3, 3, 0)
+    packed, _ = nm.pack(c.doc_terms, mem, KEYS)
+    _, sigma = nm.singular_vectors(packed, {0: 3}, c.vocab.count(), passes=10)
+    assert np.allclose(sigma[0], np.linalg.svd(_matrix(c))[1][:3], rtol=1e-6)
 
 
 def test_spherical_kmeans_recovers_blocks(spark):
