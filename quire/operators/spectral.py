@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from . import kmeans as km
 from .centroids import build_centroids
-from .packed import Rows, fits, pack
+from .packed import GROUP_BYTES, Rows, pack
 
 STEPS = 25
 
@@ -30,7 +30,8 @@ def _batches(batch: pa.RecordBatch) -> tuple[Rows, np.ndarray]:
     """The documents of a batch and their vectors (column ``v``)."""
     lists = {c: batch.column(c) for c in ("terms", "weights", "v")}
     off = np.asarray(lists["terms"].offsets).astype(np.int64)
-    rows = Rows(batch.column("doc_id"), off[1:] - off[0], np.asarray(lists["terms"].flatten()), np.asarray(lists["weights"].flatten()), [])
+    rows = Rows(batch.column("doc_id"), off[1:] - off[0], np.asarray(lists["terms"].flatten()), np.asarray(lists["weights"].flatten()),
+                (np.zeros(0, int), np.zeros(0, int)))
     v = np.asarray(lists["v"].flatten()).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
     return rows, v
 
@@ -86,7 +87,7 @@ def spectral_embedding(doc_terms: DataFrame, doc_ids: DataFrame, terms: int, k:
     (terms x (k + 5)) must fit ``packed.GROUP_BYTES``.
     """
     width = k + 1 + 4
-    if not fits(width, terms):
+    if width * terms * 8 > GROUP_BYTES:
         raise ValueError("the vocabulary is too large for the embedding's term side: prune it first")
     spark = doc_terms.sparkSession
     members = doc_ids.select("doc_id", F.lit(k).alias("k"))
