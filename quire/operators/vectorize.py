@@ -65,7 +65,7 @@ def prepare_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = deal(df.select(F.col(id_col).alias("doc_id"), label.alias("label"), F.col(text_col).alias("_text")))
     # A filter on the computed body would be pushed below it, and every text normalised twice.
     body = F.filter(F.array(tx.normalize_body(F.col("_text"))), lambda b: F.length(b) >= min_length)
-    return src.select("doc_id", "label", F.explode(body).alias("body"))
+    return src.select("doc_id", "label", F.explode_outer(body).alias("body")).where("body is not null")
 
 
 def length_filter_counts(df: DataFrame, text_col: str = "text",
@@ -102,7 +102,12 @@ def _counted(docs: DataFrame, cfg: CorpusConfig, *kept: str) -> DataFrame:
 def doc_term_counts(docs: DataFrame, cfg: CorpusConfig) -> DataFrame:
     """(doc_id, term, tf), counted inside each document's row: the ends of
     the runs of equal tokens in the sorted token array give the counts."""
-    return _counted(docs, cfg, "doc_id").select("doc_id", F.explode("pairs").alias("_p")).select("doc_id", "_p.*")
+    return _term_rows(_counted(docs, cfg, "doc_id"))
+
+
+def _term_rows(counted: DataFrame) -> DataFrame:
+    # For an inner explode the optimizer adds a filter on the pairs and pushes it below them, text work and all.
+    return counted.select("doc_id", F.explode_outer("pairs").alias("_p")).where("_p is not null").select("doc_id", "_p.*")
 
 
 def document_frequency(doc_tf: DataFrame) -> DataFrame:
@@ -178,7 +183,7 @@ def build_corpus(docs: DataFrame, cfg: CorpusConfig = CorpusConfig(), persist: b
     if persist:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     doc_list = rows.select("doc_id", "label")
-    doc_tf = rows.select("doc_id", F.explode("pairs").alias("_p")).select("doc_id", "_p.*")
+    doc_tf = _term_rows(rows)
     n_docs = doc_list.agg(F.count(F.lit(1)).cast("bigint").alias("n_docs"))
     vocab = vocabulary(document_frequency(doc_tf), n_docs, cfg)
     if persist:
