@@ -95,9 +95,10 @@ def fold_accents(col: Column, exact: bool = False) -> Column:
         return _nfkd_fold(low)
     src, dst = fold_table()
     folded = F.translate(low, src, dst)
-    spelled = folded
-    for char, letters in ligature_table().items():
-        spelled = F.replace(spelled, F.lit(char), F.lit(letters))
+    # One small expression however many ligatures there are: a chain of calls would make the generated method too long
+    # for the JVM to compile.
+    pairs = F.array(*[F.array(F.lit(char), F.lit(letters)) for char, letters in ligature_table().items()])
+    spelled = F.aggregate(pairs, folded, lambda text, pair: F.replace(text, pair[0], pair[1]))
     return (F.when(F.octet_length(low) == F.char_length(low), low)
             .when(~low.rlike(f"[{min(ligature_table())}-\uffff]"), folded)
             .when(low.rlike("[" + "".join(ligature_table()) + "]"), spelled).otherwise(folded))

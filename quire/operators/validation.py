@@ -63,7 +63,8 @@ def partition_scores(pairs: DataFrame, key_cols: list[str], a: str = "class_idx"
     ``pairs``: one row per compared document with its class (a) and
     cluster (b). Averages: 'geometric' | 'arithmetic' | 'max' | 'min'.
     """
-    ct = contingency(pairs, key_cols, a, b).withColumnRenamed("n", "nij")
+    # Classes x clusters of each model; read by all that follows, while the pairs are counted once.
+    ct = contingency(pairs, key_cols, a, b).withColumnRenamed("n", "nij").persist()
     ra = ct.groupBy(*key_cols, a).agg(F.sum("nij").alias("ai"))
     rb = ct.groupBy(*key_cols, b).agg(F.sum("nij").alias("bj"))
     tot = ct.groupBy(*key_cols).agg(F.sum("nij").alias("N"))

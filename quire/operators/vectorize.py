@@ -68,6 +68,11 @@ def prepare_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return src.select("doc_id", "label", F.explode_outer(body).alias("body")).where("body is not null")
 
 
+def document_list(df: DataFrame, label_col: str | None = "lang", min_length: int = tx.DEFAULT_MIN_DOC_LENGTH) -> DataFrame:
+    """B2: (doc_id, label) of the kept documents, persisted: samples and classes read it many times, the texts once."""
+    return prepare_documents(df, label_col=label_col, min_length=min_length).select("doc_id", "label").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def length_filter_counts(df: DataFrame, text_col: str = "text",
                          min_length: int = tx.DEFAULT_MIN_DOC_LENGTH) -> DataFrame:
     """B2 bookkeeping: kept and skipped documents, one aggregate."""
@@ -90,7 +95,7 @@ def doc_tokens(docs: DataFrame, cfg: CorpusConfig) -> DataFrame:
 def _counted(docs: DataFrame, cfg: CorpusConfig, *kept: str) -> DataFrame:
     """One row a document: its distinct terms and their counts, as ``pairs``."""
     sizes = F.size("_s")
-    ordered = docs.withColumn("_s", F.array_sort(token_column(cfg))).select(*kept, "_s")
+    ordered = docs.withColumn("_s", F.sort_array(token_column(cfg))).select(*kept, "_s")
     # No filter on the tokens either: documents without any get no pairs.
     ends = F.when(sizes > 0, F.filter(F.sequence(F.lit(1), sizes), lambda i: (i == sizes) | (F.get("_s", i - 1) != F.get("_s", i))))
     pairs = F.transform("_e", lambda e, j: F.struct(

@@ -39,9 +39,10 @@ def class_fold_centroids(corpus: Corpus, kmin: int, kmax: int, runs: int,
     leaves out. Only (1 - ratio) of the rows are repeated per run instead
     of ratio, so the join feeding the aggregation is ~4x smaller at 0.8.
     """
-    classes = class_partition(corpus.docs).where(F.col("class_idx") >= 0)
+    # Both are slim and stand in several places of the plan below, which would repeat all that makes them.
+    classes = class_partition(corpus.docs).where(F.col("class_idx") >= 0).persist(StorageLevel.MEMORY_AND_DISK)
     ids = corpus.docs.select("doc_id")
-    left_out = sample_runs(ids, runs, ratio, seed, complement=True) if runs > 0 else None
+    left_out = sample_runs(ids, runs, ratio, seed, complement=True).persist(StorageLevel.MEMORY_AND_DISK) if runs > 0 else None
     terms = corpus.doc_terms.select("doc_id", "term_idx", "weight").join(classes, "doc_id")
     full = terms.groupBy("class_idx", "term_idx").agg(F.sum("weight").alias("_all"))
     full_n = classes.groupBy("class_idx").agg(F.count(F.lit(1)).alias("_all_n"))

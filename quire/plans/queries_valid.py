@@ -221,14 +221,14 @@ pp AS (SELECT printf('k%02d_run%03d', k.range, m.run) AS pair, m.doc_id, lc.lang
 def _fold_partition_scores(spark, sf_dir):
     from ..operators import centroids as ce
     from ..operators import sampling as sm
-    docs = vz.prepare_documents(table(spark, sf_dir, "documents"), label_col="source").select("doc_id", "label")
+    docs = vz.document_list(table(spark, sf_dir, "documents"), label_col="source")
     cls = ce.class_partition(docs)
     mem = sm.run_members(docs.select("doc_id"), FLAG_RUNS, O.RATIO, O.SEED)
     lang = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("a"))
     ks = F.explode(F.sequence(F.lit(FLAG_KMIN), F.lit(FLAG_KMAX))).alias("k")
     pp = (mem.join(cls, "doc_id").join(lang, "doc_id").select("*", ks)
           .select(F.format_string("k%02d_run%03d", F.col("k"), F.col("run")).alias("pair"), "doc_id", "a",
-                  F.pmod(F.col("class_idx"), F.col("k")).cast("string").alias("b")))
+                  F.pmod(F.col("class_idx"), F.col("k")).cast("string").alias("b"))).persist()
     return va.validate_partitions(pp, ["pair"], "a", "b")
 
 
