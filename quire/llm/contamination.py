@@ -36,9 +36,13 @@ SHARD = 4 << 20  # bytes of training text in one suffix array, but for a longer
 BLOCK_WORDS = 1 << 18  # of test items searched at a time
 
 
+#: Stands for a missing item id; greater than any that occurs, so that the least id of several is a real one.
+NO_ID = np.iinfo(np.int64).max
+
+
 @dataclass
 class Items:
-    """A block of test items: word hashes, where each item ends, item ids."""
+    """A block of test items: word hashes, where each item ends, item ids (``NO_ID`` where there is none)."""
     words: np.ndarray
     ends: np.ndarray
     ids: np.ndarray
@@ -59,12 +63,13 @@ def write_items(items: DataFrame, folder: str) -> list[int]:
                 hashed.append(s.hashes()[s.codes])
                 ends.append(s.ends + at)
                 at += len(s.codes)
-                ids.append(np.asarray(batch.column("item_id").slice(s.rows.start, s.rows.stop - s.rows.start)).astype(np.int64))
+                own = batch.column("item_id").slice(s.rows.start, s.rows.stop - s.rows.start)
+                ids.append(np.asarray(own.cast(pa.int64()).fill_null(NO_ID)))
         for name, parts in (("words", hashed), ("ends", ends), ("ids", ids)):
             ar.save(f"{folder}/items-{k}-{name}.npy", np.concatenate(parts))
         return pa.table({"block": pa.array([k], pa.int32())})
 
-    return sorted(r[0] for r in dealt.where("item_id is not null").groupBy("block").applyInArrow(store, "block int").collect())
+    return sorted(r[0] for r in dealt.groupBy("block").applyInArrow(store, "block int").collect())
 
 
 def read_items(folder: str, k: int) -> Items:
@@ -245,7 +250,10 @@ ADDED = ("n_words", "n_hit", "items", "longest_match", "longest_item", "longest_
 def annotate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``items`` (ids of the items with an occurring window) and the
     longest verbatim match of each document: ``longest_match`` words of ``longest_item`` from word ``longest_at``, the first
-    of equally long ones and the least id of the items that hold it."""
+    of equally long ones and the least id of the items that hold it.
+
+    Item ids are integers. Items without one count like the others: together they are one null in ``items``, behind the ids, and
+    ``longest_item`` is null where only they hold the match."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "benchmark")
     blocks = write_items(items, folder)
@@ -282,8 +290,8 @@ def annotate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
                 none = pa.array(best == 0)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(s.counts), pa.array(hits),
-                     pa.array([sorted(x) for x in doc_items], pa.list_(pa.int64())), pa.array(best),
-                     pa.array(best_item, mask=np.asarray(none)), pa.array(best_at, mask=np.asarray(none))],
+                     pa.array([[i if i < NO_ID else None for i in sorted(x)] for x in doc_items], pa.list_(pa.int64())), pa.array(best),
+                     pa.array(best_item, mask=np.asarray(none) | (best_item == NO_ID)), pa.array(best_at, mask=np.asarray(none))],
                     names=[*part.schema.names, *ADDED])
 
     return wd.in_batches(docs, SHARD).mapInArrow(run, f"{fields}, n_words long, n_hit long, items array<long>, longest_match long, "

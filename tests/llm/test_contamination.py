@@ -16,7 +16,7 @@ def expected(rows, items, window):
     wins = {}
     for i, t in items:
         w = words(t)
-        for s in range(max(1, len(w) - window + 1) if w and i is not None else 0):
+        for s in range(max(1, len(w) - window + 1) if w else 0):
             wins.setdefault(tuple(w[s:s + window]), set()).add(i)
     out = []
     for d, t in rows:
@@ -28,7 +28,7 @@ def expected(rows, items, window):
                 if got:
                     found |= got
                     hit[s:s + size] = [True] * size
-        out.append((d, len(w), sum(hit), sorted(found)))
+        out.append((d, len(w), sum(hit), sorted(found - {None}) + [None] * (None in found)))
     return sorted(out, key=str)
 
 
@@ -67,7 +67,7 @@ def test_longest_match_of_every_copy(spark, make, corpus, tests, monkeypatch, sh
     passage = [f"w{k}" for k in range(40)]
     copies = [(100 + k, " ".join([f"a{k}", *passage[k % 3:], "w3 w4 w5"])) for k in range(6)] + [(110, " ".join(passage[:12])), (111, "w39")]
     rows = [(i, t) for i, t in corpus if i != 63 and i != 64] + copies
-    named = [x for x in tests if x[0] is not None] + [(21, " ".join(["y", *passage, "z"])), (20, " ".join([*passage[:12], "q"]))]
+    named = tests + [(None, " ".join(["q", *passage[20:]])), (21, " ".join(["y", *passage, "z"])), (20, " ".join([*passage[:12], "q"]))]
     texts = [(i, f" {' '.join(words(t))} ") for i, t in named]
 
     def longest(text):
@@ -76,7 +76,7 @@ def test_longest_match_of_every_copy(spark, make, corpus, tests, monkeypatch, sh
             for at in range(len(w) - size + 1):
                 ids = [i for i, t in texts if f" {' '.join(w[at:at + size])} " in t]
                 if ids:
-                    return size, min(ids), at
+                    return size, min((i for i in ids if i is not None), default=None), at
         return 0, None, None
 
     docs = make(rows).coalesce(1)
@@ -93,6 +93,21 @@ def test_clean_documents_stay_whole(spark, make, corpus, tests):
     assert {r["n_words"] for r in rows} == {"own"}
 
 
+def test_query_agrees_with_sql_on_an_item_without_id(spark, make, corpus, tests, tmp_path):
+    import duckdb
+    from quire.llm.queries import DECONTAMINATION_SQL, q_decontamination
+
+    make([r for r in corpus if r[0] is not None and r[0] not in (63, 64, 70)], clash=False).write.parquet(str(tmp_path / "documents.parquet"))
+    items(spark, tests).write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = q_decontamination(spark, str(tmp_path))
+    want = con.sql(DECONTAMINATION_SQL).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert {r["doc_id"]: r["n_hit"] for r in got.collect()}[71] > 0
+
+
 def test_empty_tables(spark, make, corpus, tests):
     assert contamination.annotate(make([]), items(spark, tests)).count() == 0
     assert contamination.decontaminate(make(corpus), items(spark, [])).count() == len(corpus)
