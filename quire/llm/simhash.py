@@ -22,12 +22,14 @@ becomes a component id unless all ids it links to are null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -92,19 +94,20 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a long) of every row of ``docs``."""
+def fingerprints(docs: DataFrame, size: int = 3, others: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``others`` and ``fp`` (the 64 bits as a long) of every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, raw, off in wd.slices(batch.column("text"), SLICE):
                 words, ends = wd.split(raw, off, wd.LOWER)
                 fp = majority(*shingle_hashes(words, ends, size))
-                ids = batch.column("doc_id").slice(rows.start, rows.stop - rows.start)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                part = [batch.column(c).slice(rows.start, rows.stop - rows.start) for c in names]
+                yield pa.RecordBatch.from_arrays([*part, pa.array(fp.view(np.int64))], names=[*names, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return wd.in_batches(docs.select("doc_id", "text"), SLICE).mapInArrow(run, f"doc_id {kind}, fp long")
+    names = ["doc_id", *others]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    return wd.in_batches(docs.select(*names, "text"), SLICE).mapInArrow(run, f"{kinds}, fp long")
 
 
 def _quarter(fp: Column, k: int) -> Column:
@@ -187,6 +190,17 @@ def links(prints: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _components(prints: DataFrame, radius: int) -> DataFrame:
+    """``fp``, ``component`` (a fingerprint of it) and ``least`` (id) of every distinct fingerprint."""
+    spark = prints.sparkSession
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    group = components(links(distinct, radius)).withColumnRenamed("node", "fp")
+    placed = distinct.join(group, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    table = scratch_path(spark, "components")
+    placed.write.parquet(table)
+    return spark.read.parquet(table)
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest id that
     links of at most ``radius`` bits reach) of every row."""
@@ -194,12 +208,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     path = scratch_path(spark, "fingerprints")
     fingerprints(docs, size).write.parquet(path)
     prints = spark.read.parquet(path)
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    group = components(links(distinct, radius)).withColumnRenamed("node", "fp")
-    placed = distinct.join(group, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    table = scratch_path(spark, "components")
-    placed.write.parquet(table)
-    placed = spark.read.parquet(table)
+    placed = _components(prints, radius)
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     lookup = scratch_path(spark, "named")
     placed.join(named, "component").select("fp", "component_id").write.parquet(lookup)
@@ -208,20 +217,31 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
-    """One document of each component, the one with the smallest id, with the columns of ``docs``.
+    """One row of each component, with the columns of ``docs``: the one with the smallest id (null last; of rows that share it,
+    the one whose text has the least hash).
 
-    Of rows that repeat an id one stays. Rows without an id can't be told from others by it and stay.
+    Rows are told apart by id and text, so rows that share an id but not their text's component all have a say, rows
+    without an id are judged like the others, and of wholly equal rows one stays.
     """
     spark = docs.sparkSession
+    # 128 bits of the text; the last names the row in joins, where a null id is an id like others.
+    marks = {"_near_1": F.xxhash64("text"), "_near_2": F.xxhash64(F.lit(1), "text"), "_near_id": F.xxhash64(F.col("doc_id").isNull(), "doc_id")}
+    key = [*marks]
     path = scratch_path(spark, "near-duplicates")
-    near_duplicates(docs, size, radius).write.parquet(path)
-    judged = spark.read.parquet(path).where("doc_id is not null")
-    ids = judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"))
-    table = scratch_path(spark, "kept")
-    ids.where("rows > 1 or not first").write.parquet(table)
-    ids = spark.read.parquet(table)
-    single = docs.join(ids.select("doc_id"), "doc_id", "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    again = (docs.join(ids.where("first").select("doc_id"), "doc_id", "left_semi")
-             .withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy"))
+    fingerprints(docs.select("doc_id", "text").withColumns(marks), size, (*key,)).write.parquet(path)
+    prints = spark.read.parquet(path)
+    rows = prints.join(_components(prints, radius).select("fp", "component"), "fp")
+    # Copies of a row are one here, with their number.
+    rows = rows.groupBy("component", "doc_id", *key).agg(F.count(F.lit(1)).alias("copies"))
+    table = scratch_path(spark, "judged")
+    rows.write.parquet(table)
+    rows = spark.read.parquet(table)
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", *key)).alias("first"))
+    judged = rows.join(first, "component").withColumn("stays", reduce(and_, [F.col(k) == F.col(f"first.{k}") for k in key]))
+    kept = scratch_path(spark, "kept")
+    judged.where("not stays or copies > 1").select(*key, "stays").write.parquet(kept)
+    odd = spark.read.parquet(kept)
+    marked = docs.withColumns(marks)
+    single = marked.join(odd.select(*key), key, "left_anti")
+    again = marked.join(odd.where("stays").select(*key), key, "left_semi").dropDuplicates(key)
     return single.select(*docs.columns).unionByName(again.select(*docs.columns))
