@@ -21,6 +21,40 @@ def _sweep(spark, sf_dir):
     return c, mem, ld.fit(store.lda_counts(c.doc_terms), mem, c.vocab, KEYS, max_iter=ITERATIONS, seed=O.SEED)
 
 
+STEP_K = 3
+
+
+def _step_sql(sweeps: int) -> str:
+    """Topic-term counts after the start and one iteration of the reference model of k = STEP_K."""
+    start = f"(('0x' || substr(md5(concat_ws(':', '{O.SEED}', 'lda', 'reference', {STEP_K}, 0, d.doc_id)), 1, 8))::BIGINT % {STEP_K})"
+    out = f"""WITH {O.matrix_ctes()},
+x AS MATERIALIZED (SELECT doc_id, term_idx, greatest(1, floor(weight))::DOUBLE AS c FROM dt),
+s AS (SELECT doc_id, {start} AS topic FROM docs d),
+topics AS (SELECT range AS t FROM range({STEP_K})),
+v AS (SELECT count(*) AS n FROM vocab),
+n0 AS (SELECT term_idx, topic AS t, sum(c) AS n FROM x JOIN s USING (doc_id) GROUP BY ALL),
+m0 AS (SELECT t, sum(n) AS n FROM n0 GROUP BY t),
+phi AS (SELECT vocab.term_idx, t.t, (coalesce(n0.n, 0) + 0.01) / (coalesce(m0.n, 0) + v.n * 0.01) AS p
+        FROM vocab CROSS JOIN topics t CROSS JOIN v LEFT JOIN n0 USING (term_idx, t) LEFT JOIN m0 USING (t)),
+g0 AS (SELECT doc_id, term_idx, t, c, p, 1.0::DOUBLE / {STEP_K} AS g FROM x JOIN phi USING (term_idx))"""
+    for i in range(1, sweeps + 1):
+        out += f""",
+e{i} AS (SELECT doc_id, t, sum(c * g) AS e FROM g{i - 1} GROUP BY ALL),
+h{i} AS (SELECT doc_id, term_idx, t, c, p, (e - g + {10.0 / STEP_K!r}) * p AS h FROM g{i - 1} JOIN e{i} USING (doc_id, t)),
+g{i} AS MATERIALIZED (SELECT doc_id, term_idx, t, c, p, h / sum(h) OVER (PARTITION BY doc_id, term_idx) AS g FROM h{i})"""
+    return out + f"""
+SELECT CAST(t AS BIGINT) AS topic, CAST(term_idx AS BIGINT) AS term_idx, round(sum(c * g), 6) + 0.0 AS n FROM g{sweeps} GROUP BY ALL"""
+
+
+@query("lda_step", sql=_step_sql(ld.SWEEPS))
+def q_lda_step(spark, sf_dir):
+    """D6 (the start and one iteration, k=3): expected topic counts of every term."""
+    c = corpus(spark, sf_dir, label_col="lang", cfg=MATRIX_CFG)
+    mem = sm.model_members(c.docs.select("doc_id"), "lda", STEP_K, STEP_K, 0, O.RATIO, O.SEED)
+    n = ld.topic_counts(store.lda_counts(c.doc_terms), mem, c.vocab, KEYS, max_iter=1, seed=O.SEED)
+    return n.select(i64("topic").alias("topic"), i64("term_idx").alias("term_idx"), r6("count").alias("n"))
+
+
 GRID = f"""WITH {O.matrix_ctes()}, {O.members_cte(RUNS)},
 grid AS (SELECT CAST(k.range AS BIGINT) AS k, r.run FROM range({KMIN}, {KMAX} + 1) k, (SELECT DISTINCT run FROM members) r),
 used AS (SELECT m.run, count(*) AS n_docs FROM members m WHERE m.doc_id IN (SELECT doc_id FROM dt) GROUP BY m.run)"""

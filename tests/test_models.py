@@ -187,3 +187,55 @@ def test_spectral_kmeans_keeps_blocks_together(spark):
     truth = c.docs.select("doc_id", F.col("label").cast("int").alias("class_idx"))
     assert partition_scores(part.join(truth, "doc_id"), ["k"]).first()["ari"] > 0.3  # two clusters of three blocks: at most 0.55
     assert centroids.select("topic").distinct().count() == part.select("topic").distinct().count()
+
+
+def _themes(spark, k=3, docs=90, seed=0):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for d in range(docs):
+        share = rng.dirichlet([0.05] * k)
+        for t in rng.choice(k, 60, p=share):
+            rows.append((d, int(t * 20 + rng.integers(0, 20)), int(share.argmax())))
+    df = spark.createDataFrame(rows, "doc_id long, term_idx int, label int")
+    counts = df.groupBy("doc_id", "term_idx").agg(F.count(F.lit(1)).alias("count"))
+    return counts, df.select("doc_id", F.col("label").alias("class_idx")).distinct()
+
+
+def test_lda_finds_planted_themes_and_their_prior(spark):
+    from quire.operators import lda as ld
+
+    counts, classes = _themes(spark)
+    mem = classes.select(F.lit("lda").alias("algo"), F.lit("reference").alias("kind"), F.explode(F.array(F.lit(3), F.lit(2))).alias("k"),
+                         F.lit(0).alias("run"), "doc_id")
+    weights, part, errors = ld.fit(counts, mem, spark.range(60), KEYS, max_iter=30, alpha=1.0, optimize_every=5, burn_in=10)
+    assert errors.where("error is not null").count() == 0
+    sums = {r["k"]: r for r in weights.groupBy("k").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).collect()}
+    assert {k: r["n"] for k, r in sums.items()} == {2: 120, 3: 180} and all(abs(r["w"] - k) < 1e-9 for k, r in sums.items())
+    three = part.where("k = 3")
+    assert three.count() == 90 and partition_scores(three.join(classes, "doc_id"), KEYS).first()["ari"] > 0.9
+    tops = ld.rerank(weights.where("k = 3"), KEYS).groupBy("topic").agg(F.max_by("term_idx", "weight").alias("t")).collect()
+    assert len({r["t"] // 20 for r in tops}) == 3
+
+
+def test_lda_of_a_model_without_terms_has_an_error(spark):
+    from quire.operators import lda as ld
+
+    counts, _ = _themes(spark, docs=20)
+    mem = spark.createDataFrame([("lda", "run", 2, r, d) for r, d in [(1, 1), (1, 2), (2, 900)]], "algo string, kind string, k int, run int, doc_id long")
+    weights, part, errors = ld.fit(counts, mem, spark.range(60), KEYS, max_iter=2, top=5)
+    assert {r["run"]: r["error"] is None for r in errors.collect()} == {1: True, 2: False}
+    assert part.count() == 3 and weights.count() == 2 * 2 * 5
+
+
+def test_digamma_and_prior():
+    from quire.operators import lda as ld
+
+    assert np.allclose(ld.digamma(np.array([1.0, 0.5, 10.0])), [-0.5772156649015329, -1.9635100260214235, 2.251752589066721])
+    rng = np.random.default_rng(1)
+    true = np.array([0.3, 2.0, 0.7])
+    n = np.stack([rng.multinomial(400, rng.dirichlet(true)) for _ in range(3000)])
+    alpha = np.ones(3)
+    for _ in range(300):
+        small = np.concatenate([ld.digamma(n + alpha).sum(0), [ld.digamma((n.sum(1) + alpha.sum())).sum(), len(n)]])
+        alpha = ld._next_alpha(alpha, small)
+    assert np.allclose(alpha, true, rtol=0.1)
