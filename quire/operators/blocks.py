@@ -123,6 +123,24 @@ def create(spark: SparkSession, terms: int, widths: dict[int, int], of: Callable
     return side
 
 
+def from_rows(rows: DataFrame, terms: int, widths: dict[int, int], name: str) -> TermSide:
+    """The first version from (model, topic, term_idx, value) rows; what has no row is zero."""
+    spark = rows.sparkSession
+    side = create(spark, terms, widths, lambda m, low, high: np.zeros((widths[m], high - low)), name)
+
+    def dense(group: pa.Table) -> pa.Table:
+        b, m = group.column("block")[0].as_py(), group.column("model")[0].as_py()
+        v = np.zeros((widths[m], min(terms, (b + 1) * side.step) - b * side.step))
+        np.add.at(v, (np.asarray(group.column("topic")), np.asarray(group.column("term_idx")) - b * side.step), np.asarray(group.column("value")))
+        return pa.Table.from_batches([_batch([(b, m, v.ravel())])])
+
+    # A group holds at most the numbers of a block.
+    path = scratch_path(spark, "term-sums")
+    cells = rows.select("model", "topic", "term_idx", "value").withColumn("block", F.expr(f"cast(term_idx div {side.step} as int)"))
+    cells.groupBy("block", "model").applyInArrow(dense, SUMS).write.parquet(path)
+    return renew(spark, side, path, lambda m, old, num, extra, low: (num, None))[0]
+
+
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
     """(block, model, sum of v) of rows sorted by block and model, one group held at a time."""
     key, total = None, None

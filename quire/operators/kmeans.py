@@ -1,29 +1,25 @@
 """Generalised k-means on sparse document-term rows.
 
-Every model of a sweep (key columns) advances in the same Spark jobs: one
-iteration is
-
-    doc rows x centres  (equi-join on (model, term); centres broadcast when
-                         their checked size allows, else a shuffle join)
-    -> dot products per (model, doc, topic)      (partial aggregation)
-    -> distance, nearest centre (lowest topic on ties)
-    -> mean distance per model                   (read by the driver: one
-                                                  number per model)
-    -> new centres = member means per (model, topic, term)
+Every model of a sweep (key columns) advances in the same Spark jobs. An
+iteration passes once over the documents, packed one to a row: each finds its
+nearest centre in mapped blocks of terms (``blocks``), and what it adds to that
+centre is summed by block; a second, small pass renews the blocks. The driver
+reads the mean distance of each model.
 
 The stop rule and its defaults are fixed values: stop when (1 - delta) * prev <= avg <= prev
 or at the last iteration; an empty cluster keeps its previous centre.
-Lineage is cut with a reliable checkpoint of the centres every iteration; a
-model's assignment is written once, when it stops.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from . import blocks as bl
+from .packed import groups, pack
 
 
 # ---------------------------------------------------------------------------
@@ -98,38 +94,35 @@ def dense_centres(points: DataFrame, assign: DataFrame, key: str, vec: str = "em
 # ---------------------------------------------------------------------------
 # Sparse spherical k-means over document-term rows
 # ---------------------------------------------------------------------------
-def _assign(rows: DataFrame, members: DataFrame, centres: DataFrame, topics: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Cosine distance of each member document to each centre of its model,
-    then the nearest centre. rows: doc_id, term_idx, weight. ``topics`` (keys,
-    topic) names every topic: one whose centre is all zeros has no centre rows
-    and is at distance 1 from every document."""
-    keys = list(key_cols)
-    norm = centres.groupBy(*keys, "topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_cn"))
-    cn = topics.join(norm, [*keys, "topic"], "left").fillna(0.0, ["_cn"])
-    x = rows.join(members, "doc_id")  # (model, doc, term, w)
-    c = centres.select(*keys, "topic", "term_idx", F.col("weight").alias("_cw"))
-    dots = x.join(c, [*keys, "term_idx"]).groupBy(*keys, "doc_id", "topic").agg(
-        F.sum(F.col("weight") * F.col("_cw")).alias("_dot"))
-    # every (member, topic): documents sharing no term with a centre have dot 0
-    every = cn.groupBy(*keys).agg(F.collect_list("topic").alias("_ts"))  # models x topics: bounded by the grid
-    grid = members.join(F.broadcast(every), keys).select(*keys, "doc_id", F.explode("_ts").alias("topic"))
-    norms = rows.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_xn"))
-    d = (grid.join(dots, [*keys, "doc_id", "topic"], "left")
-         .join(norms, "doc_id", "left")
-         .join(F.broadcast(cn), [*keys, "topic"]))
-    dist = F.when((F.coalesce("_xn", F.lit(0.0)) == 0) | (F.col("_cn") == 0), F.lit(1.0)).otherwise(
-        1 - F.coalesce("_dot", F.lit(0.0)) / (F.col("_xn") * F.col("_cn")))
-    return nearest(d.select(*keys, "doc_id", "topic", dist.alias("cosine")), [*keys, "doc_id"], "cosine")
-
-
-def _centres(rows: DataFrame, assign: DataFrame, old: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Member means; a topic with no member keeps its old centre."""
-    from .centroids import build_centroids
-
-    new = build_centroids(rows, assign.select(*key_cols, "doc_id", "topic"), key_cols)
-    filled = assign.select(*key_cols, "topic").distinct()
-    kept = old.join(filled, [*key_cols, "topic"], "left_anti")
-    return new.unionByName(kept.select(*key_cols, "topic", "term_idx", "weight"))
+def cosine_distances(rows, centres: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Documents x topics; 1 where either side is zero, infinite for topics that the model doesn't have (norm null)."""
+    size = np.sqrt(np.bincount(rows.doc, rows.weights ** 2, len(rows.ends)))
+    scale = size[:, None] * np.where(norms > 0, norms, 0.0)[None, :]
+    out = np.where(scale > 0, 1 - rows.times(centres) / np.where(scale > 0, scale, 1.0), 1.0)
+    return np.where(np.isnan(norms)[None, :], np.inf, out)
+
+
+def _nearest(rows, centres: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(topic, distance) of each document; the lowest topic wins a tie, distances compared after rounding to 12 places."""
+    d = cosine_distances(rows, centres, norms)
+    topic = np.argmin(np.round(d, 12), axis=1)
+    return topic, d[np.arange(len(d)), topic]
+
+
+def _member_sums(rows, model, centres, extra):
+    """What documents add to their nearest topics, the distances and sizes."""
+    topic, d = _nearest(rows, centres, extra)
+    k, of = len(centres), topic[rows.doc]
+    num = np.stack([np.bincount(rows.terms, rows.weights * (of == j), centres.shape[1]) for j in range(k)])
+    return num, np.concatenate([[d.sum(), len(d)], np.bincount(topic, minlength=k)])
+
+
+def _next_centres(model, old, num, extra, low):
+    """Member means; a topic without members keeps its centre, and a model that has stopped its centres."""
+    if extra is not None:
+        size = extra[2:][:, None]
+        old = np.where(size > 0, num / np.maximum(size, 1), old)
+    return old, (old ** 2).sum(1)
 
 
 def kmeans(rows: DataFrame, members: DataFrame, init_centres: DataFrame, key_cols: list[str],
@@ -137,58 +130,66 @@ def kmeans(rows: DataFrame, members: DataFrame, init_centres: DataFrame, key_col
     """D11 (cosine) for every model at once.
 
     ``topics`` (keys, topic) lists the topics of each model where a starting
-    centre may be empty; by default they are those that have centre rows.
+    centre may be empty; by default they are those that have centre rows. One
+    whose centre is all zeros is at distance 1 from every document.
 
     rows: doc_id, term_idx, weight. members: key_cols + doc_id.
     init_centres: key_cols + topic, term_idx, weight.
     Returns (centres, assignment: key_cols + doc_id, topic, distance,
     iterations: key_cols + iterations, avg_distance).
+
+    An iteration is one narrow pass over documents packed one to a row, for all models that haven't stopped, and one over
+    the blocks of the centres: the rows of the documents are never repeated by model or shuffled.
     """
     keys = list(key_cols)
-    rows = rows.select("doc_id", "term_idx", "weight")
-    centres = init_centres.select(*keys, "topic", "term_idx", "weight")
-    topics = cut_lineage((centres if topics is None else topics).select(*keys, "topic").distinct())
-    prev: dict[tuple, float] = {}
-    done: dict[tuple, tuple[int, float]] = {}
-    finished_assign = []
-    finished_centres = []
-    active_members = members
-    assign = None
-    for it in range(1, max_iter + 1):
-        assign = _assign(rows, active_members, centres, topics, keys).persist(StorageLevel.MEMORY_AND_DISK)
-        avgs = {tuple(r[c] for c in keys): r["av"] for r in
-                assign.groupBy(*keys).agg(F.avg("distance").alias("av")).collect()}
-        stop = []
-        for key, av in avgs.items():
-            p = prev.get(key, 0.0)
-            if ((1 - delta) * p <= av <= p) or it == max_iter:
-                stop.append(key)
-                done[key] = (it, av)
-            prev[key] = av
-        if stop:
-            cond = _key_in(keys, stop)
-            finished_assign.append(cut_lineage(assign.where(cond)))
-            finished_centres.append(centres.where(cond))
-        live = [k for k in avgs if k not in done]
-        if not live:
-            break
-        cond = _key_in(keys, live)
-        # the centres feed three places of the next plan: cut their lineage
-        # every iteration so the plan stays the size of one iteration
-        centres = cut_lineage(_centres(rows, assign.where(cond), centres.where(cond), keys))
-        assign.unpersist()
-        active_members = cut_lineage(active_members.where(cond)) if stop else active_members
-    out_assign = finished_assign[0]
-    for a in finished_assign[1:]:
-        out_assign = out_assign.unionByName(a)
-    out_centres = finished_centres[0]
-    for c in finished_centres[1:]:
-        out_centres = out_centres.unionByName(c)
     spark = rows.sparkSession
-    iters = spark.createDataFrame(
-        [(*k, v[0], float(v[1])) for k, v in done.items()],
-        ", ".join([f"{c} {t}" for c, t in _types(members, keys)] + ["iterations int", "avg_distance double"]))
-    return out_centres, out_assign, iters
+    packed, grid = pack(rows.select("doc_id", "term_idx", "weight"), members, keys)
+    terms = int(rows.agg(F.coalesce(F.max("term_idx"), F.lit(-1)) + 1).first()[0])
+    number = {key: i for i, key in enumerate(grid)}
+    named: dict[int, set] = {i: set() for i in number.values()}
+    for r in (init_centres if topics is None else topics).select(*keys, "topic").distinct().collect():  # models x topics
+        if tuple(r)[:-1] in number:
+            named[number[tuple(r)[:-1]]].add(r["topic"])
+    sizes = [max(named[i], default=0) + 1 for i in range(len(grid))]
+    kinds = ", ".join(f"{c} {t}" for c, t in _types(members, keys))
+    table = F.broadcast(spark.createDataFrame([(*g, i) for i, g in enumerate(grid)], kinds + ", _model int"))
+    start = init_centres.join(table, keys).select(F.col("_model").alias("model"), "topic", "term_idx", F.col("weight").alias("value"))
+    done: dict[int, tuple[int, float]] = {}
+    centres, parts = [], []
+    for group in groups(sizes, max(1, terms)):
+        side = bl.from_rows(start.where(F.col("model").isin(group)), max(1, terms), {i: sizes[i] for i in group}, "centres")
+        _, squares = bl.renew(spark, side, None, _next_centres, write=False)
+        live, last = list(group), {}
+        for it in range(1, max_iter + 1):
+            norms = {m: _norms(squares[m], named[m]) for m in group}
+            small, sums = bl.totals(packed, side, live, _member_sums, norms)
+            for m in list(live):
+                mean = float(small[m][0] / small[m][1])
+                if ((1 - delta) * last.get(m, 0.0) <= mean <= last.get(m, 0.0)) or it == max_iter:
+                    live.remove(m)
+                    done[m] = (it, mean)
+                last[m] = mean
+            if not live:
+                bl.drop(sums)
+                break
+            side, squares = bl.renew(spark, side, sums, _next_centres, {m: small[m] for m in live})
+        norms = {m: _norms(squares[m], named[m]) for m in group}
+        centres.append(bl.table(spark, side).where("value <> 0"))
+        parts.append(bl.per_document(packed, side, group, lambda r, m, c, n: np.stack(_nearest(r, c, n), axis=1),
+                                     members.schema["doc_id"].dataType.simpleString(), norms))
+    out = reduce(DataFrame.unionByName, centres).join(table, F.col("model") == F.col("_model")).select(
+        *keys, "topic", "term_idx", F.col("value").alias("weight"))
+    assigned = reduce(DataFrame.unionByName, parts).join(table, F.col("model") == F.col("_model")).select(
+        *keys, "doc_id", F.get("v", F.lit(0)).cast("int").alias("topic"), F.get("v", F.lit(1)).alias("distance"))
+    iterations = spark.createDataFrame([(*grid[m], *v) for m, v in done.items()], kinds + ", iterations int, avg_distance double")
+    return out, assigned, iterations
+
+
+def _norms(squares: list[np.ndarray], topics: set) -> np.ndarray:
+    """The centres' norms; null for topics that the model doesn't have."""
+    out = np.sqrt(np.sum(squares, axis=0))
+    out[[j for j in range(len(out)) if j not in topics]] = np.nan
+    return out
 
 
 def _types(df: DataFrame, cols: list[str]):
@@ -196,14 +197,6 @@ def _types(df: DataFrame, cols: list[str]):
     return [(c, f[c]) for c in cols]
 
 
-def _key_in(keys: list[str], values: list[tuple]) -> Column:
-    """Model-key membership test against a short list of model keys."""
-    if len(keys) == 1:
-        return F.col(keys[0]).isin([v[0] for v in values])
-    packed = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in keys])
-    return packed.isin(["\u0001".join(str(x) for x in v) for v in values])
-
-
 def prototype_centres(rows: DataFrame, prototypes: DataFrame, key_cols: list[str]) -> DataFrame:
     """B6 -> initial centres: the rows of the chosen documents."""
     return prototypes.join(rows.select("doc_id", "term_idx", "weight"), "doc_id").select(

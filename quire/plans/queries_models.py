@@ -79,10 +79,11 @@ def q_kmeans_centres(spark, sf_dir):
 
 
 SWEEP_KMIN, SWEEP_KMAX, SWEEP_RUNS = 2, 3, 2
+SKM_ITERATIONS, SKM_DELTA = 10, 0.001
 KEYS = ["algo", "kind", "k", "run"]
 
 
-def _skm(spark, sf_dir, max_iter=10):
+def _skm(spark, sf_dir, max_iter=SKM_ITERATIONS):
     c = corpus(spark, sf_dir, label_col="lang", cfg=MATRIX_CFG)
     mem = sm.model_members(c.docs.select("doc_id"), "skm", SWEEP_KMIN, SWEEP_KMAX, SWEEP_RUNS, O.RATIO, O.SEED)
     protos = sm.prototype_sample(mem, KEYS, SWEEP_KMAX, seed=O.SEED)
@@ -91,7 +92,45 @@ def _skm(spark, sf_dir, max_iter=10):
     return c, cent, assign, iters
 
 
-@query("kmeans_fit")
+def _skm_sql() -> str:
+    """Spherical k-means of the sweep, its iterations written out: ``fin`` has the assignment of the last iteration of each
+    model, ``ends`` its number and mean distance."""
+    out = f"""WITH {O.matrix_ctes()}, {O.members_cte(SWEEP_RUNS)},
+mem AS MATERIALIZED (SELECT CASE WHEN m.run = 0 THEN 'reference' ELSE 'run' END AS kind, k.range::INTEGER AS k, m.run, m.doc_id
+        FROM members m, range({SWEEP_KMIN}, {SWEEP_KMAX} + 1) k),
+protos AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, run ORDER BY
+             md5(concat_ws(':', '{O.SEED}', 'proto', 'skm', kind, k, run, doc_id))) - 1 AS topic FROM mem) WHERE topic < k),
+size AS (SELECT doc_id, sqrt(sum(weight * weight)) AS n FROM dt GROUP BY doc_id),
+c1 AS MATERIALIZED (SELECT k, run, topic, term_idx, weight AS w FROM protos JOIN dt USING (doc_id)),
+a0 AS (SELECT DISTINCT k, run, 0.0::DOUBLE AS av, false AS over FROM mem)"""
+    for i in range(1, SKM_ITERATIONS + 1):
+        out += f""",
+n{i} AS (SELECT k, run, topic, sqrt(sum(w * w)) AS n FROM c{i} GROUP BY ALL),
+o{i} AS (SELECT mem.k, mem.run, mem.doc_id, c.topic, sum(dt.weight * c.w) AS dot
+         FROM mem JOIN dt USING (doc_id) JOIN c{i} c ON c.k = mem.k AND c.run = mem.run AND c.term_idx = dt.term_idx GROUP BY ALL),
+e{i} AS (SELECT mem.k, mem.run, mem.doc_id, p.topic,
+                CASE WHEN coalesce(size.n, 0) = 0 OR coalesce(n.n, 0) = 0 THEN 1.0 ELSE 1 - coalesce(o.dot, 0) / (size.n * n.n) END AS d
+         FROM mem JOIN (SELECT k, run, topic FROM protos) p USING (k, run) LEFT JOIN size USING (doc_id)
+         LEFT JOIN n{i} n ON n.k = mem.k AND n.run = mem.run AND n.topic = p.topic
+         LEFT JOIN o{i} o ON o.k = mem.k AND o.run = mem.run AND o.doc_id = mem.doc_id AND o.topic = p.topic),
+b{i} AS MATERIALIZED (SELECT k, run, doc_id, arg_min(topic, (round(d, 12), topic)) AS topic, arg_min(d, (round(d, 12), topic)) AS d FROM e{i} GROUP BY ALL),
+a{i} AS MATERIALIZED (SELECT k, run, avg(d) AS av, {1 - SKM_DELTA} * any_value(a.av) <= avg(d) AND avg(d) <= any_value(a.av) OR {i} = {SKM_ITERATIONS} AS over
+         FROM b{i} JOIN a{i - 1} a USING (k, run) GROUP BY k, run)"""
+        if i < SKM_ITERATIONS:
+            out += f""",
+c{i + 1} AS MATERIALIZED (SELECT b.k, b.run, b.topic, dt.term_idx, sum(dt.weight) / any_value(s.n) AS w
+         FROM b{i} b JOIN (SELECT k, run, topic, count(*) AS n FROM b{i} GROUP BY ALL) s USING (k, run, topic) JOIN dt USING (doc_id)
+         GROUP BY ALL UNION ALL SELECT c.* FROM c{i} c ANTI JOIN b{i} USING (k, run, topic))"""
+    ends = " UNION ALL ".join(f"SELECT k, run, av, over, {i} AS it FROM a{i}" for i in range(1, SKM_ITERATIONS + 1))
+    fin = " UNION ALL ".join(f"SELECT b.*, {i} AS it FROM b{i} b" for i in range(1, SKM_ITERATIONS + 1))
+    return out + f""",
+ends AS (SELECT k, run, min(it) AS it, arg_min(av, it) AS av FROM ({ends}) x WHERE over GROUP BY ALL),
+fin AS (SELECT f.* FROM ({fin}) f JOIN ends USING (k, run, it))"""
+
+
+@query("kmeans_fit", sql=_skm_sql() + """
+SELECT 'skm' AS algo, CASE WHEN run = 0 THEN 'reference' ELSE 'run' END AS kind, k::BIGINT AS k, run::BIGINT AS run,
+       it::BIGINT AS iterations, round(av, 6) AS avg_distance FROM ends""")
 def q_kmeans_fit(spark, sf_dir):
     """Spherical k-means sweep (k=2..3, reference + 2 runs): iterations
     used and final mean cosine distance per model."""
@@ -100,7 +139,9 @@ def q_kmeans_fit(spark, sf_dir):
                         i64("iterations").alias("iterations"), r6("avg_distance").alias("avg_distance"))
 
 
-@query("skm_partition")
+@query("skm_partition", sql=_skm_sql() + """
+SELECT 'skm' AS algo, CASE WHEN run = 0 THEN 'reference' ELSE 'run' END AS kind, k::BIGINT AS k, run::BIGINT AS run,
+       doc_id::BIGINT AS doc_id, topic::BIGINT AS topic FROM fin""")
 def q_skm_partition(spark, sf_dir):
     """The document partition of every spherical k-means model."""
     _, _, assign, _ = _skm(spark, sf_dir)
