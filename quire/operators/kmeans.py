@@ -15,7 +15,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as bl
@@ -125,6 +125,99 @@ def _next_centres(model, old, num, extra, low):
     return old, (old ** 2).sum(1)
 
 
+SPARSE_METRICS = ("cosine", "euclidean", "cityblock", "chebyshev", "minkowski")
+
+
+def _powers(model, centres, num, power, low):
+    """Sums over terms of |c|, c^2 and |c|^p of each centre."""
+    size = np.abs(centres)
+    return centres, np.concatenate([size.sum(1), (size ** 2).sum(1), (size ** power).sum(1)])
+
+
+def _farthest_outside(rows, k: int, tops: list[tuple[np.ndarray, np.ndarray]], found: np.ndarray) -> np.ndarray:
+    """The greatest |c| of each centre over the terms that a document doesn't hold. ``tops``: the centre's greatest values and
+    their terms, falling, one more than any document has terms; ``found``: the terms of the columns."""
+    out = np.zeros((len(rows.ends), k))
+    held = np.sort(rows.doc.astype(np.int64) * (len(found) + 1) + rows.terms)
+    for j, (values, terms) in enumerate(tops):
+        column = np.searchsorted(found, terms)
+        here = (column < len(found)) & (found[np.minimum(column, len(found) - 1)] == terms) if len(found) else np.zeros(len(terms), bool)
+        live = np.arange(len(rows.ends))
+        for value, at, known in zip(values, column, here):
+            if not len(live):
+                break
+            key = live * (len(found) + 1) + at
+            place = np.searchsorted(held, key)
+            inside = known & (place < len(held)) & (held[np.minimum(place, len(held) - 1)] == key) if len(held) else np.zeros(len(live), bool)
+            out[live[~inside], j] = value
+            live = live[inside]
+    return out
+
+
+def sparse_distances(rows: DataFrame, members: DataFrame, centres: DataFrame, key_cols: list[str],
+                     metrics: tuple[str, ...] = SPARSE_METRICS, p: float = 3.0) -> DataFrame:
+    """key_cols, doc_id, topic and the distance by each metric of every member document to every centre of its model.
+
+    Neither side is made dense: a document's terms are merged with the same columns of the centre, and what the centre has
+    elsewhere comes from its sums (its greatest values, for chebyshev), less the shared columns. ``p``: power of minkowski.
+    """
+    keys = list(key_cols)
+    spark = rows.sparkSession
+    packed, grid = pack(rows.select("doc_id", "term_idx", "weight"), members, keys)
+    terms = int(rows.select("term_idx").union(centres.select("term_idx")).agg(F.coalesce(F.max("term_idx"), F.lit(-1)) + 1).first()[0])
+    table = F.broadcast(spark.createDataFrame([(*g, i) for i, g in enumerate(grid)], ", ".join(f"{c} {t}" for c, t in _types(members, keys)) + ", _model int"))
+    cells = centres.join(table, keys).select(F.col("_model").alias("model"), "topic", "term_idx", F.col("weight").alias("value"))
+    top = {r["model"]: r["n"] for r in cells.groupBy("model").agg((F.max("topic") + 1).alias("n")).collect()}
+    sizes = [top.get(i, 1) for i in range(len(grid))]
+    tops: dict[tuple, tuple] = {}
+    if "chebyshev" in metrics:  # as many as the longest document has terms, and one
+        most = packed.agg(F.coalesce(F.max(F.size("terms")), F.lit(0)) + 1).scalar()
+        place = F.row_number().over(Window.partitionBy("model", "topic").orderBy(F.desc(F.abs("value")), "term_idx"))
+        falling = cells.withColumn("_place", place).where(F.col("_place") <= most).groupBy("model", "topic").agg(
+            F.sort_array(F.collect_list(F.struct(F.abs("value").alias("v"), F.col("term_idx").alias("t"))), False).alias("x"))
+        tops = {(r["model"], r["topic"]): (np.array([x["v"] for x in r["x"]]), np.array([x["t"] for x in r["x"]], np.int64)) for r in falling.collect()}
+    parts = []
+    for group in groups(sizes, max(1, terms)):
+        side = bl.from_rows(cells.where(F.col("model").isin(group)), max(1, terms), {i: sizes[i] for i in group}, "centres")
+        _, sums = bl.renew(spark, side, None, _powers, {m: p for m in group}, write=False)
+        extra = {m: (np.sum(sums[m], axis=0).reshape(3, sizes[m]),
+                     [tops.get((m, j), (np.zeros(0), np.zeros(0, np.int64))) for j in range(sizes[m])]) for m in group}
+
+        def of(own, m, c, facts):
+            (one, two, power), best = facts
+            k, cols = len(c), {}
+            here, x = c[:, own.terms], own.weights
+            gap = np.abs(x[None, :] - here)
+
+            def merged(total, inside, outside):
+                return np.stack([np.maximum(total[j] - np.bincount(own.doc, outside[j], len(own.ends)), 0) + np.bincount(own.doc, inside[j], len(own.ends))
+                                 for j in range(k)], axis=1)
+
+            for metric in metrics:
+                if metric == "cosine":
+                    cols[metric] = cosine_distances(own, c, np.sqrt(two))
+                elif metric == "euclidean":
+                    cols[metric] = np.sqrt(merged(two, gap ** 2, here ** 2))
+                elif metric == "cityblock":
+                    cols[metric] = merged(one, gap, np.abs(here))
+                elif metric == "minkowski":
+                    cols[metric] = merged(power, gap ** p, np.abs(here) ** p) ** (1 / p)
+                else:
+                    cols[metric] = _farthest_outside(own, k, best, own.found)
+                    for j in range(k):
+                        np.maximum.at(cols[metric][:, j], own.doc, gap[j])
+            return np.stack([cols[m] for m in metrics], axis=2).reshape(len(own.ends), -1)
+
+        parts.append(bl.per_document(packed, side, group, of, members.schema["doc_id"].dataType.simpleString(), extra))
+    n = len(metrics)
+    every = reduce(DataFrame.unionByName, parts).join(table, F.col("model") == F.col("_model"))
+    each = F.transform(F.sequence(F.lit(0), F.expr(f"cast(size(v) div {n} as int) - 1")), lambda j: F.struct(
+        j.cast("int").alias("topic"), *[F.get("v", j * n + i).alias(m) for i, m in enumerate(metrics)]))
+    known = cells.select(F.col("model").alias("_m"), F.col("topic").alias("_t")).distinct()
+    return every.select(*keys, "model", "doc_id", F.explode(each).alias("_d")).select(*keys, "model", "doc_id", "_d.*").join(
+        F.broadcast(known), (F.col("model") == F.col("_m")) & (F.col("topic") == F.col("_t")), "left_semi").drop("model")  # models x topics rows
+
+
 def kmeans(rows: DataFrame, members: DataFrame, init_centres: DataFrame, key_cols: list[str],
            max_iter: int = 100, delta: float = 0.001, topics: DataFrame | None = None):
     """D11 (cosine) for every model at once.

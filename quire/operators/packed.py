@@ -46,6 +46,7 @@ class Rows:
     terms: np.ndarray
     weights: np.ndarray
     models: tuple[np.ndarray, np.ndarray]  # (document, model) of each membership
+    found: np.ndarray | None = None  # the terms of compact rows
 
     @property
     def doc(self) -> np.ndarray:
@@ -63,7 +64,7 @@ class Rows:
         n = np.diff(self.ends, prepend=0)
         keep = np.repeat(has, n)
         return Rows(self.ids.filter(pa.array(has)), np.cumsum(n[has]), self.terms[keep], self.weights[keep],
-                    (np.zeros(0, int), np.zeros(0, int)))
+                    (np.zeros(0, int), np.zeros(0, int)), self.found)
 
     def compact(self, terms: int) -> tuple["Rows", np.ndarray]:
         """The rows with terms numbered by those that occur, and these, ascending."""
@@ -74,7 +75,7 @@ class Rows:
             seen[self.terms] = True
             found = np.flatnonzero(seen)
             at = (np.cumsum(seen) - 1)[self.terms]
-        return replace(self, terms=at), found
+        return replace(self, terms=at, found=found), found
 
     def times(self, dense: np.ndarray) -> np.ndarray:
         """X D' for a dense (topics x terms) block D: documents x topics."""

@@ -158,6 +158,29 @@ def q_skm_stability(spark, sf_dir):
     return s.select("algo", i64("k").alias("k"), r6("stability").alias("stability"), i64("n_runs").alias("n_runs"))
 
 
+@query("sparse_distances", sql=f"""
+WITH {O.matrix_ctes()}, {O.class_idx_cte()},
+size AS (SELECT class_idx, count(*) AS n FROM cls GROUP BY class_idx),
+cen AS (SELECT class_idx AS topic, term_idx, sum(weight) / any_value(size.n) AS c FROM dt JOIN cls USING (doc_id) JOIN size USING (class_idx) GROUP BY ALL),
+x AS (SELECT d.doc_id, t.topic, v.term_idx, coalesce(dt.weight, 0) AS x, coalesce(cen.c, 0) AS c
+      FROM docs d CROSS JOIN (SELECT DISTINCT topic FROM cen) t CROSS JOIN vocab v
+      LEFT JOIN dt ON dt.doc_id = d.doc_id AND dt.term_idx = v.term_idx LEFT JOIN cen ON cen.topic = t.topic AND cen.term_idx = v.term_idx),
+d AS (SELECT doc_id, topic, sum(x * c) AS dot, sum(x * x) AS xx, sum(c * c) AS cc, sqrt(sum((x - c) ** 2)) AS euclidean,
+             sum(abs(x - c)) AS cityblock, max(abs(x - c)) AS chebyshev, sum(abs(x - c) ** 3) ** (1.0 / 3) AS minkowski FROM x GROUP BY ALL)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(topic AS BIGINT) AS topic,
+       round(CASE WHEN xx = 0 OR cc = 0 THEN 1.0 ELSE 1 - dot / (sqrt(xx) * sqrt(cc)) END, 6) + 0.0 AS cosine, round(euclidean, 6) AS euclidean,
+       round(cityblock, 6) AS cityblock, round(chebyshev, 6) AS chebyshev, round(minkowski, 6) AS minkowski FROM d""")
+def q_sparse_distances(spark, sf_dir):
+    """D12 + E9 (sparse rows): every document's distances to the language centroids by five metrics."""
+    from ..operators.centroids import build_centroids, class_partition
+
+    c = corpus(spark, sf_dir, label_col="lang", cfg=MATRIX_CFG)
+    part = class_partition(c.docs).where("class_idx >= 0").select(F.lit("lang").alias("model_name"), "doc_id", F.col("class_idx").alias("topic"))
+    centres = build_centroids(c.doc_terms, part, ["model_name"])
+    d = km.sparse_distances(c.doc_terms, c.docs.select(F.lit("lang").alias("model_name"), "doc_id"), centres, ["model_name"])
+    return d.select(i64("doc_id").alias("doc_id"), i64("topic").alias("topic"), *[r6(m).alias(m) for m in km.SPARSE_METRICS])
+
+
 def _nmf_start_sql(k: int) -> str:
     key = "'nmf', 'reference', " + str(k) + ", 0"
     return f"""W0 AS (SELECT d.doc_id, CAST(t.range AS INTEGER) AS topic,

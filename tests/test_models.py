@@ -239,3 +239,24 @@ def test_digamma_and_prior():
         small = np.concatenate([ld.digamma(n + alpha).sum(0), [ld.digamma((n.sum(1) + alpha.sum())).sum(), len(n)]])
         alpha = ld._next_alpha(alpha, small)
     assert np.allclose(alpha, true, rtol=0.1)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 100])
+def test_sparse_distances_are_those_of_dense_rows(spark, monkeypatch, block):
+    monkeypatch.setattr("quire.operators.blocks.BLOCK_BYTES", block)
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((12, 30)) < 0.3, rng.normal(size=(12, 30)), 0)
+    c = np.where(rng.random((3, 30)) < 0.5, rng.normal(size=(3, 30)), 0)
+    x[0], c[2, :29] = 0, 0
+    x[1] = rng.random(30)  # holds every term
+    rows, mem = _rows(spark, x, (3,))
+    centres = spark.createDataFrame([("a", "b", 3, 0, j, t, float(v)) for (j, t), v in np.ndenumerate(c) if v],
+                                    "algo string, kind string, k int, run int, topic int, term_idx int, weight double")
+    got = km.sparse_distances(rows, mem, centres, KEYS).collect()
+    assert len(got) == 36
+    for r in got:
+        u, v = x[r["doc_id"]], c[r["topic"]]
+        size = np.linalg.norm(u) * np.linalg.norm(v)
+        gap = np.abs(u - v)
+        want = (1 - u @ v / size if size else 1.0, np.linalg.norm(gap), gap.sum(), gap.max(), (gap ** 3).sum() ** (1 / 3))
+        assert np.allclose([r[m] for m in km.SPARSE_METRICS], want)
