@@ -61,3 +61,4 @@ from . import queries_models  # noqa: E402,F401
 from . import queries_io  # noqa: E402,F401
 from . import queries_lda  # noqa: E402,F401
 from . import queries_reference  # noqa: E402,F401
+from . import queries_sweep  # noqa: E402,F401
