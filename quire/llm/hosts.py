@@ -29,7 +29,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Suffixes of two labels under which hosts are registered.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "or.jp", "co.nz", "com.br", "co.in")
 BOUND = 1.645  # standard deviations: the lower bound holds with 95 %
-LIMIT = 0.75  # of a host's pages: with more that are bad for sure, the host is
+COST = 1.0  # of a page blocked wrongly, where one passed wrongly costs 1
 
 
 @dataclass(frozen=True)
@@ -135,11 +135,14 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, outcomes: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, outcomes: DataFrame | None = None, cost: float = COST) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``rate`` and ``low`` of every page.
 
     ``outcomes`` (``host``, ``bad``) are the labelled pages; without any, the
-    pages that a rule decides are the labelled ones.
+    pages that a rule decides are the labelled ones. A page that no rule decides
+    is blocked if that costs less than passing it for sure: if its host's share
+    of bad pages is, by its lower bound, over cost / (1 + cost). Repeated page ids are judged row by row; other columns of ``pages``
+    play no part.
     """
     host, path = parts(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -150,6 +153,6 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, outcomes: DataFrame
     if outcomes is not None:
         labelled = labelled.unionByName(ruled.select("host", F.lit(None).cast("int").alias("bad")))
     judged = _written(reputation(labelled), "reputation")
-    method = F.when(F.col("low") > LIMIT, "block").otherwise("allow")
+    method = F.when(F.col("low") > cost / (1 + cost), "block").otherwise("allow")
     return ruled.join(judged, "host").select(
         "page_id", "host", "path", "rule", F.coalesce("_verdict", method).alias("verdict"), "rate", "low")

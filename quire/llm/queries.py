@@ -143,8 +143,9 @@ h AS (SELECT host, n, bad, CASE WHEN array_to_string(l[-2:], '.') IN ({_LONG}) T
 {_level_sql("domain", "domain", "suffix")},
 {_level_sql("host", "host", "domain")},
 post AS (SELECT host, (bad + s * mean) / (n + s) AS rate, n + s AS w FROM host_level, host_s),
-low AS (SELECT host, (rate + {_Z2} / (2 * w) - {hosts.BOUND} * sqrt(rate * (1 - rate) / w + {_Z2} / (4 * w * w))) / (1 + {_Z2} / w) AS low FROM post)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN low > {hosts.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+low AS (SELECT host, rate, (rate + {_Z2} / (2 * w) - {hosts.BOUND} * sqrt(rate * (1 - rate) / w + {_Z2} / (4 * w * w))) / (1 + {_Z2} / w) AS low FROM post)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN low > {hosts.COST / (1 + hosts.COST)} THEN 'block' ELSE 'allow' END) AS verdict,
+       round(rate, 6) AS rate, round(greatest(low, 0), 6) + 0.0 AS low
 FROM j JOIN low USING (host)"""
 
 
@@ -152,7 +153,7 @@ FROM j JOIN low USING (host)"""
 def q_urls(spark, sf_dir):
     """Verdict on all pages by rule, else by the reputation of the host."""
     return hosts.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select(
-        "page_id", "host", "path", "rule", "verdict")
+        "page_id", "host", "path", "rule", "verdict", F.round("rate", 6).alias("rate"), (F.round("low", 6) + 0.0).alias("low"))
 
 
 @query("op3_fingerprints")

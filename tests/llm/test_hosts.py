@@ -32,7 +32,22 @@ def test_host_path_and_rules(pages):
         best = max(fits, key=lambda r: len(r[1] + r[2]), default=None)
         assert (got[k]["host"], got[k]["path"]) == (host, path)
         assert got[k]["rule"] == (best[1] + best[2] if best else None)
-        assert got[k]["verdict"] == (best[0] if best else got[k]["verdict"]) in ("allow", "block")
+        assert got[k]["verdict"] == (best[0] if best else "block" if got[k]["low"] > 0.5 else "allow")
+
+
+def test_hosts_without_a_rule_fall_on_both_sides(pages):
+    urls = ["http://z.example.org/es/1"] * 40 + ["http://y.example.org/de/"] * 40 + ["http://z.example.org/de/", "http://y.example.org/x", "http://k.net/"]
+    rules = (hosts.rule("block", "example.org/es/"), hosts.rule("allow", "y.example.org/de/"))
+    got = hosts.judge(pages(urls), rules).collect()
+    free = {r["host"]: r["verdict"] for r in got if r["rule"] is None}
+    assert free["z.example.org"] == "block" and free["y.example.org"] == "allow"
+
+
+def test_clashing_columns_repeated_ids_and_long_urls(spark):
+    rows = [(1, "http://A.com/" + "x" * 200_000, "own", "v", 3.0), (1, "http://A.com/" + "x" * 200_000, "own", "v", 3.0), (None, None, "own", "v", 3.0)]
+    got = hosts.judge(spark.createDataFrame(rows, "page_id long, url string, host string, verdict string, low double")).collect()
+    assert [(r["page_id"], r["host"], len(r["path"])) for r in sorted(got, key=lambda r: str(r["page_id"]))] == [(1, "a.com", 200_001)] * 2 + [(None, "", 0)]
+    assert got[0].asDict().keys() == {"page_id", "host", "path", "rule", "verdict", "rate", "low"}
 
 
 def test_bad_hosts_are_blocked_and_few_pages_are_not_enough(spark, pages):
