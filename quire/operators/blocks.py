@@ -297,7 +297,7 @@ class Folded:
 
 
 def per_document(packed: DataFrame, side: TermSide, models: list[int], of: Callable, id_type: str, extra: dict | None = None) -> DataFrame:
-    """(model, doc_id, v) with the row of numbers that ``of(rows, model, columns, extra)`` gives each member."""
+    """(_nth, doc_id, v) with the number of the model and the row of numbers that ``of(rows, model, columns, extra)`` gives each member."""
     shipped = packed.sparkSession.sparkContext.broadcast(extra or {})
 
     def run(batches):
@@ -311,11 +311,11 @@ def per_document(packed: DataFrame, side: TermSide, models: list[int], of: Calla
                         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel()))
                         yield pa.RecordBatch.from_arrays([pa.array([m] * len(v), pa.int32()), own.ids, lists], names=["model", "doc_id", "v"])
 
-    return packed.mapInArrow(run, f"model int, doc_id {id_type}, v array<double>")
+    return packed.mapInArrow(run, f"model int, doc_id {id_type}, v array<double>").withColumnRenamed("model", "_nth")
 
 
 def table(spark: SparkSession, side: TermSide) -> DataFrame:
-    """(model, topic, term_idx, value): the present version as rows."""
+    """(_nth, topic, term_idx, value): the present version as rows, with the number of the model."""
     def read(batches):
         for batch in batches:
             for b in batch.column("id").to_pylist():
@@ -328,7 +328,7 @@ def table(spark: SparkSession, side: TermSide) -> DataFrame:
                         names=["model", "topic", "term_idx", "value"])
 
     n = min(side.blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return spark.range(0, side.blocks, 1, max(1, n)).mapInArrow(read, "model int, topic int, term_idx int, value double")
+    return spark.range(0, side.blocks, 1, max(1, n)).mapInArrow(read, "model int, topic int, term_idx int, value double").withColumnRenamed("model", "_nth")
 
 
 def uniform(entropy: list[int], rows: int, low: int, high: int) -> np.ndarray:

@@ -210,12 +210,12 @@ def sparse_distances(rows: DataFrame, members: DataFrame, centres: DataFrame, ke
 
         parts.append(bl.per_document(packed, side, group, of, members.schema["doc_id"].dataType.simpleString(), extra))
     n = len(metrics)
-    every = reduce(DataFrame.unionByName, parts).join(table, F.col("model") == F.col("_model"))
+    every = reduce(DataFrame.unionByName, parts).join(table, F.col("_nth") == F.col("_model"))
     each = F.transform(F.sequence(F.lit(0), F.expr(f"cast(size(v) div {n} as int) - 1")), lambda j: F.struct(
         j.cast("int").alias("topic"), *[F.get("v", j * n + i).alias(m) for i, m in enumerate(metrics)]))
     known = cells.select(F.col("model").alias("_m"), F.col("topic").alias("_t")).distinct()
-    return every.select(*keys, "model", "doc_id", F.explode(each).alias("_d")).select(*keys, "model", "doc_id", "_d.*").join(
-        F.broadcast(known), (F.col("model") == F.col("_m")) & (F.col("topic") == F.col("_t")), "left_semi").drop("model")  # models x topics rows
+    return every.select(*keys, "_nth", "doc_id", F.explode(each).alias("_d")).select(*keys, "_nth", "doc_id", "_d.*").join(
+        F.broadcast(known), (F.col("_nth") == F.col("_m")) & (F.col("topic") == F.col("_t")), "left_semi").drop("_nth")  # models x topics rows
 
 
 def kmeans(rows: DataFrame, members: DataFrame, init_centres: DataFrame, key_cols: list[str],
@@ -270,9 +270,9 @@ def kmeans(rows: DataFrame, members: DataFrame, init_centres: DataFrame, key_col
         centres.append(bl.table(spark, side).where("value <> 0"))
         parts.append(bl.per_document(packed, side, group, lambda r, m, c, n: np.stack(_nearest(r, c, n), axis=1),
                                      members.schema["doc_id"].dataType.simpleString(), norms))
-    out = reduce(DataFrame.unionByName, centres).join(table, F.col("model") == F.col("_model")).select(
+    out = reduce(DataFrame.unionByName, centres).join(table, F.col("_nth") == F.col("_model")).select(
         *keys, "topic", "term_idx", F.col("value").alias("weight"))
-    assigned = reduce(DataFrame.unionByName, parts).join(table, F.col("model") == F.col("_model")).select(
+    assigned = reduce(DataFrame.unionByName, parts).join(table, F.col("_nth") == F.col("_model")).select(
         *keys, "doc_id", F.get("v", F.lit(0)).cast("int").alias("topic"), F.get("v", F.lit(1)).alias("distance"))
     iterations = spark.createDataFrame([(*grid[m], *v) for m, v in done.items()], kinds + ", iterations int, avg_distance double")
     return out, assigned, iterations

@@ -85,7 +85,7 @@ def _matrix(c):
 
 
 def _side(spark, side, m=0):
-    rows = bl.table(spark, side).where(F.col("model") == m).collect()
+    rows = bl.table(spark, side).where(F.col("_nth") == m).collect()
     out = np.zeros((side.widths[m], side.terms))
     for r in rows:
         out[r["topic"], r["term_idx"]] = r["value"]
