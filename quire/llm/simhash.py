@@ -22,8 +22,6 @@ becomes a component id unless all ids it links to are null.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -237,11 +235,13 @@ def drop_near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> Dat
     rows.write.parquet(table)
     rows = spark.read.parquet(table)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", *key)).alias("first"))
-    judged = rows.join(first, "component").withColumn("stays", reduce(and_, [F.col(k) == F.col(f"first.{k}") for k in key]))
+    # Joined by row, not by component: one of them may hold a third of the rows.
+    judged = rows.select(*key, "copies").join(first.select("first.*").select(*key, F.lit(True).alias("stays")), key, "left").fillna(False, ["stays"])
     kept = scratch_path(spark, "kept")
     judged.where("not stays or copies > 1").select(*key, "stays").write.parquet(kept)
     odd = spark.read.parquet(kept)
     marked = docs.withColumns(marks)
-    single = marked.join(odd.select(*key), key, "left_anti")
+    # The list grows with the corpus, so the texts meet it in a shuffle join at every size.
+    single = marked.join(odd.select(*key).hint("merge"), key, "left_anti")
     again = marked.join(odd.where("stays").select(*key), key, "left_semi").dropDuplicates(key)
     return single.select(*docs.columns).unionByName(again.select(*docs.columns))
