@@ -47,6 +47,7 @@ class Rows:
     weights: np.ndarray
     models: tuple[np.ndarray, np.ndarray]  # (document, model) of each membership
     found: np.ndarray | None = None  # the terms of compact rows
+    v: np.ndarray | None = None  # numbers of each document, where the table has some
 
     @property
     def doc(self) -> np.ndarray:
@@ -64,7 +65,7 @@ class Rows:
         n = np.diff(self.ends, prepend=0)
         keep = np.repeat(has, n)
         return Rows(self.ids.filter(pa.array(has)), np.cumsum(n[has]), self.terms[keep], self.weights[keep],
-                    (np.zeros(0, int), np.zeros(0, int)), self.found)
+                    (np.zeros(0, int), np.zeros(0, int)), self.found, None if self.v is None else self.v[has])
 
     def compact(self, terms: int) -> tuple["Rows", np.ndarray]:
         """The rows with terms numbered by those that occur, and these, ascending."""
@@ -119,9 +120,11 @@ def slices(batch: pa.RecordBatch) -> Iterator[Rows]:
     m_off, m_flat = np.asarray(models.offsets), np.asarray(models.values)
     w_off = np.asarray(weights.offsets).astype(np.int64)
     a, n = 0, batch.num_rows
+    v = np.asarray(batch.column("v").flatten()).reshape(n, -1) if n and "v" in batch.schema.names else None
     while a < n:
         b = min(n, max(a + 1, int(np.searchsorted(off, off[a] + SLICE_NNZ, side="right")) - 1))
         yield Rows(batch.column("doc_id").slice(a, b - a), off[a + 1:b + 1] - off[a], flat_t[off[a]:off[b]],
                    flat_w[w_off[a]:w_off[b]],
-                   (np.repeat(np.arange(b - a), np.diff(m_off[a:b + 1])), m_flat[m_off[a]:m_off[b]]))
+                   (np.repeat(np.arange(b - a), np.diff(m_off[a:b + 1])), m_flat[m_off[a]:m_off[b]]), None,
+                   None if v is None else v[a:b])
         a = b

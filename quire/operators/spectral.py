@@ -6,9 +6,9 @@ degrees d = X (X'1) - |x|^2 and D = diag(d), the operator
     v -> D^-1/2 (X (X' D^-1/2 v) - |x|^2 D^-1/2 v)
 
 is two narrow passes over the packed documents around one terms x block matrix
-of sums. Block subspace iteration on it (shifted by one, so that the largest
-eigenvalues lead) gives the embedding; only block x block and terms x block
-matrices reach the driver, the documents' vectors stay distributed.
+of sums, which lies in blocks of terms (``blocks``). Block subspace iteration on
+it (shifted by one, so that the largest eigenvalues lead) gives the embedding;
+only block x block matrices reach the driver.
 """
 
 from __future__ import annotations
@@ -19,58 +19,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from . import blocks as bl
 from . import kmeans as km
+from . import packed as pk
 from .centroids import build_centroids
-from .packed import GROUP_BYTES, Rows, pack
+from .packed import Rows, pack
 
 STEPS = 25
 
 
-def _batches(batch: pa.RecordBatch) -> tuple[Rows, np.ndarray]:
-    """The documents of a batch and their vectors (column ``v``)."""
-    lists = {c: batch.column(c) for c in ("terms", "weights", "v")}
-    off = np.asarray(lists["terms"].offsets).astype(np.int64)
-    rows = Rows(batch.column("doc_id"), off[1:] - off[0], np.asarray(lists["terms"].flatten()), np.asarray(lists["weights"].flatten()),
-                (np.zeros(0, int), np.zeros(0, int)))
-    v = np.asarray(lists["v"].flatten()).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
-    return rows, v
-
-
 def _squares(rows: Rows) -> np.ndarray:
     return np.bincount(rows.doc, rows.weights ** 2, len(rows.ends))
 
 
-def _term_sums(frame: DataFrame, width: int, terms: int, of) -> np.ndarray:
-    """X' F for the documents x width block F that ``of(rows, v)`` gives, and F'F below it."""
-    def run(batches):
-        total = np.zeros(width * terms + width * width)
-        for batch in batches:
-            if batch.num_rows:
-                rows, v = _batches(batch)
-                f = of(rows, v)
-                total += np.concatenate([rows.transposed(f, terms).ravel(), (v.T @ v).ravel()])
-        cuts = [total[i:i + (1 << 14)] for i in range(0, len(total), 1 << 14)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array(cuts, pa.list_(pa.float64()))], names=["piece", "s"])
+def _term_sums(frame: DataFrame, side: bl.TermSide | None, width: int, terms: int, of) -> tuple[bl.TermSide, np.ndarray]:
+    """(X' F in blocks of terms, V'V) for the documents x width block F that ``of(rows, v)`` gives and the vectors V.
 
-    def add(group: pa.Table) -> pa.Table:
-        s = np.sum([np.asarray(x.values) for x in group.column("s")], axis=0)
-        return pa.table({"piece": group.column("piece").slice(0, 1), "s": pa.array([s], pa.list_(pa.float64()))})
+    ``side``: the sums before these, which they replace.
+    """
+    spark = frame.sparkSession
+    side = side or bl.create(spark, terms, {0: width}, lambda m, low, high: np.zeros((width, high - low)), "spectral-terms")
+
+    def add(rows, model, columns, extra):
+        return rows.transposed(of(rows, rows.v), columns.shape[1]), (rows.v.T @ rows.v).ravel()
 
-    schema = "piece int, s array<double>"
-    got = frame.mapInArrow(run, schema).groupBy("piece").applyInArrow(add, schema).collect()
-    return np.concatenate([np.array(r["s"]) for r in sorted(got, key=lambda r: r["piece"])])
+    small, sums = bl.totals(frame, side, [0], add)
+    side, _ = bl.renew(spark, side, sums, lambda m, old, num, extra, low: (num, None))
+    size = int(np.sqrt(len(small[0]))) if small else 0
+    return side, small[0].reshape(size, size) if small else np.zeros((0, 0))
 
 
-def _map(frame: DataFrame, of, name: str) -> DataFrame:
-    """The frame with ``v`` replaced by what ``of(rows, v)`` gives, written to the shared folder."""
+def _map(frame: DataFrame, side: bl.TermSide | None, of, name: str) -> DataFrame:
+    """The frame with ``v`` replaced by what ``of(rows, v, columns of the term side)`` gives, written to the shared folder."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema.fields)
     at = frame.columns.index("v")
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                rows, v = _batches(batch)
-                new = of(rows, v)
+            parts = []
+            for rows in pk.slices(batch):
+                whole, found = rows.compact(side.terms) if side else (rows, None)
+                parts.append(of(whole, whole.v, side.take(0, found) if side else None))
+            if parts:
+                new = np.concatenate(parts)
                 cols = list(batch.columns)
                 cols[at] = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1) * new.shape[1], pa.int32()), pa.array(new.ravel()))
                 yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
@@ -80,56 +71,76 @@ def _map(frame: DataFrame, of, name: str) -> DataFrame:
     return frame.sparkSession.read.parquet(path)
 
 
+def _between_terms(side: bl.TermSide, spark) -> np.ndarray:
+    """Y Y' of a term side Y."""
+    _, parts = bl.renew(spark, side, None, lambda m, y, num, extra, low: (y, (y @ y.T).ravel()), write=False)
+    return np.sum(parts[0], axis=0).reshape(side.widths[0], -1)
+
+
 def spectral_embedding(doc_terms: DataFrame, doc_ids: DataFrame, terms: int, k: int, seed: int = 1000, steps: int = STEPS) -> DataFrame:
     """(doc_id, embedding of k numbers): the leading eigenvectors but the first, over the square root of the degree.
 
-    Documents without neighbours (degree 0) are at the origin. The term side
-    (terms x (k + 5)) must fit ``packed.GROUP_BYTES``.
+    Documents without neighbours (degree 0) are at the origin. The term side (terms x (k + 5) numbers) lies in blocks, at any
+    size of the vocabulary; block x block matrices reach the driver.
     """
     width = k + 1 + 4
-    if width * terms * 8 > GROUP_BYTES:
-        raise ValueError("the vocabulary is too large for the embedding's term side: prune it first")
     spark = doc_terms.sparkSession
     members = doc_ids.select("doc_id", F.lit(k).alias("k"))
     packed, _ = pack(doc_terms, members, ["k"])
-    ones = packed.select("doc_id", "terms", "weights", F.array(F.lit(1.0)).alias("v"))
-    column = spark.sparkContext.broadcast(_term_sums(ones, 1, terms, lambda rows, v: v)[:terms])
+    ones = packed.withColumn("v", F.array(F.lit(1.0)))
+    column, _ = _term_sums(ones, None, 1, terms, lambda rows, v: v)
 
-    def start(rows, v):
+    def start(rows, v, sums):
         """Degree, its inverse root and a random block; ids seed the block, so that it is the same on every run."""
-        d = np.maximum(rows.times(column.value[None, :])[:, 0] - _squares(rows), 0.0)
+        d = np.maximum(rows.times(sums)[:, 0] - _squares(rows), 0.0)
         noise = np.stack([np.random.default_rng([seed, i]).standard_normal(width) for i in _codes(rows.ids)])
         return np.concatenate([np.where(d > 1e-12, 1 / np.sqrt(np.maximum(d, 1e-12)), 0.0)[:, None], noise], axis=1)
 
-    frame = _map(ones, start, "spectral")
-    turn = np.eye(width)
+    frame = _map(ones, column, start, "spectral")
+    turn, side = np.eye(width), None
     for _ in range(steps):
         shipped = spark.sparkContext.broadcast(turn)
-        got = _term_sums(frame, width + 1, terms, lambda rows, v: np.concatenate([v[:, :1], v[:, :1] * (v[:, 1:] @ shipped.value)], axis=1))
-        sums = spark.sparkContext.broadcast(got[:(width + 1) * terms].reshape(width + 1, terms)[1:])
+        side, _ = _term_sums(frame, side, width, terms, lambda rows, v, turn=shipped: v[:, :1] * (v[:, 1:] @ turn.value))
 
-        def step(rows, v, turn=shipped, sums=sums):
+        def step(rows, v, sums, turn=shipped):
             root, block = v[:, :1], v[:, 1:] @ turn.value
             scaled = root * block
-            return np.concatenate([root, block + root * (rows.times(sums.value) - _squares(rows)[:, None] * scaled)], axis=1)
+            return np.concatenate([root, block + root * (rows.times(sums) - _squares(rows)[:, None] * scaled)], axis=1)
 
-        frame = _map(frame, step, "spectral")
-        gram = _term_sums(frame, width + 1, terms, lambda rows, v: v)[(width + 1) * terms:].reshape(width + 1, width + 1)[1:, 1:]
-        values, vectors = np.linalg.eigh(gram)
-        turn = (vectors / np.sqrt(np.maximum(values, 1e-300)))[:, ::-1]  # orthonormal, the greatest first
+        frame = _map(frame, side, step, "spectral")
+        turn = _orthonormal(_gram(frame))
     # Rayleigh-Ritz: the eigenvectors of the operator within the block
     shipped = spark.sparkContext.broadcast(turn)
-    basis = _map(frame, lambda rows, v: np.concatenate([v[:, :1], v[:, 1:] @ shipped.value], axis=1), "spectral")
-    got = _term_sums(basis, width + 1, terms, lambda rows, v: np.concatenate([v[:, :1], v[:, :1] * v[:, 1:]], axis=1))
-    y = got[:(width + 1) * terms].reshape(width + 1, terms)[1:]
-    diagonal = _term_sums(_map(basis, lambda rows, v: np.concatenate([v[:, :1], v[:, 1:] * v[:, :1] * np.sqrt(_squares(rows))[:, None]], axis=1),
-                               "spectral"), width + 1, terms, lambda rows, v: v)[(width + 1) * terms:].reshape(width + 1, width + 1)[1:, 1:]
-    values, vectors = np.linalg.eigh(y @ y.T - diagonal)
-    last = spark.sparkContext.broadcast(vectors[:, np.argsort(-values)][:, 1:k + 1])
-    final = _map(basis, lambda rows, v: np.concatenate([v[:, :1], v[:, :1] * (v[:, 1:] @ last.value)], axis=1), "spectral")
+    side, _ = _term_sums(frame, side, width, terms, lambda rows, v: v[:, :1] * (v[:, 1:] @ shipped.value))
+    diagonal = _gram(frame, lambda rows, v: v[:, :1] * np.sqrt(_squares(rows))[:, None] * (v[:, 1:] @ shipped.value))
+    values, vectors = np.linalg.eigh(_between_terms(side, spark) - diagonal)
+    last = spark.sparkContext.broadcast(turn @ vectors[:, np.argsort(-values)][:, 1:k + 1])
+    final = _map(frame, None, lambda rows, v, sums: np.concatenate([v[:, :1], v[:, :1] * (v[:, 1:] @ last.value)], axis=1), "spectral")
     return final.select("doc_id", F.slice("v", 2, k).alias("embedding"))
 
 
+def _gram(frame: DataFrame, of=lambda rows, v: v[:, 1:]) -> np.ndarray:
+    """F'F of the documents x width block F that ``of(rows, v)`` gives."""
+    def run(batches):
+        total = None
+        for batch in batches:
+            for rows in pk.slices(batch):
+                f = of(rows, rows.v)
+                total = f.T @ f if total is None else total + f.T @ f
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["s"])
+
+    each = frame.mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "x"))
+    flat = np.array([r["x"] for r in each.groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()])  # width^2 numbers
+    return flat.reshape(int(np.sqrt(len(flat))), -1)
+
+
+def _orthonormal(gram: np.ndarray) -> np.ndarray:
+    """The turn that makes a block with this Gram matrix orthonormal, the greatest directions first."""
+    values, vectors = np.linalg.eigh(gram)
+    return (vectors / np.sqrt(np.maximum(values, 1e-300)))[:, ::-1]
+
+
 def _codes(ids: pa.Array) -> list[int]:
     import zlib
     return [zlib.crc32(str(i).encode()) for i in ids.to_pylist()]

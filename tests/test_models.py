@@ -155,7 +155,10 @@ def tied(spark, c):
         "doc_id", "term_idx").agg(F.sum("weight").alias("weight"))
 
 
-def test_spectral_embedding_spans_the_eigenvectors(spark):
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_spectral_embedding_spans_the_eigenvectors(spark, monkeypatch, block):
+    monkeypatch.setattr("quire.operators.blocks.BLOCK_BYTES", block)
+    monkeypatch.setattr("quire.operators.packed.GROUP_BYTES", block)
     import numpy as np
 
     from quire.operators import spectral as sp
