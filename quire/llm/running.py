@@ -9,8 +9,6 @@ most three rows a partition and is broadcast.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +50,3 @@ def ordered(rows: DataFrame, key: str, order: list[Column], measures: dict[str,
     joined["pos"] = joined["pos"] - 1
     own = [c for c in rows.columns if c not in measures]
     return out.select(*own, *[c.alias(m) for m, c in joined.items()])
-
-
-def xor(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a.bitwiseXOR(b), columns)

@@ -4,7 +4,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from quire.llm import trie
 from quire.llm.queries import q_trie
