@@ -67,6 +67,20 @@ def q_export_mtx(spark, sf_dir):
     return store.mtx_lines(dt, c.docs, n_terms).select("line")
 
 
+@query("export_lines", sql=f"""
+WITH {O.matrix_ctes(tfidf=False, norm=False)}
+SELECT 'terms' AS file, term AS line FROM vocab UNION ALL SELECT 'docs', CAST(doc_id AS VARCHAR) FROM docs""")
+def q_export_lines(spark, sf_dir):
+    """A10: the lines of the ``*.terms`` and ``*.docs`` files, written and read back."""
+    c = corpus(spark, sf_dir, cfg=COUNT_CFG)
+    back = []
+    for name, lines in (("terms", store.term_lines(c.vocab)), ("docs", store.doc_lines(c.docs))):
+        path = scratch_path(spark, f"lines-{name}")
+        store.write_lines(lines, path, ["row"])
+        back.append(spark.read.text(path).select(F.lit(name).alias("file"), F.col("value").alias("line")))
+    return back[0].unionByName(back[1])
+
+
 @query("lda_counts", sql=f"""
 WITH {O.matrix_ctes()}
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(term_idx AS BIGINT) AS term_idx,
