@@ -10,6 +10,7 @@ from quire.operators import nmf as nm
 from quire.operators import sampling as sm
 from quire.operators import vectorize as vz
 from quire.operators.validation import partition_scores
+from quire.session import cut_lineage
 
 KEYS = ["algo", "kind", "k", "run"]
 
@@ -155,10 +156,21 @@ def tied(spark, c):
         "doc_id", "term_idx").agg(F.sum("weight").alias("weight"))
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300])
-def test_spectral_embedding_spans_the_eigenvectors(spark, monkeypatch, block):
-    monkeypatch.setattr("quire.operators.blocks.BLOCK_BYTES", block)
-    monkeypatch.setattr("quire.operators.packed.GROUP_BYTES", block)
+def test_spectral_embedding_is_the_same_in_blocks_of_any_size(spark, monkeypatch):
+    from quire.operators import spectral as sp
+
+    c = planted(spark, blocks=3, per_block=8)
+    rows = cut_lineage(tied(spark, c))
+    found = []
+    for block in (1 << 20, 300):
+        monkeypatch.setattr("quire.operators.blocks.BLOCK_BYTES", block)
+        monkeypatch.setattr("quire.operators.packed.GROUP_BYTES", block)
+        got = sorted((r["doc_id"], *r["embedding"]) for r in sp.spectral_embedding(rows, c.docs, 18, 2, steps=2).collect())
+        found.append(np.array(got)[:, 1:])
+    assert np.allclose(found[0] @ found[0].T, found[1] @ found[1].T, atol=1e-8)
+
+
+def test_spectral_embedding_spans_the_eigenvectors(spark):
     import numpy as np
 
     from quire.operators import spectral as sp
