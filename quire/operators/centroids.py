@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .indexing import ordered_index
+from .packed import explode_rows
 
 
 def build_centroids(doc_terms: DataFrame, partition: DataFrame, key_cols: list[str]) -> DataFrame:
@@ -13,16 +14,17 @@ def build_centroids(doc_terms: DataFrame, partition: DataFrame, key_cols: list[s
 
     ``partition``: key_cols + doc_id + topic. The mean divides by the
     cluster size, so documents without terms count as zero vectors.
+    ``doc_terms``: (doc_id, term_idx, weight), or rows with lists (``Corpus.rows``),
+    which meet the partition a row a document and are taken apart after that.
     Output: key_cols + topic, term_idx, weight.
     """
     part = partition.where(F.col("topic") >= 0)
     sizes = part.groupBy(*key_cols, "topic").agg(F.count(F.lit(1)).alias("_n"))
-    sums = (
-        doc_terms.select("doc_id", "term_idx", "weight")
-        .join(part.select(*key_cols, "doc_id", "topic"), "doc_id")
-        .groupBy(*key_cols, "topic", "term_idx")
-        .agg(F.sum("weight").alias("_s"))
-    )
+    lists = "terms" in doc_terms.columns
+    joined = doc_terms.select("doc_id", *(["terms", "weights"] if lists else ["term_idx", "weight"])).join(
+        part.select(*key_cols, "doc_id", "topic"), "doc_id")
+    cells = explode_rows(joined, [*key_cols, "topic"], {"terms": "term_idx", "weights": "weight"}) if lists else joined
+    sums = cells.groupBy(*key_cols, "topic", "term_idx").agg(F.sum("weight").alias("_s"))
     return sums.join(sizes, [*key_cols, "topic"]).select(
         *key_cols, "topic", "term_idx", (F.col("_s") / F.col("_n")).alias("weight")
     )

@@ -181,7 +181,7 @@ def q_centroids(spark, sf_dir):
     """Mean TF-IDF vector of every language class."""
     c = corpus(spark, sf_dir, label_col="source", cfg=MATRIX_CFG)
     part = lang_classes(spark, sf_dir, c).select("doc_id", F.col("class_idx").alias("topic"))
-    cent = ce.build_centroids(c.doc_terms, part, [])
+    cent = ce.build_centroids(c.rows, part, [])
     return cent.select(i64("topic").alias("topic"), i64("term_idx").alias("term_idx"), r6("weight").alias("weight"))
 
 
@@ -192,7 +192,7 @@ SELECT CAST(topic AS BIGINT) AS topic, printf('C%02d', topic + 1) AS label, CAST
 def q_topic_rankings(spark, sf_dir):
     """Top terms of each class centroid (dense order: weight, term)."""
     c = corpus(spark, sf_dir, label_col="source", cfg=MATRIX_CFG)
-    r = va.class_rankings(c.doc_terms, lang_classes(spark, sf_dir, c), c.vocab, top=FLAG_TOP)
+    r = va.class_rankings(c.rows, lang_classes(spark, sf_dir, c), c.vocab, top=FLAG_TOP)
     return r.select(i64("topic").alias("topic"), "label", i64("rank").alias("rank"), "term", r6("weight").alias("weight"))
 
 
@@ -203,7 +203,7 @@ def q_rankings_size(spark, sf_dir):
     """Shortest ranking of the sparse class rankings (non-zero terms only)."""
     c = corpus(spark, sf_dir, label_col="source", cfg=MATRIX_CFG)
     part = lang_classes(spark, sf_dir, c).select("doc_id", F.col("class_idx").alias("topic")).withColumn("s", F.lit(1))
-    cent = ce.build_centroids(c.doc_terms, part, ["s"])
+    cent = ce.build_centroids(c.rows, part, ["s"])
     r = rk.rank_terms(cent, c.vocab, ["s"], top=-1, densify=False)
     return rk.rankings_size(r, ["s"]).select(i64("size").alias("size"))
 
@@ -250,7 +250,7 @@ SELECT CAST(k AS BIGINT) AS k, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) A
 def _ref_vs_lang(spark, sf_dir, metric):
     c, r = fold_rankings(spark, sf_dir)
     ref = r.where(F.col("kind") == "reference").select("k", "topic", "rank", "term")
-    cls = va.class_rankings(c.doc_terms, lang_classes(spark, sf_dir, c), c.vocab, top=FLAG_TOP)
+    cls = va.class_rankings(c.rows, lang_classes(spark, sf_dir, c), c.vocab, top=FLAG_TOP)
     one = F.lit("classes").alias("set")  # both sides carry it: the class rankings meet every model's
     sims = va.class_similarity(cls.select(one, "topic", "rank", "term"), ref.select(one, "*"), ["set"], ["set", "k"],
                                metric, classes_first=False)
