@@ -170,17 +170,13 @@ def vocabulary(spark, sf_dir):
 
 
 @query("tfidf", sql=f"""
-WITH {O.matrix_ctes(norm=False)},
-r AS (SELECT doc_id, term_idx, CAST(round(weight * 1000000) AS BIGINT) AS w FROM dt)
-SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(count(*) AS BIGINT) AS n_terms, CAST(sum(w) AS BIGINT) AS millionths,
-       md5(string_agg(term_idx || ':' || w, ',' ORDER BY term_idx)) AS weights_md5 FROM r GROUP BY doc_id""")
+WITH {O.matrix_ctes(norm=False)}
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(term_idx AS BIGINT) AS term_idx, round(weight, 6) AS weight FROM dt""")
 def tfidf(spark, sf_dir):
-    """Tf * (ln((1+n)/(1+df)) + 1), a row a document: number, sum and digest of its weights in millionths."""
+    """Tf * (ln((1+n)/(1+df)) + 1)."""
     c = corpus(spark, sf_dir, cfg=vz.CorpusConfig(stopwords=O.QUERY_STOPWORDS, min_df=O.MIN_DF, tfidf=True))
-    cells = c.doc_terms.select("doc_id", "term_idx", F.round(F.col("weight") * 1000000).cast("bigint").alias("w"))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("term_idx", "w"))), lambda x: F.concat_ws(":", x["term_idx"].cast("string"), x["w"].cast("string")))
-    return cells.groupBy(i64("doc_id").alias("doc_id")).agg(
-        i64(F.count(F.lit(1))).alias("n_terms"), F.sum("w").alias("millionths"), F.md5(F.array_join(listed, ",")).alias("weights_md5"))
+    return c.cells().select(i64("doc_id").alias("doc_id"), i64("term_idx").alias("term_idx"),
+                            r6("weight").alias("weight"))
 
 
 @query("l2_normalize", sql=f"""
@@ -189,7 +185,7 @@ SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(term_idx AS BIGINT) AS term_idx, r
 def l2_normalize(spark, sf_dir):
     """C11: raw counts scaled to unit Euclidean length per document."""
     c = corpus(spark, sf_dir, cfg=vz.CorpusConfig(stopwords=O.QUERY_STOPWORDS, min_df=O.MIN_DF, norm=True))
-    return c.doc_terms.select(i64("doc_id").alias("doc_id"), i64("term_idx").alias("term_idx"),
+    return c.cells().select(i64("doc_id").alias("doc_id"), i64("term_idx").alias("term_idx"),
                               r6("weight").alias("weight"))
 
 
@@ -200,5 +196,5 @@ SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(term_idx AS BIGINT) AS term_idx, C
 def document_term_matrix(spark, sf_dir):
     """The full preprocessing (stopwords, min_df, TF-IDF, L2)."""
     c = corpus(spark, sf_dir, cfg=MATRIX_CFG)
-    return c.doc_terms.select(i64("doc_id").alias("doc_id"), i64("term_idx").alias("term_idx"),
+    return c.cells().select(i64("doc_id").alias("doc_id"), i64("term_idx").alias("term_idx"),
                               i64("tf").alias("tf"), r6("weight").alias("weight"))
