@@ -8,7 +8,8 @@ degrees d = X (X'1) - |x|^2 and D = diag(d), the operator
 is two narrow passes over the packed documents around one terms x block matrix
 of sums, which lies in blocks of terms (``blocks``). Block subspace iteration on
 it (shifted by one, so that the largest eigenvalues lead) gives the embedding;
-only block x block matrices reach the driver.
+only block x block matrices reach the driver. A step writes the documents with
+their new vectors and removes those that it read, so two versions stand at most.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from . import blocks as bl
 from . import kmeans as km
 from . import packed as pk
 from .centroids import build_centroids
-from .packed import Rows, pack
+from .packed import Rows, pack, row_lists
 
 STEPS = 25
 
@@ -32,8 +33,21 @@ def _squares(rows: Rows) -> np.ndarray:
     return np.bincount(rows.doc, rows.weights ** 2, len(rows.ends))
 
 
-def _term_sums(frame: DataFrame, side: bl.TermSide | None, width: int, terms: int, of) -> tuple[bl.TermSide, np.ndarray]:
-    """(X' F in blocks of terms, V'V) for the documents x width block F that ``of(rows, v)`` gives and the vectors V.
+def _scaled(rows: Rows, v: np.ndarray) -> np.ndarray:
+    """D^-1/2 V: the first number of a document is its root, the others its vector."""
+    return v[:, :1] * v[:, 1:]
+
+
+def _vectors(rows: Rows, v: np.ndarray) -> list[np.ndarray]:
+    return [v[:, 1:]]
+
+
+def _with_diagonal(rows: Rows, v: np.ndarray) -> list[np.ndarray]:
+    return [v[:, 1:], np.sqrt(_squares(rows))[:, None] * _scaled(rows, v)]
+
+
+def _term_sums(frame: DataFrame, side: bl.TermSide | None, width: int, terms: int, of=_scaled, beside=_vectors) -> tuple[bl.TermSide, list[np.ndarray]]:
+    """(X' F in blocks of terms, [G'G]) for the documents x width blocks F that ``of(rows, v)`` and G that ``beside`` gives.
 
     ``side``: the sums before these, which they replace.
     """
@@ -41,18 +55,19 @@ def _term_sums(frame: DataFrame, side: bl.TermSide | None, width: int, terms: in
     side = side or bl.create(spark, terms, {0: width}, lambda m, low, high: np.zeros((width, high - low)), "spectral-terms")
 
     def add(rows, model, columns, extra):
-        return rows.transposed(of(rows, rows.v), columns.shape[1]), (rows.v.T @ rows.v).ravel()
+        return rows.transposed(of(rows, rows.v), columns.shape[1]), np.concatenate([(g.T @ g).ravel() for g in beside(rows, rows.v)] or [np.zeros(1)])
 
     small, sums = bl.totals(frame, side, [0], add)
     side, _ = bl.renew(spark, side, sums, lambda m, old, num, extra, low: (num, None))
-    size = int(np.sqrt(len(small[0]))) if small else 0
-    return side, small[0].reshape(size, size) if small else np.zeros((0, 0))
+    flat = small[0] if small else np.zeros(2 * width * width)  # no documents
+    return side, [flat[a:a + width * width].reshape(width, width) for a in range(0, len(flat) - width * width + 1, width * width)]
 
 
-def _map(frame: DataFrame, side: bl.TermSide | None, of, name: str) -> DataFrame:
-    """The frame with ``v`` replaced by what ``of(rows, v, columns of the term side)`` gives, written to the shared folder."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema.fields)
-    at = frame.columns.index("v")
+def _map(frame: DataFrame, side: bl.TermSide | None, of, name: str, before: str | None = None, kept: list[str] | None = None) -> tuple[DataFrame, str]:
+    """The frame (``kept`` columns of it) with ``v`` replaced by what ``of(rows, v, columns of the term side)`` gives, written
+    to the shared folder, and where. ``before``: where the frame itself was written, removed once the new one is."""
+    kept = kept or frame.columns
+    schema = ", ".join(f"{c} {frame.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches):
         for batch in batches:
@@ -62,13 +77,14 @@ def _map(frame: DataFrame, side: bl.TermSide | None, of, name: str) -> DataFrame
                 parts.append(of(whole, whole.v, side.take(0, found) if side else None))
             if parts:
                 new = np.concatenate(parts)
-                cols = list(batch.columns)
-                cols[at] = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1) * new.shape[1], pa.int32()), pa.array(new.ravel()))
-                yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1) * new.shape[1], pa.int32()), pa.array(new.ravel()))
+                yield pa.RecordBatch.from_arrays([lists if c == "v" else batch.column(c) for c in kept], names=kept)
 
     path = scratch_path(frame.sparkSession, name)
     frame.mapInArrow(run, schema).write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
+    if before:
+        bl.drop(before)
+    return frame.sparkSession.read.schema(schema).parquet(path), path
 
 
 def _between_terms(side: bl.TermSide, spark) -> np.ndarray:
@@ -77,18 +93,21 @@ def _between_terms(side: bl.TermSide, spark) -> np.ndarray:
     return np.sum(parts[0], axis=0).reshape(side.widths[0], -1)
 
 
-def spectral_embedding(doc_terms: DataFrame, doc_ids: DataFrame, terms: int, k: int, seed: int = 1000, steps: int = STEPS) -> DataFrame:
+def spectral_embedding(doc_terms: DataFrame, doc_ids: DataFrame | None, terms: int, k: int, seed: int = 1000, steps: int = STEPS) -> DataFrame:
     """(doc_id, embedding of k numbers): the leading eigenvectors but the first, over the square root of the degree.
 
     Documents without neighbours (degree 0) are at the origin. The term side (terms x (k + 5) numbers) lies in blocks, at any
-    size of the vocabulary; block x block matrices reach the driver.
+    size of the vocabulary; block x block matrices reach the driver. ``doc_ids``: the documents, or None for those of
+    ``doc_terms``, whose rows with lists are then read as they stand.
     """
     width = k + 1 + 4
     spark = doc_terms.sparkSession
-    members = doc_ids.select("doc_id", F.lit(k).alias("k"))
-    packed, _ = pack(doc_terms, members, ["k"])
+    if doc_ids is None:
+        packed = row_lists(doc_terms).select("doc_id", F.array(F.lit(0)).alias("models"), "terms", "weights")
+    else:
+        packed, _ = pack(doc_terms, doc_ids.select("doc_id", F.lit(k).alias("k")), ["k"])
     ones = packed.withColumn("v", F.array(F.lit(1.0)))
-    column, _ = _term_sums(ones, None, 1, terms, lambda rows, v: v)
+    column, _ = _term_sums(ones, None, 1, terms, lambda rows, v: v, lambda rows, v: [])
 
     def start(rows, v, sums):
         """Degree, its inverse root and a random block; ids seed the block, so that it is the same on every run."""
@@ -96,43 +115,29 @@ def spectral_embedding(doc_terms: DataFrame, doc_ids: DataFrame, terms: int, k:
         noise = np.stack([np.random.default_rng([seed, i]).standard_normal(width) for i in _codes(rows.ids)])
         return np.concatenate([np.where(d > 1e-12, 1 / np.sqrt(np.maximum(d, 1e-12)), 0.0)[:, None], noise], axis=1)
 
-    frame = _map(ones, column, start, "spectral")
-    turn, side = np.eye(width), None
-    for _ in range(steps):
-        shipped = spark.sparkContext.broadcast(turn)
-        side, _ = _term_sums(frame, side, width, terms, lambda rows, v, turn=shipped: v[:, :1] * (v[:, 1:] @ turn.value))
+    frame, path = _map(ones, column, start, "spectral")
+    bl.drop(f"{column.folder}/{column.version}")
+    side = None
+    for nth in range(steps):
+        # One pass gives the sums of the vectors as they are and their Gram matrix; the turn that makes them orthonormal
+        # follows from it and is applied to vectors and sums in the next pass.
+        side, (gram, *_) = _term_sums(frame, side, width, terms)
+        shipped = spark.sparkContext.broadcast(_orthonormal(gram) if nth else np.eye(width))
 
         def step(rows, v, sums, turn=shipped):
             root, block = v[:, :1], v[:, 1:] @ turn.value
             scaled = root * block
-            return np.concatenate([root, block + root * (rows.times(sums) - _squares(rows)[:, None] * scaled)], axis=1)
+            return np.concatenate([root, block + root * (rows.times(sums) @ turn.value - _squares(rows)[:, None] * scaled)], axis=1)
 
-        frame = _map(frame, side, step, "spectral")
-        turn = _orthonormal(_gram(frame))
+        frame, path = _map(frame, side, step, "spectral", path)
     # Rayleigh-Ritz: the eigenvectors of the operator within the block
-    shipped = spark.sparkContext.broadcast(turn)
-    side, _ = _term_sums(frame, side, width, terms, lambda rows, v: v[:, :1] * (v[:, 1:] @ shipped.value))
-    diagonal = _gram(frame, lambda rows, v: v[:, :1] * np.sqrt(_squares(rows))[:, None] * (v[:, 1:] @ shipped.value))
-    values, vectors = np.linalg.eigh(_between_terms(side, spark) - diagonal)
+    side, (gram, diagonal) = _term_sums(frame, side, width, terms, beside=_with_diagonal)
+    turn = _orthonormal(gram) if steps else np.eye(width)
+    values, vectors = np.linalg.eigh(turn.T @ (_between_terms(side, spark) - diagonal) @ turn)
+    bl.drop(f"{side.folder}/{side.version}")
     last = spark.sparkContext.broadcast(turn @ vectors[:, np.argsort(-values)][:, 1:k + 1])
-    final = _map(frame, None, lambda rows, v, sums: np.concatenate([v[:, :1], v[:, :1] * (v[:, 1:] @ last.value)], axis=1), "spectral")
-    return final.select("doc_id", F.slice("v", 2, k).alias("embedding"))
-
-
-def _gram(frame: DataFrame, of=lambda rows, v: v[:, 1:]) -> np.ndarray:
-    """F'F of the documents x width block F that ``of(rows, v)`` gives."""
-    def run(batches):
-        total = None
-        for batch in batches:
-            for rows in pk.slices(batch):
-                f = of(rows, rows.v)
-                total = f.T @ f if total is None else total + f.T @ f
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["s"])
-
-    each = frame.mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "x"))
-    flat = np.array([r["x"] for r in each.groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()])  # width^2 numbers
-    return flat.reshape(int(np.sqrt(len(flat))), -1)
+    final, _ = _map(frame, None, lambda rows, v, sums: _scaled(rows, v) @ last.value, "spectral-embedding", path, ["doc_id", "v"])
+    return final.select("doc_id", F.col("v").alias("embedding"))
 
 
 def _orthonormal(gram: np.ndarray) -> np.ndarray:
@@ -146,17 +151,17 @@ def _codes(ids: pa.Array) -> list[int]:
     return [zlib.crc32(str(i).encode()) for i in ids.to_pylist()]
 
 
-def spectral_kmeans(doc_terms: DataFrame, doc_ids: DataFrame, terms: int, k: int, seed: int = 1000, max_iter: int = 100,
+def spectral_kmeans(doc_terms: DataFrame, doc_ids: DataFrame | None, terms: int, k: int, seed: int = 1000, max_iter: int = 100,
                     delta: float = 0.001) -> tuple[DataFrame, DataFrame]:
     """(centroids, partition): cosine k-means on the embedding from k md5-chosen documents, centroids as means in the
     original term space. A cluster without documents has no rows."""
     embedding = spectral_embedding(doc_terms, doc_ids, terms, k, seed)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("proto"), F.col("doc_id").cast("string")))
-    rows = embedding.select("doc_id", F.posexplode("embedding").alias("term_idx", "weight"))
+    rows = embedding.select("doc_id", F.array(*[F.lit(j) for j in range(k)]).alias("terms"), F.col("embedding").alias("weights"))
     members = embedding.select(F.lit(k).alias("k"), "doc_id")
     chosen = [r["doc_id"] for r in embedding.orderBy(key).limit(k).collect()]
     kind = embedding.schema["doc_id"].dataType.simpleString()
     protos = doc_terms.sparkSession.createDataFrame([(k, d, j) for j, d in enumerate(chosen)], f"k int, doc_id {kind}, topic int")
     init = km.prototype_centres(rows, protos, ["k"])
-    _, partition, _ = km.kmeans(rows, members, init, ["k"], max_iter=max_iter, delta=delta, topics=protos)
+    _, partition, _ = km.kmeans(rows, members, init, ["k"], max_iter=max_iter, delta=delta, topics=protos, terms=k)
     return build_centroids(doc_terms, partition, ["k"]), partition
