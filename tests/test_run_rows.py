@@ -41,3 +41,19 @@ def test_units_of_a_sweep_share_the_rows(spark, tmp_path, monkeypatch):
     assert [r["state"] for r in done] == ["done"] * 6, done
     assert len(made) == 6 and not any(
         x in p._jdf.queryExecution().executedPlan().toString() for p, _ in made for x in ("Exchange", "Join"))
+
+
+def test_kmeans_queries_read_rows_with_runs(spark, monkeypatch):
+    from quire.plans import queries_models as qm
+
+    seen, kmeans = [], qm.km.kmeans
+    monkeypatch.setattr(qm.km, "kmeans", lambda *a, **more: seen.append((a, more)) or kmeans(*a, **more))
+    c = planted(spark, blocks=3, per_block=8)
+    monkeypatch.setattr(qm, "corpus", lambda *a, **more: c)
+    _, _, assign, _ = qm._skm(spark, "")
+    (rows, members, init, keys), more = seen[0]
+    assert "runs" in rows.columns
+    plain = sm.model_members(c.docs.select("doc_id"), "skm", 2, 3, qm.SWEEP_RUNS, qm.O.RATIO, qm.O.SEED)
+    _, want, _ = kmeans(c.rows, plain, init, keys, max_iter=more["max_iter"], topics=more["topics"])
+    pick = [*keys, "doc_id", "topic"]
+    assert sorted(map(tuple, assign.select(*pick).collect())) == sorted(map(tuple, want.select(*pick).collect()))
