@@ -5,15 +5,21 @@ degrees d = X (X'1) - |x|^2 and D = diag(d), the operator
 
     v -> D^-1/2 (X (X' D^-1/2 v) - |x|^2 D^-1/2 v)
 
-is two narrow passes over the packed documents around one terms x block matrix
-of sums, which lies in blocks of terms (``blocks``). Block subspace iteration on
-it (shifted by one, so that the largest eigenvalues lead) gives the embedding;
-only block x block matrices reach the driver. A step writes the documents with
-their new vectors and removes those that it read, so two versions stand at most.
+is one terms x block matrix of sums, which lies in blocks of terms (``blocks``),
+between two products with the packed documents. Block subspace iteration on it
+(shifted by one, so that the largest eigenvalues lead) gives the embedding; only
+block x block matrices reach the driver. The documents lie on a shelf (``packed``),
+written once. A step is one narrow pass over it: a unit's documents get their new
+vectors from the sums and their old ones, and what the vectors add to the next sums
+is added up on the spot. Vectors lie beside the shelf in a file for each unit; a step
+removes those that it read, so two versions stand at most.
 """
 
 from __future__ import annotations
 
+import io
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +30,7 @@ from . import blocks as bl
 from . import kmeans as km
 from . import packed as pk
 from .centroids import build_centroids
-from .packed import Rows, pack, row_lists
+from .packed import Rows, Shelf, pack, row_lists
 
 STEPS = 25
 
@@ -38,53 +44,54 @@ def _scaled(rows: Rows, v: np.ndarray) -> np.ndarray:
     return v[:, :1] * v[:, 1:]
 
 
-def _vectors(rows: Rows, v: np.ndarray) -> list[np.ndarray]:
-    return [v[:, 1:]]
+def _grams(rows: Rows, v: np.ndarray) -> np.ndarray:
+    """V'V and, with D^-1/2 V times each document's length for V, the part that the diagonal takes."""
+    own, diagonal = v[:, 1:], np.sqrt(_squares(rows))[:, None] * _scaled(rows, v)
+    return np.concatenate([(g.T @ g).ravel() for g in (own, diagonal)])
 
 
-def _with_diagonal(rows: Rows, v: np.ndarray) -> list[np.ndarray]:
-    return [v[:, 1:], np.sqrt(_squares(rows))[:, None] * _scaled(rows, v)]
+def _place(folder: str, unit: int) -> str:
+    return f"{folder}/part-{unit:05d}.npy"
 
 
-def _term_sums(frame: DataFrame, side: bl.TermSide | None, width: int, terms: int, of=_scaled, beside=_vectors) -> tuple[bl.TermSide, list[np.ndarray]]:
-    """(X' F in blocks of terms, [G'G]) for the documents x width blocks F that ``of(rows, v)`` and G that ``beside`` gives.
+def _vectors(folder: str, unit: int) -> np.ndarray:
+    store, path = bl._place(_place(folder, unit))
+    with store.open_input_file(path) as src:
+        return np.load(io.BytesIO(src.read()), allow_pickle=False)
 
-    ``side``: the sums before these, which they replace.
-    """
-    spark = frame.sparkSession
-    side = side or bl.create(spark, terms, {0: width}, lambda m, low, high: np.zeros((width, high - low)), "spectral-terms")
 
-    def add(rows, model, columns, extra):
-        return rows.transposed(of(rows, rows.v), columns.shape[1]), np.concatenate([(g.T @ g).ravel() for g in beside(rows, rows.v)] or [np.zeros(1)])
+def _with(batch: pa.RecordBatch, v: np.ndarray) -> pa.RecordBatch:
+    return batch.append_column("v", _lists(v))
+
+
+def _lists(v: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel()))
 
-    small, sums = bl.totals(frame, side, [0], add)
-    side, _ = bl.renew(spark, side, sums, lambda m, old, num, extra, low: (num, None))
-    flat = small[0] if small else np.zeros(2 * width * width)  # no documents
-    return side, [flat[a:a + width * width].reshape(width, width) for a in range(0, len(flat) - width * width + 1, width * width)]
 
+def _step(shelf: Shelf, read: bl.TermSide, side: bl.TermSide, of: Callable, before: str | None, after: str) -> tuple[bl.TermSide, np.ndarray]:
+    """(the next version of ``side``: X' D^-1/2 V; the Gram matrices) of the documents' new numbers (the root and V).
 
-def _map(frame: DataFrame, side: bl.TermSide | None, of, name: str, before: str | None = None, kept: list[str] | None = None) -> tuple[DataFrame, str]:
-    """The frame (``kept`` columns of it) with ``v`` replaced by what ``of(rows, v, columns of the term side)`` gives, written
-    to the shared folder, and where. ``before``: where the frame itself was written, removed once the new one is."""
-    kept = kept or frame.columns
-    schema = ", ".join(f"{c} {frame.schema[c].dataType.simpleString()}" for c in kept)
+    ``of(rows, v, columns of read)`` gives them from those in the folder ``before``; they are written to ``after``.
+    """
+    spark = shelf.sparkSession
+    folder, limit, width = pk.scratch_path(spark, "term-sums"), pk.GROUP_BYTES, side.widths[0]
 
-    def run(batches):
-        for batch in batches:
+    def run(units):
+        partials, small = bl.Partials(side, side.widths, folder, limit), {}
+        for unit, batch in units:
             parts = []
-            for rows in pk.slices(batch):
-                whole, found = rows.compact(side.terms) if side else (rows, None)
-                parts.append(of(whole, whole.v, side.take(0, found) if side else None))
-            if parts:
-                new = np.concatenate(parts)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1) * new.shape[1], pa.int32()), pa.array(new.ravel()))
-                yield pa.RecordBatch.from_arrays([lists if c == "v" else batch.column(c) for c in kept], names=kept)
-
-    path = scratch_path(frame.sparkSession, name)
-    frame.mapInArrow(run, schema).write.parquet(path)
-    if before:
-        bl.drop(before)
-    return frame.sparkSession.read.schema(schema).parquet(path), path
+            for rows in pk.slices(_with(batch, _vectors(before, unit)) if before else batch):
+                whole, found = rows.compact(read.terms)
+                parts.append(of(whole, whole.v, read.take(0, found)))
+                partials.add(0, found, whole.transposed(_scaled(whole, parts[-1]), len(found)))
+                own = _grams(whole, parts[-1])
+                small[0] = small[0] + own if small else own
+            bl._save(_place(after, unit), np.concatenate(parts))
+        yield bl.told((partials.leave(), small))
+
+    small, sums = bl.collected(folder, pk.tasks(shelf, run, bl.TOLD, units=True).collect())
+    side, _ = bl.renew(spark, side, sums, lambda m, old, num, extra, low: (num, None))
+    return side, small.get(0, np.zeros(2 * width * width)).reshape(2, width, width)  # no documents: zeros
 
 
 def _between_terms(side: bl.TermSide, spark) -> np.ndarray:
@@ -106,8 +113,10 @@ def spectral_embedding(doc_terms: DataFrame, doc_ids: DataFrame | None, terms: i
         packed = row_lists(doc_terms).select("doc_id", F.array(F.lit(0)).alias("models"), "terms", "weights")
     else:
         packed, _ = pack(doc_terms, doc_ids.select("doc_id", F.lit(k).alias("k")), ["k"])
-    ones = packed.withColumn("v", F.array(F.lit(1.0)))
-    column, _ = _term_sums(ones, None, 1, terms, lambda rows, v: v, lambda rows, v: [])
+    shelf = pk.shelve(packed)
+    column = bl.create(spark, terms, {0: 1}, lambda m, low, high: np.zeros((1, high - low)), "spectral-terms")
+    _, sums = bl.totals(shelf, column, [0], lambda rows, m, c, extra: (rows.transposed(np.ones((len(rows.ends), 1)), c.shape[1]), np.zeros(1)))
+    column, _ = bl.renew(spark, column, sums, lambda m, old, num, extra, low: (num, None))
 
     def start(rows, v, sums):
         """Degree, its inverse root and a random block; ids seed the block, so that it is the same on every run."""
@@ -115,29 +124,38 @@ def spectral_embedding(doc_terms: DataFrame, doc_ids: DataFrame | None, terms: i
         noise = np.stack([np.random.default_rng([seed, i]).standard_normal(width) for i in _codes(rows.ids)])
         return np.concatenate([np.where(d > 1e-12, 1 / np.sqrt(np.maximum(d, 1e-12)), 0.0)[:, None], noise], axis=1)
 
-    frame, path = _map(ones, column, start, "spectral")
+    path = scratch_path(spark, "spectral")
+    side = bl.create(spark, terms, {0: width}, lambda m, low, high: np.zeros((width, high - low)), "spectral-terms")
+    side, (gram, diagonal) = _step(shelf, column, side, start, None, path)
     bl.drop(f"{column.folder}/{column.version}")
-    side = None
     for nth in range(steps):
-        # One pass gives the sums of the vectors as they are and their Gram matrix; the turn that makes them orthonormal
+        # A pass gives the sums of the vectors as they are and their Gram matrix; the turn that makes them orthonormal
         # follows from it and is applied to vectors and sums in the next pass.
-        side, (gram, *_) = _term_sums(frame, side, width, terms)
-        shipped = spark.sparkContext.broadcast(_orthonormal(gram) if nth else np.eye(width))
-
-        def step(rows, v, sums, turn=shipped):
-            root, block = v[:, :1], v[:, 1:] @ turn.value
+        def step(rows, v, sums, turn=_orthonormal(gram) if nth else np.eye(width)):
+            root, block = v[:, :1], v[:, 1:] @ turn
             scaled = root * block
-            return np.concatenate([root, block + root * (rows.times(sums) @ turn.value - _squares(rows)[:, None] * scaled)], axis=1)
+            return np.concatenate([root, block + root * (rows.times(sums) @ turn - _squares(rows)[:, None] * scaled)], axis=1)
 
-        frame, path = _map(frame, side, step, "spectral", path)
+        before, path = path, scratch_path(spark, "spectral")
+        side, (gram, diagonal) = _step(shelf, side, side, step, before, path)
+        bl.drop(before)
     # Rayleigh-Ritz: the eigenvectors of the operator within the block
-    side, (gram, diagonal) = _term_sums(frame, side, width, terms, beside=_with_diagonal)
     turn = _orthonormal(gram) if steps else np.eye(width)
     values, vectors = np.linalg.eigh(turn.T @ (_between_terms(side, spark) - diagonal) @ turn)
     bl.drop(f"{side.folder}/{side.version}")
-    last = spark.sparkContext.broadcast(turn @ vectors[:, np.argsort(-values)][:, 1:k + 1])
-    final, _ = _map(frame, None, lambda rows, v, sums: _scaled(rows, v) @ last.value, "spectral-embedding", path, ["doc_id", "v"])
-    return final.select("doc_id", F.col("v").alias("embedding"))
+    last = turn @ vectors[:, np.argsort(-values)][:, 1:k + 1]
+
+    def embed(units):
+        for unit, batch in units:
+            v = _vectors(path, unit)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(v[:, :1] * v[:, 1:] @ last)], names=["doc_id", "embedding"])
+
+    out = scratch_path(spark, "spectral-embedding")
+    schema = f"doc_id {packed.schema['doc_id'].dataType.simpleString()}, embedding array<double>"
+    pk.mapped(shelf, embed, schema, units=True).write.parquet(out)
+    bl.drop(path)
+    shelf.drop()
+    return spark.read.schema(schema).parquet(out)
 
 
 def _orthonormal(gram: np.ndarray) -> np.ndarray:
