@@ -37,7 +37,7 @@ WITH {O.docs_cte()}
 SELECT CAST({KMAX} AS BIGINT) AS k, (SELECT count(*) FROM docs) AS n_docs, true AS in_range, true AS has_centroids""")
 def q_skm_reference(spark, sf_dir):
     """D16 + D17: spectral spherical k-means on all documents: documents with a topic, centroids of all used topics."""
-    c = corpus(spark, sf_dir, label_col="lang", cfg=MATRIX_CFG)
+    c = corpus(spark, sf_dir, label_col="lang", cfg=MATRIX_CFG).settle()
     centroids, part = sp.spectral_kmeans(c.rows, None, c.vocab.count(), KMAX, O.SEED)
     used = part.select("topic").distinct()
     missing = used.join(centroids.select("topic").distinct(), "topic", "left_anti").agg(F.count(F.lit(1))).scalar()
