@@ -39,14 +39,17 @@ def _squares(rows: Rows) -> np.ndarray:
     return np.bincount(rows.doc, rows.weights ** 2, len(rows.ends))
 
 
-def _scaled(rows: Rows, v: np.ndarray) -> np.ndarray:
-    """D^-1/2 V: the first number of a document is its root, the others its vector."""
-    return v[:, :1] * v[:, 1:]
+OWN = 2  # numbers of a document before its vector: its root (of D^-1) and |x|^2
 
 
-def _grams(rows: Rows, v: np.ndarray) -> np.ndarray:
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """D^-1/2 V."""
+    return v[:, :1] * v[:, OWN:]
+
+
+def _grams(v: np.ndarray) -> np.ndarray:
     """V'V and, with D^-1/2 V times each document's length for V, the part that the diagonal takes."""
-    own, diagonal = v[:, 1:], np.sqrt(_squares(rows))[:, None] * _scaled(rows, v)
+    own, diagonal = v[:, OWN:], np.sqrt(v[:, 1:2]) * _scaled(v)
     return np.concatenate([(g.T @ g).ravel() for g in (own, diagonal)])
 
 
@@ -61,7 +64,7 @@ def _vectors(folder: str, unit: int) -> np.ndarray:
 
 
 def _with(batch: pa.RecordBatch, v: np.ndarray) -> pa.RecordBatch:
-    return batch.append_column("v", _lists(v))
+    return batch.append_column("v", _lists(v)).replace_schema_metadata(batch.schema.metadata)
 
 
 def _lists(v: np.ndarray) -> pa.ListArray:
@@ -69,7 +72,7 @@ def _lists(v: np.ndarray) -> pa.ListArray:
 
 
 def _step(shelf: Shelf, read: bl.TermSide, side: bl.TermSide, of: Callable, before: str | None, after: str) -> tuple[bl.TermSide, np.ndarray]:
-    """(the next version of ``side``: X' D^-1/2 V; the Gram matrices) of the documents' new numbers (the root and V).
+    """(the next version of ``side``: X' D^-1/2 V; the Gram matrices) of the documents' new numbers (``OWN`` and V).
 
     ``of(rows, v, columns of read)`` gives them from those in the folder ``before``; they are written to ``after``.
     """
@@ -83,8 +86,8 @@ def _step(shelf: Shelf, read: bl.TermSide, side: bl.TermSide, of: Callable, befo
             for rows in pk.slices(_with(batch, _vectors(before, unit)) if before else batch):
                 whole, found = rows.compact(read.terms)
                 parts.append(of(whole, whole.v, read.take(0, found)))
-                partials.add(0, found, whole.transposed(_scaled(whole, parts[-1]), len(found)))
-                own = _grams(whole, parts[-1])
+                partials.add(0, found, whole.transposed(_scaled(parts[-1]), len(found)))
+                own = _grams(parts[-1])
                 small[0] = small[0] + own if small else own
             bl._save(_place(after, unit), np.concatenate(parts))
         yield bl.told((partials.leave(), small))
@@ -119,10 +122,11 @@ def spectral_embedding(doc_terms: DataFrame, doc_ids: DataFrame | None, terms: i
     column, _ = bl.renew(spark, column, sums, lambda m, old, num, extra, low: (num, None))
 
     def start(rows, v, sums):
-        """Degree, its inverse root and a random block; ids seed the block, so that it is the same on every run."""
-        d = np.maximum(rows.times(sums)[:, 0] - _squares(rows), 0.0)
+        """The degree's inverse root, |x|^2 and a random block; ids seed the block, so that it is the same on every run."""
+        squares = _squares(rows)
+        d = np.maximum(rows.times(sums)[:, 0] - squares, 0.0)
         noise = np.stack([np.random.default_rng([seed, i]).standard_normal(width) for i in _codes(rows.ids)])
-        return np.concatenate([np.where(d > 1e-12, 1 / np.sqrt(np.maximum(d, 1e-12)), 0.0)[:, None], noise], axis=1)
+        return np.concatenate([np.where(d > 1e-12, 1 / np.sqrt(np.maximum(d, 1e-12)), 0.0)[:, None], squares[:, None], noise], axis=1)
 
     path = scratch_path(spark, "spectral")
     side = bl.create(spark, terms, {0: width}, lambda m, low, high: np.zeros((width, high - low)), "spectral-terms")
@@ -132,9 +136,8 @@ def spectral_embedding(doc_terms: DataFrame, doc_ids: DataFrame | None, terms: i
         # A pass gives the sums of the vectors as they are and their Gram matrix; the turn that makes them orthonormal
         # follows from it and is applied to vectors and sums in the next pass.
         def step(rows, v, sums, turn=_orthonormal(gram) if nth else np.eye(width)):
-            root, block = v[:, :1], v[:, 1:] @ turn
-            scaled = root * block
-            return np.concatenate([root, block + root * (rows.times(sums) @ turn - _squares(rows)[:, None] * scaled)], axis=1)
+            root, square, block = v[:, :1], v[:, 1:2], v[:, OWN:] @ turn
+            return np.concatenate([v[:, :OWN], block + root * (rows.times(sums) @ turn - square * (root * block))], axis=1)
 
         before, path = path, scratch_path(spark, "spectral")
         side, (gram, diagonal) = _step(shelf, side, side, step, before, path)
@@ -148,7 +151,7 @@ def spectral_embedding(doc_terms: DataFrame, doc_ids: DataFrame | None, terms: i
     def embed(units):
         for unit, batch in units:
             v = _vectors(path, unit)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(v[:, :1] * v[:, 1:] @ last)], names=["doc_id", "embedding"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(_scaled(v) @ last)], names=["doc_id", "embedding"])
 
     out = scratch_path(spark, "spectral-embedding")
     schema = f"doc_id {packed.schema['doc_id'].dataType.simpleString()}, embedding array<double>"

@@ -25,7 +25,7 @@ def test_spectral_steps_write_vectors_only_and_pass_once(spark, monkeypatch, tmp
         run = pk.mapped
         monkeypatch.setattr(pk, "mapped", lambda *a, **more: passes.append(1) or run(*a, **more))
     assert sp.spectral_embedding(rows, None, 18, 2, steps=6).count() == 24
-    numbers = 24 * (1 + 2 + 1 + 4) * 8  # a root and a vector for each document
+    numbers = 24 * (2 + 2 + 1 + 4) * 8  # a root, a square and a vector for each document
     assert numbers <= most[2] <= max(most) <= numbers + 24 * 128  # at most a header for each document
     assert len(passes) == 2 + 6 + 1  # column sums, start, a pass for each step, embedding
 
